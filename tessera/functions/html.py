@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import EOL, WS, let, strip
 
@@ -105,12 +106,12 @@ def _text_of(markup: str) -> str:
     return "\n".join(line for line in trimmed if line)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text_exact(html: pd.Series) -> pd.Series:
     """Same result from a real HTML parser, every entity included."""
     return html.map(lambda h: None if h is None else _text_of(h))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities_exact(c: pd.Series) -> pd.Series:
     return c.map(lambda v: None if v is None else unescape(v))

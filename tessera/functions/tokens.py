@@ -120,8 +120,8 @@ def has_repeated_ngram(c: Column, n: int = 4, times: int = 20) -> Column:
         lambda w: F.when(
             F.size(w) >= n,
             F.transform(
-                F.sequence(F.lit(1), F.size(w) - (n - 1)),
-                lambda i: F.array_join(F.slice(w, i, n), " "),
+                F.sequence(F.lit(0), F.size(w) - n),
+                lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]),
             ),
         ).otherwise(F.array().cast("array<string>")),
     )
@@ -141,8 +141,8 @@ def has_repeated_slice(c: Column, width: int = 30, step: int = 10, times: int =
         starts = F.ceil((F.length(c) - width) / step).cast("int")
         return F.filter(
             F.transform(
-                F.sequence(F.lit(1), starts),
-                lambda i: strip(F.array_join(F.slice(p, i, per_stretch), "")),
+                F.sequence(F.lit(0), starts - 1),
+                lambda i: strip(F.concat(*[F.get(p, i + k) for k in range(per_stretch)])),
             ),
             lambda s: F.length(s) >= 20,
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import let, strip
 
@@ -165,7 +166,7 @@ def url_variations(url: Column) -> Column:
     return let(with_scheme(url), build)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_join_exact(base: pd.Series, ref: pd.Series) -> pd.Series:
     """The standard library's join, for callers that meet unusual references."""
     from urllib.parse import urljoin
