@@ -10,6 +10,7 @@ from tessera.catalog.web import SQL_BLOCK, SQL_SITE_PAGES, site_pages
 from tessera.functions import tokens as K
 from tessera.operators import chunking as C, sites as S
 from tessera.plans.site_chunks import site_chunks
+from tessera.session import scratch_folder
 from tessera.sources import stores
 
 SMALL = C.ChunkRules(limit=500, hard_limit=600, min_chars=200)
@@ -161,7 +162,7 @@ def chunk_sink(t: Tables):
     chunks = site_chunks(S.successful_pages(site_pages(t)), SMALL).withColumnsRenamed(
         {"site": "cnpj_basico", "content": "chunk_content", "tokens": "token_count"}
     )
-    folder = stores.scratch_folder(t.spark, "chunks")
+    folder = scratch_folder(t.spark, "chunks")
     stores.write_chunks(chunks, folder)
     # Written again: a rerun replaces the company's chunks instead of doubling them.
     stores.write_chunks(chunks, folder)

@@ -6,11 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_IS_NARROW: dict[tuple[str, str, str], bool] = {}
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
@@ -25,7 +24,15 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in TEXT_TABLES else df
+        return self._spread(name, df) if name in TEXT_TABLES else df
+
+    def _spread(self, name: str, df: DataFrame) -> DataFrame:
+        """``spread``, asking for the partition count once per table."""
+        seen = (self.spark.sparkContext.applicationId, self.folder, name)
+        if seen not in _IS_NARROW:
+            cores = self.spark.sparkContext.defaultParallelism
+            _IS_NARROW[seen] = df.rdd.getNumPartitions() < cores
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if _IS_NARROW[seen] else df
 
 
 def query(name: str, sql: str | None = None):

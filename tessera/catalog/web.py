@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.catalog.registry import Tables, query
 from tessera.catalog.text import SQL_WS
 from tessera.functions import html as H, urls as U
-from tessera.functions.text import WS
+from tessera.functions.text import once
 from tessera.operators import access as A, links as N, sites as S
 
 SQL_NETLOC = "regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)"
@@ -48,15 +48,16 @@ SQL_BLOCK = "'--- PAGE START: ' || url || ' ---' || chr(10) || content || chr(10
 
 
 def site_pages(t: Tables):
-    """Every page as (site, page_ord, url, content, error), text extracted."""
+    """Every page as (site, page_ord, url, content, status_code, error)."""
     status = A.page_status(H.html_text(F.col("html")))
-    return t.pages.select(
+    return once(t.pages, "s", status).select(
         U.url_domain(F.col("url")).alias("site"),
         F.col("page_id").alias("page_ord"),
         "url",
-        "html",
-        status.alias("s"),
-    ).select("site", "page_ord", "url", "html", "s.content", "s.status_code", "s.error")
+        "s.content",
+        "s.status_code",
+        "s.error",
+    )
 
 
 @query("html_text", f"SELECT page_id, {sql_html_text('html')} AS text FROM pages")

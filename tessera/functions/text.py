@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The code points Python treats as white space and as line ends.
 # Both classes are written so that Java and RE2 read them the same way.
@@ -15,6 +15,11 @@ WS = (
 EOL_SET = r"\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 EOL = rf"(?:\r\n|[\r{EOL_SET}])"
 WORD = r"[\p{L}\p{N}_]+"
+# White space up to the end, tried only where a run begins: a long run inside the
+# text is passed over once instead of once per character.
+_TAIL = rf"(?<!{WS}){WS}+\z"
+# White space that is no line end, then a line end, then the rest of the run.
+BREAK = rf"(?<!{WS})[\t\x1f\x20\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]*+[\r{EOL_SET}]{WS}*+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,16 +31,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is computed once per row.
+
+    A plain column may be computed again by every filter that Spark pushes below
+    it. Filters are not pushed through a generator, so this one is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lstrip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{WS}+", "")
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"{WS}+\z", "")
+    return F.regexp_replace(c, _TAIL, "")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.regexp_replace(c, rf"\A{WS}+|{_TAIL}", "")
 
 
 def collapse(c: Column) -> Column:

@@ -12,6 +12,7 @@ from tessera.functions.tokens import CHARS_PER_TOKEN, CHUNK_MAX_TOKENS, effectiv
 from tessera.operators.lines import MIN_LINE_LENGTH, PAGE_MARK
 from tessera.operators.ordered import ordered_scan, range_sorted, running_totals
 from tessera.operators.sites import page_block
+from tessera.session import staged
 
 # The smallest useful chunk and the rules for cutting long lines.
 MIN_CHUNK_CHARS = 500
@@ -177,15 +178,18 @@ def chunk_pages(texts: DataFrame, urls: DataFrame, rules: ChunkRules = ChunkRule
     total_chunks, content, tokens, pages_included).
     """
     order = ("page_ord", "piece_no")
-    pieces = texts.select(
-        "site", "page_ord", F.posexplode(split_large(F.col("text"), rules.limit)).alias("piece_no", "piece")
+    pieces = staged(
+        texts.select(
+            "site",
+            "page_ord",
+            F.posexplode(split_large(F.col("text"), rules.limit)).alias("piece_no", "piece"),
+        ).withColumn("tokens", estimate_tokens(F.col("piece"))),
+        "pieces",
     )
     packed = page_packing(
-        pieces.select("site", *order, estimate_tokens(F.col("piece")).alias("tokens")),
-        rules.limit,
-        order,
+        pieces.select("site", *order, "tokens"), rules.limit, order
     ).drop("tokens")
-    with_url = pieces.join(packed, ["site", *order]).join(
+    with_url = pieces.drop("tokens").join(packed, ["site", *order]).join(
         urls.select("site", "page_ord", "url"), ["site", "page_ord"], "left"
     )
     # A piece names its page only where it holds the mark: the first piece does.
@@ -208,7 +212,7 @@ def chunk_pages(texts: DataFrame, urls: DataFrame, rules: ChunkRules = ChunkRule
         "pages_included",
         F.posexplode(split_large(F.col("joined"), rules.limit)).alias("sub_no", "content"),
     )
-    return number_chunks(final)
+    return number_chunks(staged(final, "chunks"))
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions import html as H, urls as U
+from tessera.functions.text import once
 from tessera.operators import access as A, chunking as C, links as N, sites as S
 
 
@@ -13,22 +14,19 @@ def pages_from_responses(responses: DataFrame) -> DataFrame:
 
     The markup is read once; only text and links travel on from here.
     """
-    found = N.extract_links(F.col("html"), F.col("url"))
-    return responses.select(
+    read = F.struct(
+        A.page_status(H.html_text(F.col("html"))).alias("s"),
+        N.extract_links(F.col("html"), F.col("url")).alias("l"),
+    )
+    return once(responses, "r", read).select(
         U.url_domain(F.col("url")).alias("site"),
         F.col("page_id").alias("page_ord"),
         "url",
-        A.page_status(H.html_text(F.col("html"))).alias("s"),
-        found.alias("l"),
-    ).select(
-        "site",
-        "page_ord",
-        "url",
-        "s.content",
-        "s.status_code",
-        "s.error",
-        F.col("l.pages").alias("links"),
-        F.col("l.documents").alias("document_links"),
+        "r.s.content",
+        "r.s.status_code",
+        "r.s.error",
+        F.col("r.l.pages").alias("links"),
+        F.col("r.l.documents").alias("document_links"),
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,15 +55,18 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input one partition per core; leave large inputs alone.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables written between steps, beside the checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    A table stored as one small file is read as one task. At scale the scan
-    already yields many more partitions than cores, and this is a no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and go on from the files.
 
-def env_flag(name: str) -> bool:
-    return os.environ.get(name, "").lower() in {"1", "true", "yes"}
+    For wide rows that several later steps read: each reads only its columns,
+    nothing upstream runs twice, and lost executors cost no recomputation.
+    """
+    folder = scratch_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -7,10 +7,6 @@ dynamic partition overwrite, which swaps folders in at commit.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Key length and statuses of a discovery.
@@ -22,16 +18,6 @@ BUCKET = "_bucket"
 SEARCH_HITS = "array<struct<title:string,link:string,snippet:string>>"
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for tables a query writes: beside the checkpoints if shared."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="tessera-"), name)
-
-
 def exists(spark: SparkSession, folder: str) -> bool:
     try:
         spark.read.parquet(folder).schema
