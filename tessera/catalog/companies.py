@@ -291,7 +291,7 @@ def filter_search_results(t: Tables):
 
 @query(
     "union_queries",
-    """SELECT o_custkey AS cnpj_basico, o_orderkey AS query_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS BIGINT) AS rank,
+    """SELECT o_custkey AS cnpj_basico, o_orderkey AS query_no, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'part ' || l_partkey, 'https://s' || l_suppkey || '.example.com/', l_returnflag) - 1 AS BIGINT) AS rank,
       'https://s' || l_suppkey || '.example.com/' AS link FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
 )
 def union_queries(t: Tables):
