@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("text", "web", "chunks", "companies", "calls", "facts")
+MODULES = ("text", "web", "chunks", "companies", "calls", "facts", "profiles")
 
 for _module in MODULES:
     import_module(f"tessera.catalog.{_module}")

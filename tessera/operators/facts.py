@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera import schemas
 from tessera.functions import facts as X
 from tessera.functions.text import contains_any, once, split_words, strip
+from tessera.session import staged
 
 # Limits of a fact and of its bundle.
 QUOTE_CHARS = 320
@@ -222,8 +223,11 @@ def evidence_map(routes: DataFrame) -> DataFrame:
 
 
 def merge_facts(facts: DataFrame) -> DataFrame:
-    """One merged record per company: identity, contact, offerings, reputation, evidence."""
-    routes = routed(facts)
+    """One merged record per company: identity, contact, offerings, reputation, evidence.
+
+    The routed facts are read four times, so they are written once.
+    """
+    routes = staged(routed(facts), "routes")
     firsts = first_values(routes)
     lists = capped_lists(firsts)
     site = firsts.where(F.col("field") == "contact.website_url").groupBy("cnpj_basico").agg(
@@ -235,7 +239,7 @@ def merge_facts(facts: DataFrame) -> DataFrame:
         return F.coalesce(mine, F.array().cast("array<string>")).alias(field.split(".")[1])
 
     wide = lists.groupBy("cnpj_basico").agg(*[items(f) for f in MERGED_CAPS])
-    keys = facts.select("cnpj_basico").distinct()
+    keys = routes.select("cnpj_basico").distinct()
     joined = (
         keys.join(merge_identity(routes), "cnpj_basico", "left")
         .join(wide, "cnpj_basico", "left")

@@ -136,6 +136,26 @@ def _arrivals(ends: dict) -> dict:
     return arrivals
 
 
+def settled(ordered, keys, inputs, step, start) -> dict:
+    """Ends of all partitions once every guessed state is the right one.
+
+    A wrong guess matters further on only where a partition lies wholly inside
+    one key, so only such partitions are run again.
+    """
+    ends = _ends(ordered, keys, inputs, step, start, {})
+    while True:
+        arrivals = _arrivals(ends)
+        stale = [
+            part
+            for part, (_, entered, first, last, _) in ends.items()
+            if first == last and arrivals.get(part, start) != entered
+        ]
+        if not stale:
+            return ends
+        again = ordered.where(F.col(PART).isin(stale))
+        ends.update(_ends(again, keys, inputs, step, start, arrivals))
+
+
 def ordered_scan(
     ordered: DataFrame,
     keys: Sequence[str],
@@ -151,18 +171,7 @@ def ordered_scan(
     What reaches the driver is one small row per partition.
     """
     keys, inputs = list(keys), list(inputs)
-    ends = _ends(ordered, keys, inputs, step, start, {})
-    while True:
-        arrivals = _arrivals(ends)
-        stale = [
-            part
-            for part, (_, entered, first, last, _) in ends.items()
-            if first == last and arrivals.get(part, start) != entered
-        ]
-        if not stale:
-            break
-        again = ordered.where(F.col(PART).isin(stale))
-        ends.update(_ends(again, keys, inputs, step, start, arrivals))
+    arrivals = _arrivals(settled(ordered, keys, inputs, step, start))
 
     names = [field.strip().split(" ")[0] for field in outputs.split(",")]
 
@@ -175,3 +184,52 @@ def ordered_scan(
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
     return ordered.mapInPandas(run, f"{schema}, {outputs}")
+
+
+def ordered_fold(
+    ordered: DataFrame,
+    keys: Sequence[str],
+    inputs: Sequence[str],
+    step: Callable[..., Any],
+    start: Any,
+    output: str,
+) -> DataFrame:
+    """The state each key ends in: one row per key.
+
+    ``step(state, *inputs) -> state``. ``output`` names and types the state.
+    """
+    keys, inputs = list(keys), list(inputs)
+
+    def with_output(state, *values):
+        state = step(state, *values)
+        return state, (state,)
+
+    ends = settled(ordered, keys, inputs, with_output, start)
+    arrivals = _arrivals(ends)
+    parts = sorted(ends)
+    # Keys that go on in the next partition are reported there.
+    goes_on = {a for a, b in zip(parts, parts[1:]) if ends[a][3] == ends[b][2]}
+    name = output.split(" ")[0]
+
+    def run(batches):
+        held: tuple | None = None
+        part = None
+        for pdf, rows in _walk(
+            batches, keys, inputs, with_output, start, arrivals, lambda p, o: (p, o)
+        ):
+            part = int(pdf[PART].iloc[0])
+            done: list[tuple] = []
+            for row_key, (state,) in zip(zip(*[pdf[k].tolist() for k in keys]), rows):
+                if held is not None and held[0] != row_key:
+                    done.append(held)
+                held = (row_key, state)
+            yield _frame(done)
+        if held is not None and part not in goes_on:
+            yield _frame([held])
+
+    def _frame(done):
+        columns = {k: [d[0][i] for d in done] for i, k in enumerate(keys)}
+        return pd.DataFrame({**columns, name: [d[1] for d in done]})
+
+    schema = ", ".join(f"`{k}` {ordered.schema[k].dataType.simpleString()}" for k in keys)
+    return ordered.mapInPandas(run, f"{schema}, {output}")
