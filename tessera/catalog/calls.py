@@ -34,7 +34,7 @@ def attempts(events, key: str):
     return events.select(
         (F.col("user_id") % 40).alias(key),
         F.col("event_id").alias("call_id"),
-        (M.micros(F.col("ts")) / F.lit(100)).cast("long").alias("t_us"),
+        F.floor(M.micros(F.col("ts")) / F.lit(100)).cast("long").alias("t_us"),
         ok.alias("ok"),
         (F.col("event_type") == "click").alias("is_protection"),
     )
@@ -44,7 +44,7 @@ def requests(events):
     return events.select(
         F.concat_ws(":", "user_id", "event_type").alias("key"),
         F.col("event_id").alias("call_id"),
-        (M.micros(F.col("ts")) / F.lit(30)).cast("long").alias("t_us"),
+        F.floor(M.micros(F.col("ts")) / F.lit(30)).cast("long").alias("t_us"),
         (F.col("value") > 10).alias("has_results"),
     )
 
@@ -105,22 +105,66 @@ def last_n_latency(t: Tables):
     return moving.select("provider", "call_id", F.round("avg_latency", 4).alias("avg_latency"))
 
 
-@query("domain_circuit")
+# The machines again as recursive walks over the numbered calls of each key.
+SQL_ATTEMPTS = """
+a AS (SELECT user_id % 40 AS k, event_id AS call_id, epoch_us(ts) // 100 AS t_us, event_type NOT IN ('error', 'signup', 'click') AS ok, event_type = 'click' AS prot,
+  row_number() OVER (PARTITION BY user_id % 40 ORDER BY epoch_us(ts) // 100, event_id) AS rn FROM events)
+"""
+SQL_CIRCUIT = f"""
+WITH RECURSIVE {SQL_ATTEMPTS},
+w AS (
+  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, 'closed' AS mode, 0 AS fails, CAST(0 AS BIGINT) AS opened, 'closed' AS met FROM (SELECT DISTINCT k FROM a)
+  UNION ALL
+  SELECT k, rn, call_id,
+    CASE WHEN met = 'open' THEN 'open' WHEN met = 'half_open' AND ok THEN 'closed' WHEN met = 'half_open' AND NOT prot THEN 'open'
+      WHEN met = 'closed' AND NOT ok AND NOT prot AND fails + 1 >= 5 THEN 'open' ELSE met END,
+    CASE WHEN met <> 'closed' OR ok THEN 0 WHEN prot THEN fails ELSE fails + 1 END,
+    CASE WHEN met = 'open' THEN opened WHEN NOT ok AND NOT prot THEN t_us ELSE opened END, met
+  FROM (SELECT a.*, w.fails, w.opened, CASE WHEN w.mode = 'open' AND a.t_us - w.opened >= 60000000 THEN 'half_open' ELSE w.mode END AS met
+        FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1))
+SELECT k AS domain, call_id, met AS mode, met <> 'open' AS allowed FROM w WHERE rn > 0
+"""
+SQL_QUARANTINE = f"""
+WITH RECURSIVE {SQL_ATTEMPTS},
+w AS (
+  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, 0 AS fails, CAST(0 AS BIGINT) AS until_us, FALSE AS held FROM (SELECT DISTINCT k FROM a)
+  UNION ALL
+  SELECT a.k, a.rn, a.call_id, CASE WHEN a.ok THEN 0 ELSE w.fails + 1 END,
+    CASE WHEN a.ok THEN 0 WHEN w.fails + 1 >= 3 THEN a.t_us + 120000000 ELSE w.until_us END, a.t_us < w.until_us
+  FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1)
+SELECT k AS proxy, call_id, held AS quarantined FROM w WHERE rn > 0
+"""
+SQL_SHARED = """
+WITH RECURSIVE a AS (SELECT user_id || ':' || event_type AS k, event_id AS call_id, epoch_us(ts) // 30 AS t_us, value > 10 AS has,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 30, event_id) AS rn FROM events),
+w AS (
+  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, CAST(-1 AS BIGINT) AS made, FALSE AS is_hit, CAST(0 AS BIGINT) AS answered FROM (SELECT DISTINCT k FROM a)
+  UNION ALL
+  SELECT k, rn, call_id, CASE WHEN hit THEN made WHEN has THEN t_us ELSE -1 END, hit, CASE WHEN hit THEN made ELSE t_us END
+  FROM (SELECT a.*, w.made, w.made >= 0 AND a.t_us - w.made <= 3600000000 AS hit FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1))
+SELECT k AS key, call_id, is_hit, answered AS answered_by_us FROM w WHERE rn > 0
+"""
+
+
+@query("domain_circuit", SQL_CIRCUIT)
 def domain_circuit(t: Tables):
     return M.domain_circuit(attempts(t.events, "domain")).select("domain", "call_id", "mode", "allowed")
 
 
-@query("quarantine")
+@query("quarantine", SQL_QUARANTINE)
 def quarantine(t: Tables):
     return M.quarantine(attempts(t.events, "proxy")).select("proxy", "call_id", "quarantined")
 
 
-@query("request_coalesce")
+@query("request_coalesce", SQL_SHARED)
 def request_coalesce(t: Tables):
     return M.request_coalesce(requests(t.events)).select("key", "call_id", "is_hit", "answered_by_us")
 
 
-@query("cache_hit_rate")
+@query(
+    "cache_hit_rate",
+    f"SELECT count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, count(*) FILTER (is_hit) / count(*) AS hit_rate FROM ({SQL_SHARED})",
+)
 def cache_hit_rate(t: Tables):
     return M.cache_hit_rate(M.request_coalesce(requests(t.events)))
 
@@ -220,7 +264,7 @@ def _finish(running, t: Tables, out: str):
     return t.spark.read.parquet(out)
 
 
-@query("circuit_stream")
+@query("circuit_stream", SQL_CIRCUIT)
 def circuit_stream(t: Tables):
     source, out, mark = event_stream(t, "circuit")
     stream = stages.file_stream(t.spark, source, t.events.schema)
@@ -228,7 +272,7 @@ def circuit_stream(t: Tables):
     return _finish(stages.append_stream(labelled, out, mark), t, out)
 
 
-@query("request_coalesce_ttl")
+@query("request_coalesce_ttl", SQL_SHARED)
 def request_coalesce_ttl(t: Tables):
     source, out, mark = event_stream(t, "coalesce")
     stream = stages.file_stream(t.spark, source, t.events.schema)

@@ -161,7 +161,31 @@ def merge_scalars(t: Tables):
     )
 
 
-@query("merge_texts")
+# The fold of the joined texts as a recursive walk in merge order.
+SQL_FOLD = f"""
+src AS (SELECT source, turn, 'description' AS field, '' AS item, description AS v FROM turned
+  UNION ALL SELECT source, turn, 'tagline', '', tagline FROM turned
+  UNION ALL SELECT source, turn, 'service_description', 'svc ' || doc_id % 5, substr(text, 1, 80) FROM turned
+  UNION ALL SELECT source, turn, 'service_methodology', 'svc ' || doc_id % 5, lang FROM turned),
+num AS (SELECT *, row_number() OVER (PARTITION BY source, field, item ORDER BY turn) AS rn FROM src WHERE v <> ''),
+fold AS (
+  SELECT source, field, item, rn, v AS cur FROM num WHERE rn = 1
+  UNION ALL
+  SELECT source, field, item, rn, CASE WHEN x <> '' AND y <> '' AND NOT contains(x, y) AND NOT contains(y, x)
+      AND len(list_intersect(wx, wy)) / greatest(len(wx), len(wy)) < 0.3::DOUBLE THEN {sql_strip('cur')} || '. ' || {sql_strip('v')}
+      WHEN length(v) > length(cur) THEN v ELSE cur END
+  FROM (SELECT *, list_distinct(list_filter(regexp_split_to_array(x, '{SQL_WS}+'), lambda w: w <> '')) AS wx,
+          list_distinct(list_filter(regexp_split_to_array(y, '{SQL_WS}+'), lambda w: w <> '')) AS wy
+        FROM (SELECT n.source, n.field, n.item, n.rn, n.v, f.cur, lower({sql_strip('f.cur')}) AS x, lower({sql_strip('n.v')}) AS y
+              FROM fold f JOIN num n ON n.source = f.source AND n.field = f.field AND n.item = f.item AND n.rn = f.rn + 1))),
+joined AS (SELECT source, field, item, arg_max(cur, rn) AS value FROM fold GROUP BY ALL)
+"""
+
+
+@query(
+    "merge_texts",
+    f"WITH RECURSIVE {SQL_PARTIALS}, {SQL_FOLD} SELECT source AS cnpj_basico, field, item, value FROM joined",
+)
 def merge_texts(t: Tables):
     return P.joined_texts(P.ranked_profiles(partial_profiles(t)))
 
@@ -215,7 +239,19 @@ def merge_cases(t: Tables):
     )
 
 
-@query("merge_services")
+@query(
+    "merge_services",
+    f"""WITH RECURSIVE {SQL_PARTIALS}, {SQL_FOLD},
+    sv AS (SELECT source, turn, 'svc ' || doc_id % 5 AS name, 'ideal ' || doc_id % 11 AS ideal, w FROM turned),
+    sf AS (SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY min(turn)) AS rn, {_longest_sql('ideal')} AS ideal_client_profile FROM sv GROUP BY source, name),
+    dv AS (SELECT source, name, value, min(turn * 1000 + pos) AS place FROM (SELECT source, name, turn, unnest(w[1:2]) AS value, unnest(range(least(2, len(w)))) AS pos FROM sv) GROUP BY ALL),
+    dr AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY place) AS rn FROM dv),
+    dl AS (SELECT source, name, string_agg(value, '|' ORDER BY rn) AS deliverables FROM dr WHERE rn <= 20 GROUP BY source, name)
+    SELECT sf.source AS cnpj_basico, sf.name, d.value AS description, m.value AS methodology, coalesce(deliverables, '') AS deliverables, ideal_client_profile
+    FROM sf LEFT JOIN dl ON dl.source = sf.source AND dl.name = sf.name
+      LEFT JOIN joined d ON d.source = sf.source AND d.item = sf.name AND d.field = 'service_description'
+      LEFT JOIN joined m ON m.source = sf.source AND m.item = sf.name AND m.field = 'service_methodology' WHERE sf.rn <= 20""",
+)
 def merge_services(t: Tables):
     ranked = P.ranked_profiles(partial_profiles(t))
     merged = P.merge_services(ranked, P.joined_texts(ranked))

@@ -283,15 +283,27 @@ def url_join(t: Tables):
     return pairs.select("page_id", "ref", U.url_join(F.col("url"), F.col("ref")).alias("joined"))
 
 
-@query("normalize_url")
+def sql_encoded(parts: str, sep: str) -> str:
+    return f"array_to_string(list_transform(string_split({parts}, '{sep}'), lambda x: url_encode(x)), '{sep}')"
+
+
+@query(
+    "normalize_url",
+    f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([a-z]+)://', 1) || '://' || {SQL_NETLOC} AS root, {sql_path('url')} AS p,
+      {sql_query('url')} AS q FROM pages),
+    e AS (SELECT *, {sql_encoded('p', '/')} AS ep, array_to_string(list_transform(string_split(q, '&'), lambda x: CASE WHEN contains(x, '=')
+        THEN url_encode(split_part(x, '=', 1)) || '=' || url_encode(substr(x, strpos(x, '=') + 1)) ELSE url_encode(x) END), '&') AS eq FROM u)
+    SELECT page_id, root || ep || CASE WHEN q <> '' THEN '?' || eq ELSE '' END AS same,
+      root || ep || CASE WHEN q <> '' THEN '?' || eq || '%2F%C3%A9%20f%3Fk%3D%C3%BC%20v' ELSE '' END AS extended FROM e""",
+)
 def normalize_url(t: Tables):
-    rough = F.concat(F.lit(' "'), F.col("url"), F.lit('/á b%20%22x?k=ü v&w",, '))
-    plain = F.concat(F.col("url"), F.lit("/é f?k=ü v&w,"))
+    # Quoted, with commas and a fragment behind; queries get letters to encode.
+    has_query = U.query(F.col("url")) != ""
+    bare = F.regexp_replace("url", "#.*$", "")
+    rough = F.concat(F.lit(' "'), bare, F.lit('",, '))
+    extended = F.when(has_query, F.concat(bare, F.lit("/é f?k=ü v,"))).otherwise(bare)
     return t.pages.select(
-        "page_id",
-        U.normalize_url(F.col("url")).alias("same"),
-        U.normalize_url(rough).alias("rough"),
-        U.normalize_url(plain).alias("plain"),
+        "page_id", U.normalize_url(rough).alias("same"), U.normalize_url(extended).alias("extended")
     )
 
 
@@ -576,11 +588,15 @@ def slow_site(t: Tables):
     )
 
 
-@query("robots_allowed")
+@query(
+    "robots_allowed",
+    f"""WITH h AS (SELECT {SQL_SITE} AS host, page_id FROM pages)
+    SELECT host, page_id, CASE length(host) % 4 WHEN 0 THEN 'false' WHEN 1 THEN 'true' WHEN 2 THEN 'false' ELSE 'unknown' END AS allowed FROM h""",
+)
 def robots_allowed(t: Tables):
-    # One robots file per host, its rules chosen by the host name.
+    # One robots file per host, its rules chosen by the length of the host name.
     hosts = t.pages.select(U.url_domain(F.col("url")).alias("host"), "page_id")
-    kind = F.pmod(F.xxhash64("host"), F.lit(4))
+    kind = F.length("host") % 4
     files = hosts.select("host").distinct().select(
         "host",
         F.when(kind == 0, "User-agent: *\nDisallow: /\n")
@@ -588,7 +604,8 @@ def robots_allowed(t: Tables):
         .when(kind == 2, "User-agent: *\n Disallow: / \n")
         .alias("robots_txt"),
     )
-    return A.allowed_links(hosts, files)
+    allowed = F.coalesce(F.col("allowed").cast("string"), F.lit("unknown"))
+    return A.allowed_links(hosts, files).withColumn("allowed", allowed)
 
 
 @query(

@@ -222,9 +222,10 @@ def evidence_map(routes: DataFrame) -> DataFrame:
     )
 
 
-def merge_facts(facts: DataFrame) -> DataFrame:
+def merge_facts(facts: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """One merged record per company: identity, contact, offerings, reputation, evidence.
 
+    ``companies`` holds the keys that get a record; without it, those with facts.
     The routed facts are read four times, so they are written once.
     """
     routes = staged(routed(facts), "routes")
@@ -239,7 +240,7 @@ def merge_facts(facts: DataFrame) -> DataFrame:
         return F.coalesce(mine, F.array().cast("array<string>")).alias(field.split(".")[1])
 
     wide = lists.groupBy("cnpj_basico").agg(*[items(f) for f in MERGED_CAPS])
-    keys = routes.select("cnpj_basico").distinct()
+    keys = (companies if companies is not None else routes).select("cnpj_basico").distinct()
     joined = (
         keys.join(merge_identity(routes), "cnpj_basico", "left")
         .join(wide, "cnpj_basico", "left")

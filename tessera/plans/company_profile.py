@@ -14,7 +14,7 @@ def profiles_from_chunks(chunks: DataFrame) -> DataFrame:
     ``chunks`` holds (cnpj_basico, chunk_index, chunk_content, page_source array).
     """
     facts = O.bundle_facts(O.validate_facts(O.extract_facts(chunks)))
-    return P.build_profile(O.merge_facts(facts))
+    return P.build_profile(O.merge_facts(facts, companies=chunks))
 
 
 def discoveries_from_searches(requests: DataFrame, log: DataFrame, names: DataFrame) -> DataFrame:
