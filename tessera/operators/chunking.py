@@ -64,21 +64,22 @@ def _cut_line(line: str, limit: int) -> list[str]:
     return pieces
 
 
-def _fill(parts: list[str], ending: str, limit: int, cut) -> list[str]:
-    """Put parts into pieces up to the limit; an oversize part is cut further.
+def _fill(parts: list[str], ending: str, bound: int, unit: int, cut) -> list[str]:
+    """Put parts into pieces up to the bound; an oversize part is cut further.
 
-    Text gathered before an oversize part becomes a piece of its own.
+    Sizes are counted per part in whole units. Text gathered before an oversize
+    part becomes a piece of its own.
     """
     pieces: list[str] = []
     held: list[str] = []
     used = 0
     for part in parts:
-        cost = (len(part) + len(ending)) // CHARS_PER_TOKEN
-        full = used + cost > limit
+        cost = (len(part) + len(ending)) // unit
+        full = used + cost > bound
         if held and full:
             pieces.append("".join(held))
             held, used = [], 0
-        if cost > limit:
+        if cost > bound:
             pieces.extend(cut(part))
         else:
             held.append(part + ending)
@@ -86,27 +87,46 @@ def _fill(parts: list[str], ending: str, limit: int, cut) -> list[str]:
     return pieces + ["".join(held)] if held else pieces
 
 
-def split_text(text: str, limit: int) -> list[str]:
-    """Paragraphs, else lines, else stretches of characters, all within the limit."""
-    blank = "\n\n" in text
+def split_text(text: str, limit: int, exact: bool = False) -> list[str]:
+    """Paragraphs, else lines, else stretches of characters, up to the limit.
+
+    Tokens are counted per part and rounded down, so a piece of many parts can
+    end a little over the limit; ``exact`` counts characters and never does.
+    """
+    bound, unit = (limit * CHARS_PER_TOKEN + CHARS_PER_TOKEN - 1, 1) if exact else (limit, CHARS_PER_TOKEN)
 
     def by_chars(line: str) -> list[str]:
         return _cut_line(line, limit)
 
     def by_lines(paragraph: str) -> list[str]:
-        return _fill(paragraph.split("\n"), "\n", limit, by_chars)
+        return _fill(paragraph.split("\n"), "\n", bound, unit, by_chars)
+
+    if "\n\n" in text:
+        return _fill(text.split("\n\n"), "\n\n", bound, unit, by_lines)
+    return _fill(text.split("\n"), "\n", bound, unit, by_chars)
+
 
-    if blank:
-        return _fill(text.split("\n\n"), "\n\n", limit, by_lines)
-    return _fill(text.split("\n"), "\n", limit, by_chars)
+def split_within(text: str, limit: int) -> list[str]:
+    """``split_text`` with every piece brought under the limit."""
+    return [
+        piece
+        for first in split_text(text, limit)
+        for piece in (
+            [first] if len(first) // CHARS_PER_TOKEN <= limit else split_text(first, limit, exact=True)
+        )
+    ]
 
 
-def split_large(c: Column, limit: int) -> Column:
-    """Array of pieces; a text within the limit stays whole and stays in the JVM."""
+def split_large(c: Column, limit: int, strict: bool = False) -> Column:
+    """Array of pieces; a text within the limit stays whole and stays in the JVM.
+
+    ``strict`` guarantees the limit for every piece.
+    """
+    split = split_within if strict else split_text
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_text(t, limit))
+        return texts.map(lambda t: None if t is None else split(t, limit))
 
     oversize = estimate_tokens(c) > limit
     return F.coalesce(cut(F.when(oversize, c)), F.array(c))
@@ -174,7 +194,7 @@ def chunk_pages(texts: DataFrame, urls: DataFrame, rules: ChunkRules = ChunkRule
     """Page texts (site, page_ord, text) to numbered chunks.
 
     Long pages are split, pieces are packed, and packed chunks that came out over
-    the limit once joined are split again. Returns (site, chunk_index,
+    the limit once joined are split again until none is over it. Returns (site, chunk_index,
     total_chunks, content, tokens, pages_included).
     """
     order = ("page_ord", "piece_no")
@@ -210,7 +230,7 @@ def chunk_pages(texts: DataFrame, urls: DataFrame, rules: ChunkRules = ChunkRule
         "site",
         "chunk_no",
         "pages_included",
-        F.posexplode(split_large(F.col("joined"), rules.limit)).alias("sub_no", "content"),
+        F.posexplode(split_large(F.col("joined"), rules.limit, strict=True)).alias("sub_no", "content"),
     )
     return number_chunks(staged(final, "chunks"))
 

@@ -223,7 +223,8 @@ def ordered_fold(
                 if held is not None and held[0] != row_key:
                     done.append(held)
                 held = (row_key, state)
-            yield _frame(done)
+            if done:
+                yield _frame(done)
         if held is not None and part not in goes_on:
             yield _frame([held])
 
