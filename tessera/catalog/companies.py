@@ -366,7 +366,7 @@ ANSWER = """CASE event_id % 7 WHEN 0 THEN concat('{"site": "https://e', event_id
 )
 def discovery_parse(t: Tables):
     site = D.discovery_answer(F.expr(ANSWER))
-    return t.events.select("event_id", F.coalesce(site, F.lit("")).alias("site"))
+    return t.spread("events").select("event_id", F.coalesce(site, F.lit("")).alias("site"))
 
 
 RETRY_HEADER = """CASE event_id % 6 WHEN 0 THEN CAST(event_id % 90 AS STRING) WHEN 1 THEN ' 7.5 ' WHEN 2 THEN '-3' WHEN 3 THEN 'soon' WHEN 4 THEN '' END"""

@@ -515,7 +515,7 @@ JSON_ANSWER = """CASE event_id % 7 WHEN 0 THEN concat(' ', props, ' ') WHEN 1 TH
       CASE event_id % 7 WHEN 5 THEN 'unparseable' WHEN 6 THEN 'empty' ELSE '' END AS reject_reason FROM events""",
 )
 def json_extract(t: Tables):
-    found = t.events.select("event_id", N.json_extract(F.expr(JSON_ANSWER)).alias("r")).select("event_id", "r.*")
+    found = t.spread("events").select("event_id", N.json_extract(F.expr(JSON_ANSWER)).alias("r")).select("event_id", "r.*")
     return found.na.fill("")
 
 
@@ -535,7 +535,7 @@ PROFILE_ANSWER = """CASE event_id % 4
       CASE event_id % 4 WHEN 2 THEN 'Desafio: hard work...|Caso: CC' ELSE '' END AS cases, event_id % 4 <> 3 AS is_profile FROM events""",
 )
 def normalize_response(t: Tables):
-    p = t.events.select("event_id", N.normalize_response(F.expr(PROFILE_ANSWER)).alias("p"))
+    p = t.spread("events").select("event_id", N.normalize_response(F.expr(PROFILE_ANSWER)).alias("p"))
 
     def joined(c: Column) -> Column:
         return F.coalesce(F.array_join(c, "|"), F.lit(""))

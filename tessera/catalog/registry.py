@@ -26,8 +26,16 @@ class Tables:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self._spread(name, df) if name in TEXT_TABLES else df
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for row work that costs much CPU, on all cores also when small."""
+        return self._spread(name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
     def _spread(self, name: str, df: DataFrame) -> DataFrame:
-        """``spread``, asking for the partition count once per table."""
+        """Give a table stored as one small file a partition per core.
+
+        At scale a scan has many more partitions than cores and is left alone. The
+        partition count is asked for once per table.
+        """
         seen = (self.spark.sparkContext.applicationId, self.folder, name)
         if seen not in _IS_NARROW:
             cores = self.spark.sparkContext.defaultParallelism

@@ -235,13 +235,17 @@ def normalize_response(json: Column) -> Column:
     strict reader would throw the whole profile away.
     """
 
-    def section(root: Column, name: str) -> Column:
-        return F.when(_is_object(_get(root, name)), _get(root, name))
+    names = ["identity", "classification", "team", "offerings", "reputation", "contact"]
 
-    def build(root: Column) -> Column:
-        identity, classification = section(root, "identity"), section(root, "classification")
-        team, offerings = section(root, "team"), section(root, "offerings")
-        reputation, contact = section(root, "reputation"), section(root, "contact")
+    def sections(root: Column) -> Column:
+        """Each section once, so that it is not looked up again for every field."""
+        found = [
+            let(_get(root, n), lambda v: F.when(_is_object(v), v)).alias(n) for n in names
+        ]
+        return F.struct(*found, _get(root, "sources").alias("sources"))
+
+    def build(parts: Column) -> Column:
+        identity, classification, team, offerings, reputation, contact = [parts[n] for n in names]
         size = _get(team, "size_range")
         address = _get(contact, "headquarters_address")
         first_line = F.get(_items(address), F.lit(0))
@@ -275,11 +279,11 @@ def normalize_response(json: Column) -> Column:
                 .when(_truthy(first_line), _shown(first_line))
                 .alias("headquarters_address"),
             ).alias("contact"),
-            _texts_of(_get(root, "sources")).alias("sources"),
+            _texts_of(parts["sources"]).alias("sources"),
         )
 
     root = let(
         F.try_parse_json(json),
         lambda v: F.when(_is_object(v), v).otherwise(F.get(_items(v), F.lit(0))),
     )
-    return let(root, lambda r: F.when(_is_object(r), build(r)))
+    return let(root, lambda r: F.when(_is_object(r), let(sections(r), build)))

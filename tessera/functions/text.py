@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,9 +16,12 @@ WS = (
 EOL_SET = r"\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 EOL = rf"(?:\r\n|[\r{EOL_SET}])"
 WORD = r"[\p{L}\p{N}_]+"
-# White space up to the end, tried only where a run begins: a long run inside the
-# text is passed over once instead of once per character.
-_TAIL = rf"(?<!{WS}){WS}+\z"
+# The same characters as a plain string, for Spark's trim functions.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 # White space that is no line end, then a line end, then the rest of the run.
 BREAK = rf"(?<!{WS})[\t\x1f\x20\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]*+[\r{EOL_SET}]{WS}*+"
 
@@ -41,15 +45,15 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+", "")
+    return F.ltrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, _TAIL, "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{_TAIL}", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -79,8 +83,14 @@ def lines_with_ends(c: Column) -> Column:
 
 
 def contains_any(c: Column, needles: list[str] | tuple[str, ...]) -> Column:
-    """True when any literal needle occurs in ``c``; one regex, one scan."""
-    return c.rlike("|".join(_quote(n) for n in needles))
+    """True when any literal needle occurs in ``c``.
+
+    Few needles are looked for one by one, which beats a regex on long texts;
+    many go into one alternation.
+    """
+    if len(needles) > 16:
+        return c.rlike("|".join(_quote(n) for n in needles))
+    return reduce(lambda found, n: found | F.contains(c, F.lit(n)), needles[1:], F.contains(c, F.lit(needles[0])))
 
 
 def count_hits(c: Column, needles: list[str] | tuple[str, ...]) -> Column:

@@ -76,19 +76,21 @@ def ranked_profiles(partials: DataFrame) -> DataFrame:
     """Partial profiles with their place: the most complete one first, then in order.
 
     ``partials`` holds (cnpj_basico, ord, profile). The base is found with an
-    aggregate over two numbers per row.
+    aggregate over two numbers per row. The result is written once: each part of
+    a merge then reads just the nested fields it needs.
     """
     scored = partials.withColumn("score", P.completeness_score("profile"))
     base = scored.groupBy("cnpj_basico").agg(
         F.min_by("ord", F.struct(-F.col("score"), "ord")).alias("base_ord"),
         F.count("*").alias("n_partials"),
     )
-    return scored.join(base, "cnpj_basico").select(
+    placed = scored.join(base, "cnpj_basico").select(
         "cnpj_basico",
         F.struct((F.col("ord") != F.col("base_ord")).alias("later"), "ord").alias("turn"),
         "n_partials",
         "profile",
     )
+    return staged(placed, "ranked")
 
 
 def merge_scalars(ranked: DataFrame) -> DataFrame:
@@ -290,10 +292,9 @@ def merge_profiles(partials: DataFrame) -> DataFrame:
     """One profile per company out of its partial ones.
 
     A company with a single partial keeps it as it is. Every part is an aggregate
-    keyed by company and value, so no company is gathered into one task; the
-    ranked partials are read by all parts and are therefore written once.
+    keyed by company and value, so no company is gathered into one task.
     """
-    ranked = staged(ranked_profiles(partials), "ranked")
+    ranked = ranked_profiles(partials)
     single = ranked.where(F.col("n_partials") == 1).select("cnpj_basico", "profile")
     several = ranked.where(F.col("n_partials") > 1)
     scalars = merge_scalars(several)
