@@ -293,8 +293,9 @@ def merge_profiles(t: Tables):
 
 @query("multi_chunk_profile")
 def multi_chunk_profile(t: Tables):
-    # Every seventh chunk failed and holds no profile.
-    partials = partial_profiles(t).withColumn("profile", F.when(F.col("ord") % 7 != 0, F.col("profile")))
+    # A chunk whose answer names neither the company nor its model counts as failed.
+    told = F.col("profile.identity.company_name").isNotNull() | F.col("profile.classification.business_model").isNotNull()
+    partials = partial_profiles(t).withColumn("profile", F.when(told, F.col("profile")))
     return M.multi_chunk_profile(partials).select(
         "cnpj_basico", V.completeness_score("profile").alias("score"), F.to_json("profile").alias("profile")
     )

@@ -128,7 +128,7 @@ def _get(v: Column, name: str) -> Column:
 
 def _text(v: Column) -> Column:
     """The string in a variant, null for every other kind."""
-    return F.when(_is_text(v), F.try_variant_get(v, "$", "string"))
+    return let(v, lambda x: F.when(_is_text(x), F.try_variant_get(x, "$", "string")))
 
 
 def _filled_text(v: Column) -> Column:
@@ -149,20 +149,21 @@ def _text_list(v: Column, name: str, from_single: bool) -> Column:
     cap = S.LIST_CAPS[name]
     items = _texts_of(v)
     if from_single:
-        items = F.when(_filled_text(v).isNotNull(), F.array(_filled_text(v))).otherwise(items)
+        listed = items
+        items = let(_filled_text(v), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(listed))
     return unique_trimmed(items, cap).alias(name)
 
 
 def _name_of(v: Column) -> Column:
     """String of an item, or the first name an object gives itself."""
-    named = F.coalesce(*[F.when(_truthy(_get(v, k)), _get(v, k)) for k in NAME_KEYS])
+    named = F.coalesce(*[let(_get(v, k), lambda x: F.when(_truthy(x), x)) for k in NAME_KEYS])
     return F.when(_is_object(v), _filled_text(named)).otherwise(_filled_text(v))
 
 
 def _truthy(v: Column) -> Column:
     """Set and not empty, zero or false."""
-    shown = F.to_json(v)
-    return F.coalesce(~shown.isin("null", '""', "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    empty = ["null", '""', "0", "0.0", "false", "[]", "{}"]
+    return F.coalesce(~F.to_json(v).isin(empty), F.lit(False))
 
 
 def _shown(v: Column) -> Column:
@@ -171,11 +172,9 @@ def _shown(v: Column) -> Column:
 
 
 def _named_list(v: Column, name: str) -> Column:
-    single = _filled_text(v)
-    items = F.filter(F.transform(_items(v), _name_of), lambda s: s.isNotNull())
-    return unique_trimmed(
-        F.when(single.isNotNull(), F.array(single)).otherwise(items), S.LIST_CAPS[name]
-    ).alias(name)
+    names = F.filter(F.transform(_items(v), _name_of), lambda s: s.isNotNull())
+    items = let(_filled_text(v), lambda one: F.when(one.isNotNull(), F.array(one)).otherwise(names))
+    return unique_trimmed(items, S.LIST_CAPS[name]).alias(name)
 
 
 def _url(v: Column, wanted) -> Column:
@@ -221,6 +220,11 @@ def _case(v: Column) -> Column:
     )
 
 
+def _field(section: Column, name: str, read, *options) -> Column:
+    """A field read by ``read``, looked up once."""
+    return let(_get(section, name), lambda v: read(v, name, *options)).alias(name)
+
+
 def _structs(v: Column, build, key: str, name: str) -> Column:
     objects = F.filter(_items(v), _is_object)
     kept = F.filter(F.transform(objects, build), lambda s: s[key].isNotNull())
@@ -260,19 +264,19 @@ def normalize_response(json: Column) -> Column:
             ).alias("classification"),
             F.struct(
                 F.when(_is_text(size), _text(size)).when(_truthy(size), _shown(size)).alias("size_range"),
-                *[_text_list(_get(team, f), f, True) for f in S.TEAM_LISTS],
+                *[_field(team, f, _text_list, True) for f in S.TEAM_LISTS],
             ).alias("team"),
             F.struct(
-                *[_text_list(_get(offerings, f), f, False) for f in S.OFFERING_LISTS],
+                *[_field(offerings, f, _text_list, False) for f in S.OFFERING_LISTS],
                 _structs(_get(offerings, "product_categories"), _category, "category_name", "product_categories"),
                 _structs(_get(offerings, "service_details"), _service, "name", "service_details"),
             ).alias("offerings"),
             F.struct(
-                *[_named_list(_get(reputation, f), f) for f in S.REPUTATION_LISTS],
+                *[_field(reputation, f, _named_list) for f in S.REPUTATION_LISTS],
                 _structs(_get(reputation, "case_studies"), _case, "title", "case_studies"),
             ).alias("reputation"),
             F.struct(
-                *[_text_list(_get(contact, f), f, True) for f in S.CONTACT_LISTS],
+                *[_field(contact, f, _text_list, True) for f in S.CONTACT_LISTS],
                 _url(_get(contact, "linkedin_url"), lambda u: F.contains(F.lower(u), F.lit("linkedin"))).alias("linkedin_url"),
                 _url(_get(contact, "website_url"), lambda u: u.startswith("http")).alias("website_url"),
                 F.when(_is_text(address), _text(address))

@@ -6,10 +6,11 @@ when one key holds a third of a large table. Here rows are range-partitioned by
 
 * ``running_totals``: sums up to each row. Every partition sums on its own, then
   the totals of earlier partitions of the same key are added.
-* ``ordered_scan``: a state machine over each key. Every partition runs from a
-  guessed state; only partitions that lie wholly inside one key can have guessed
-  wrong in a way that matters further on, and only those are run again until the
-  states agree. The result equals one sequential pass per key.
+* ``ordered_scan``: a state machine over each key. What a partition hands to the
+  next is the state of its last key, so only the rows of that key are looked at
+  first. Partitions wholly inside one key start from a guess and are run again
+  until the states agree. Then all rows are labelled in one pass. The result
+  equals one sequential pass per key.
 
 The sorted rows are checkpointed: range bounds come from a sample, and a lost
 executor must not lead to other bounds halfway through.
@@ -88,8 +89,12 @@ Step = Callable[..., tuple[Any, tuple]]
 
 
 def _walk(batches, keys, inputs, step, start, entries, on_batch):
-    """Fold the rows of one partition; returns (part, entered, first, last, state)."""
-    part = first = key = state = entered = None
+    """Fold the rows of one partition; ends with (part, entered, state).
+
+    ``entries`` holds the state of the first key of a partition where it is not
+    the start state; ``entered`` tells which one was used.
+    """
+    part = key = state = entered = None
     for pdf in batches:
         if len(pdf) == 0:
             continue
@@ -101,8 +106,7 @@ def _walk(batches, keys, inputs, step, start, entries, on_batch):
         for row_key, values in zip(row_keys, row_inputs):
             if row_key != key:
                 if key is None:
-                    first, entered = row_key, entries.get(part, start)
-                    state = entered
+                    state = entered = entries.get(part, start)
                 else:
                     state = start
                 key = row_key
@@ -111,49 +115,70 @@ def _walk(batches, keys, inputs, step, start, entries, on_batch):
         if on_batch is not None:
             yield on_batch(pdf, outputs)
     if part is not None and on_batch is None:
-        yield part, entered, first, key, state
+        yield part, entered, state
+
 
+def _key_bounds(ordered: DataFrame, keys: list[str]) -> dict:
+    """First and last key of each partition: one small row per partition."""
+    key = F.struct(*keys)
+    rows = ordered.groupBy(PART).agg(F.min(key).alias("first"), F.max(key).alias("last")).collect()
+    return {r[PART]: (tuple(r["first"]), tuple(r["last"])) for r in rows}
 
-def _ends(ordered, keys, inputs, step, start, entries):
-    """One row per partition: its first and last key and the state it ends in."""
+
+def _last_key_rows(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the last key of each partition, in their places.
+
+    Only these can matter to a later partition. The joined side has one row per
+    partition.
+    """
+    last = ordered.groupBy(PART).agg(F.max(F.struct(*keys)).alias("_last")).select(PART, "_last.*")
+    return ordered.join(F.broadcast(last), [PART, *keys], "left_semi")
+
+
+def _ends(tails, keys, inputs, step, start, entries) -> dict:
+    """State in which each partition's last key ends, one small row per partition."""
 
     def run(batches):
         for end in _walk(batches, keys, inputs, step, start, entries, None):
             yield pd.DataFrame({"end": [pickle.dumps(end)]})
 
-    rows = ordered.mapInPandas(run, "end binary").collect()
+    rows = tails.mapInPandas(run, "end binary").collect()
     return {end[0]: end for end in (pickle.loads(bytes(r["end"])) for r in rows)}
 
 
-def _arrivals(ends: dict) -> dict:
+def _arrivals(bounds: dict, ends: dict) -> dict:
     """The state in which the first key of each partition arrives from the one before."""
     arrivals, previous = {}, None
-    for part in sorted(ends):
-        _, _, first, last, state = ends[part]
+    for part in sorted(bounds):
+        first, last = bounds[part]
         if previous is not None and previous[0] == first:
             arrivals[part] = previous[1]
-        previous = (last, state)
+        previous = (last, ends[part][2])
     return arrivals
 
 
-def settled(ordered, keys, inputs, step, start) -> dict:
-    """Ends of all partitions once every guessed state is the right one.
+def settled(ordered, keys, inputs, step, start) -> tuple[dict, dict]:
+    """Key bounds of all partitions, and the states their first keys arrive in.
 
-    A wrong guess matters further on only where a partition lies wholly inside
-    one key, so only such partitions are run again.
+    A partition's last key starts inside it, and its end is known at once, unless
+    the partition lies wholly inside one key. Such partitions are run from the
+    start state first, and again only where that guess was wrong.
     """
-    ends = _ends(ordered, keys, inputs, step, start, {})
+    bounds = _key_bounds(ordered, keys)
+    tails = _last_key_rows(ordered, keys)
+    ends = _ends(tails, keys, inputs, step, start, {})
     while True:
-        arrivals = _arrivals(ends)
+        arrivals = _arrivals(bounds, ends)
         stale = [
             part
-            for part, (_, entered, first, last, _) in ends.items()
-            if first == last and arrivals.get(part, start) != entered
+            for part, (first, last) in bounds.items()
+            if first == last and arrivals.get(part, start) != ends[part][1]
         ]
         if not stale:
-            return ends
-        again = ordered.where(F.col(PART).isin(stale))
-        ends.update(_ends(again, keys, inputs, step, start, arrivals))
+            return bounds, arrivals
+        known = {part: arrivals[part] for part in stale if part in arrivals}
+        again = tails.where(F.col(PART).isin(stale))
+        ends.update(_ends(again, keys, inputs, step, start, known))
 
 
 def ordered_scan(
@@ -171,8 +196,7 @@ def ordered_scan(
     What reaches the driver is one small row per partition.
     """
     keys, inputs = list(keys), list(inputs)
-    arrivals = _arrivals(settled(ordered, keys, inputs, step, start))
-
+    _, arrivals = settled(ordered, keys, inputs, step, start)
     names = [field.strip().split(" ")[0] for field in outputs.split(",")]
 
     def label(pdf, rows):
@@ -204,11 +228,10 @@ def ordered_fold(
         state = step(state, *values)
         return state, (state,)
 
-    ends = settled(ordered, keys, inputs, with_output, start)
-    arrivals = _arrivals(ends)
-    parts = sorted(ends)
+    bounds, arrivals = settled(ordered, keys, inputs, with_output, start)
+    parts = sorted(bounds)
     # Keys that go on in the next partition are reported there.
-    goes_on = {a for a, b in zip(parts, parts[1:]) if ends[a][3] == ends[b][2]}
+    goes_on = {a for a, b in zip(parts, parts[1:]) if bounds[a][1] == bounds[b][0]}
     name = output.split(" ")[0]
 
     def run(batches):

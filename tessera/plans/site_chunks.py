@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.functions import html as H, urls as U
 from tessera.functions.text import once
 from tessera.operators import access as A, chunking as C, links as N, sites as S
+from tessera.session import staged
 
 
 def pages_from_responses(responses: DataFrame) -> DataFrame:
@@ -34,9 +35,10 @@ def site_chunks(pages: DataFrame, rules: C.ChunkRules = C.ChunkRules()) -> DataF
     """Successful pages (site, page_ord, url, content) to numbered chunks.
 
     Sites with too little text are left out. A chunk without a page mark gets the
-    first five pages of its site.
+    first five pages of its site. The pages are read several times here, so they
+    are written once and their texts are not extracted again.
     """
-    pages = pages.select("site", "page_ord", "url", "content")
+    pages = staged(pages.select("site", "page_ord", "url", "content"), "pages")
     enough = S.min_site_content(pages).select("site")
     pages = pages.join(enough, "site", "left_semi")
     chunks = C.chunk_pages(C.site_page_texts(pages), pages, rules)
