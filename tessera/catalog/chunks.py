@@ -41,11 +41,38 @@ def page_packing(t: Tables):
     return C.page_packing(sized, 2000)
 
 
-@query("split_large")
+# Lines packed into pieces, long lines cut near a space, as two recursive walks.
+SQL_SPLIT_LARGE = """
+WITH RECURSIVE big AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) // 3 > 500),
+part AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM big),
+sized AS (SELECT *, (length(line) + 1) // 3 AS cost FROM part),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS used, TRUE AS fresh, CAST(0 AS BIGINT) AS opened FROM big
+  UNION ALL
+  SELECT s.doc_id, s.pos, CASE WHEN s.cost > 500 THEN 0 WHEN w.fresh OR w.used + s.cost > 500 THEN s.cost ELSE w.used + s.cost END,
+    s.cost > 500, CASE WHEN s.cost > 500 OR w.fresh OR w.used + s.cost > 500 THEN s.pos ELSE w.opened END
+  FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.pos = w.pos + 1),
+held AS (SELECT w.doc_id, w.opened AS pos, CAST(0 AS BIGINT) AS sub, string_agg(s.line || chr(10), '' ORDER BY s.pos) AS piece
+  FROM walk w JOIN sized s ON s.doc_id = w.doc_id AND s.pos = w.pos WHERE s.cost <= 500 GROUP BY w.doc_id, w.opened),
+cuts AS (
+  SELECT doc_id, pos, line, CAST(0 AS BIGINT) AS sub, CAST(0 AS BIGINT) AS start_at, CAST(0 AS BIGINT) AS end_at FROM sized WHERE cost > 500
+  UNION ALL
+  SELECT doc_id, pos, line, sub + 1, end_at, CASE WHEN length(line) - end_at <= 1350 THEN length(line)
+     WHEN length(regexp_extract(substr(line, end_at + 1, 1350), '^(.*) ', 1)) > 945 THEN end_at + length(regexp_extract(substr(line, end_at + 1, 1350), '^(.*) ', 1)) + 1
+     ELSE end_at + 1350 END
+  FROM cuts WHERE end_at < length(line)),
+pieces AS (SELECT doc_id, pos, sub, piece FROM held
+  UNION ALL SELECT doc_id, pos, sub, substr(line, start_at + 1, end_at - start_at) FROM cuts WHERE sub > 0 AND trim(substr(line, start_at + 1, end_at - start_at)) <> ''
+  UNION ALL SELECT doc_id, 0, 0, text FROM documents WHERE length(text) // 3 <= 500)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos, sub) - 1 AS BIGINT) AS piece_no, md5(piece) AS digest, CAST(length(piece) // 3 AS BIGINT) AS tokens FROM pieces
+"""
+
+
+@query("split_large", SQL_SPLIT_LARGE)
 def split_large(t: Tables):
     pieces = C.split_large(F.col("text"), SMALL.limit)
     return t.documents.select("doc_id", F.posexplode(pieces).alias("piece_no", "piece")).select(
-        "doc_id", "piece_no", F.md5("piece").alias("digest"), K.estimate_tokens(F.col("piece")).alias("tokens")
+        "doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.md5("piece").alias("digest"), K.estimate_tokens(F.col("piece")).alias("tokens")
     )
 
 

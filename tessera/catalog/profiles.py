@@ -270,17 +270,16 @@ def merge_sources(t: Tables):
     return rows.select("cnpj_basico", "source", F.col("place.turn.ord").alias("first_ord"))
 
 
-@query(
-    "merge_profiles",
-    f"""WITH {SQL_PARTIALS}, {SQL_UNION},
+def merged_sql(partials: str) -> str:
+    return f"""WITH {partials}, {SQL_UNION},
     n AS (SELECT cnpj_basico, field, count(*) AS n FROM listed WHERE pos <= cap GROUP BY ALL)
     SELECT source AS cnpj_basico, {_longest_sql('company_name')} AS company_name, {_longest_sql('geo')} AS geo,
       CAST((SELECT n FROM n WHERE field = 'offerings.products' AND cnpj_basico = source) AS BIGINT) AS products,
       CAST((SELECT n FROM n WHERE field = 'reputation.client_list' AND cnpj_basico = source) AS BIGINT) AS clients,
-      CAST(count(DISTINCT doc_id % 500) AS BIGINT) AS sources FROM turned GROUP BY source""",
-)
-def merge_profiles(t: Tables):
-    merged = P.merge_profiles(partial_profiles(t))
+      CAST(count(DISTINCT doc_id % 500) AS BIGINT) AS sources FROM turned GROUP BY source"""
+
+
+def merged_summary(merged):
     return merged.select(
         "cnpj_basico",
         F.coalesce("profile.identity.company_name", F.lit("")).alias("company_name"),
@@ -291,14 +290,22 @@ def merge_profiles(t: Tables):
     )
 
 
-@query("multi_chunk_profile")
+@query("merge_profiles", merged_sql(SQL_PARTIALS))
+def merge_profiles(t: Tables):
+    return merged_summary(P.merge_profiles(partial_profiles(t)))
+
+
+SQL_TOLD = SQL_PARTIALS.replace(
+    "FROM documents)", "FROM documents WHERE company_name IS NOT NULL OR business_model IS NOT NULL)"
+)
+
+
+@query("multi_chunk_profile", merged_sql(SQL_TOLD))
 def multi_chunk_profile(t: Tables):
     # A chunk whose answer names neither the company nor its model counts as failed.
     told = F.col("profile.identity.company_name").isNotNull() | F.col("profile.classification.business_model").isNotNull()
     partials = partial_profiles(t).withColumn("profile", F.when(told, F.col("profile")))
-    return M.multi_chunk_profile(partials).select(
-        "cnpj_basico", V.completeness_score("profile").alias("score"), F.to_json("profile").alias("profile")
-    )
+    return merged_summary(M.multi_chunk_profile(partials))
 
 
 @query(
