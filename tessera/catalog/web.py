@@ -14,6 +14,7 @@ from tessera.catalog.text import SQL_WS
 from tessera.functions import html as H, urls as U
 from tessera.functions.text import once
 from tessera.operators import access as A, links as N, sites as S
+from tessera.plans.site_chunks import pages_from_responses
 
 SQL_NETLOC = "regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 SQL_SITE = f"lower({SQL_NETLOC})"
@@ -136,6 +137,25 @@ def distinct_links(t: Tables):
     )
 
 
+@query(
+    "page_model",
+    f"""WITH {sql_links()}, n AS (SELECT page_id, count(*) FILTER (kind = 'page') AS links, count(*) FILTER (kind = 'document') AS documents FROM links GROUP BY page_id)
+    SELECT {SQL_SITE} AS site, page_id AS page_ord, CAST(length({sql_html_text(f"(html || '{SQL_EXTRA}')")}) AS BIGINT) AS chars,
+      links, documents, '' AS error FROM pages JOIN n USING (page_id)""",
+)
+def page_model(t: Tables):
+    responses = t.pages.withColumn("html", F.concat("html", F.lit(EXTRA_ANCHORS)))
+    pages = pages_from_responses(responses)
+    return pages.select(
+        "site",
+        "page_ord",
+        F.length("content").cast("long").alias("chars"),
+        F.size("links").cast("long").alias("links"),
+        F.size("document_links").cast("long").alias("documents"),
+        F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
 # Links put beside the extracted ones, so that every filter rule has work.
 EXTRA_LINKS = [
     "/wp-content/uploads/logo.ico", "/assets/page", "/view?file=A.JPG", "/report.pdf,", "/sobre",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -110,8 +109,3 @@ def _text_of(markup: str) -> str:
 def html_text_exact(html: pd.Series) -> pd.Series:
     """Same result from a real HTML parser, every entity included."""
     return html.map(lambda h: None if h is None else _text_of(h))
-
-
-@F.pandas_udf(StringType())
-def decode_entities_exact(c: pd.Series) -> pd.Series:
-    return c.map(lambda v: None if v is None else unescape(v))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.functions.tokens import LOOP_RETRY_FACTOR, max_output_tokens, repetition_loop
+from tessera.functions.tokens import max_output_tokens, repetition_loop
 from tessera.operators.profiles import merge_profiles
 
 # Temperatures of the first call and of the call after a loop.
@@ -109,9 +109,3 @@ def degenerate_retry(rows: DataFrame, key: str, tokens: Column, limit: int, call
 def multi_chunk_profile(partials: DataFrame) -> DataFrame:
     """Partial profiles of the chunks of a company to one; failed chunks hold null."""
     return merge_profiles(partials.where(F.col("profile").isNotNull()))
-
-
-__all__ = [
-    "LOOP_RETRY_FACTOR", "degenerate_retry", "discovery_prompt", "fact_prompt", "model_map",
-    "multi_chunk_profile", "numbered_links", "with_call_settings",
-]
