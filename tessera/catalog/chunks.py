@@ -101,6 +101,8 @@ def _digest(chunks):
     )
 
 
+# The SQL packs whole pages. It says the same as long as no page and no joined chunk
+# is over the limit and has to be split; the tests cover splitting.
 @query(
     "site_chunk_stats",
     f"""WITH RECURSIVE {SQL_SITE_PAGES},

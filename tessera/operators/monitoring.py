@@ -113,6 +113,11 @@ def best_provider(health: DataFrame) -> DataFrame:
     return usable.agg(F.min_by("provider", F.struct(-F.col("health_score"), "provider")).alias("provider"))
 
 
+def _rounded(value: Column, places: int) -> Column:
+    """Round the value itself; Spark's ``round`` rounds its shortest decimal text."""
+    return F.floor(value * 10**places + 0.5) / 10**places
+
+
 def call_stats(calls: DataFrame, *keys: str) -> DataFrame:
     """Totals, success share, mean latency of successes, rate-limited calls."""
     ok = F.col("ok")
@@ -131,8 +136,8 @@ def call_stats(calls: DataFrame, *keys: str) -> DataFrame:
             "success",
             "failed",
             "rate_limited",
-            F.round(F.col("success") / F.col("total") * 100, 1).alias("success_percent"),
-            F.when(F.col("success") > 0, F.round(F.col("latency_sum") / F.col("success"), 2))
+            _rounded(F.col("success") / F.col("total") * 100, 1).alias("success_percent"),
+            F.when(F.col("success") > 0, _rounded(F.col("latency_sum") / F.col("success"), 2))
             .otherwise(0.0)
             .alias("avg_latency_ms"),
         )
