@@ -10,7 +10,7 @@ from tessera.catalog.web import SQL_BLOCK, SQL_SITE_PAGES, site_pages
 from tessera.functions import tokens as K
 from tessera.operators import chunking as C, sites as S
 from tessera.plans.site_chunks import site_chunks
-from tessera.session import scratch_folder
+from tessera.session import scratch_folder, staged
 from tessera.sources import stores
 
 SMALL = C.ChunkRules(limit=500, hard_limit=600, min_chars=200)
@@ -38,7 +38,8 @@ walk(site, rn, used, grp) AS (
 def page_packing(t: Tables):
     pages = S.successful_pages(site_pages(t))
     sized = pages.select("site", "page_ord", K.estimate_tokens(F.col("content")).alias("tokens"))
-    return C.page_packing(sized, 2000)
+    # Sorting by range reads its input twice, once for the sample.
+    return C.page_packing(staged(sized, "sizes"), 2000)
 
 
 # Lines packed into pieces, long lines cut near a space, as two recursive walks.
@@ -78,7 +79,7 @@ def split_large(t: Tables):
 
 @query("chunk_content")
 def chunk_content(t: Tables):
-    pages = S.successful_pages(site_pages(t))
+    pages = staged(S.successful_pages(site_pages(t)), "pages")
     texts = pages.select(
         "site", "page_ord", S.page_block(F.col("url"), F.col("content")).alias("text")
     )
@@ -165,7 +166,8 @@ def chunk_stats(t: Tables):
       CAST(length({SQL_BLOCK}) + CASE WHEN rn < total THEN 2 ELSE 0 END AS BIGINT) AS chars FROM n""",
 )
 def split_pages(t: Tables):
-    joined = S.site_content(S.successful_pages(site_pages(t)))
+    pages = S.successful_pages(site_pages(t)).select("site", "page_ord", "url", "content")
+    joined = S.site_content(staged(pages, "pages"))
     pages = C.split_marked_text(joined.select("site", "content"))
     return pages.select(
         "site", F.col("page_ord").cast("long").alias("page_ord"), "url", F.length("page").cast("long").alias("chars")

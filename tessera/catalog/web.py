@@ -15,6 +15,7 @@ from tessera.functions import html as H, urls as U
 from tessera.functions.text import once
 from tessera.operators import access as A, links as N, sites as S
 from tessera.plans.site_chunks import pages_from_responses
+from tessera.session import staged
 
 SQL_NETLOC = "regexp_extract(url, '^(?:[a-zA-Z][a-zA-Z0-9+.\\-]*:)?//([^/?#]*)', 1)"
 SQL_SITE = f"lower({SQL_NETLOC})"
@@ -634,8 +635,9 @@ def robots_allowed(t: Tables):
     string_agg({SQL_BLOCK}, chr(10) || chr(10) ORDER BY page_ord) AS content FROM ok GROUP BY site""",
 )
 def site_content(t: Tables):
+    # Read three times below; the texts are taken out of the markup once.
     pages = S.successful_pages(site_pages(t)).select("site", "page_ord", "url", "content")
-    return S.site_content(pages)
+    return S.site_content(staged(pages, "pages"))
 
 
 @query(

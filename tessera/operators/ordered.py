@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -44,6 +45,13 @@ def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     )
 
 
+def _join_same(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Equi-join that also matches missing keys with missing keys."""
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(right, same, how).drop(*[f"_r_{c}" for c in on])
+
+
 def running_totals(
     ordered: DataFrame,
     keys: Sequence[str],
@@ -79,7 +87,7 @@ def running_totals(
         # this side has at most one row per partition.
         first = next(iter(totals))
         carried = F.broadcast(carried.where(F.col(f"_before_{first}").isNotNull()))
-    joined = local.join(carried, on, "left")
+    joined = _join_same(local, carried, on, "left")
     return joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in totals}
     ).drop(*[f"_before_{n}" for n in totals])
@@ -88,6 +96,13 @@ def running_totals(
 Step = Callable[..., tuple[Any, tuple]]
 
 
+def _values(column: pd.Series) -> list:
+    """Plain values of a column, ``None`` for missing ones."""
+    if column.isna().any():
+        column = column.astype(object).where(column.notna(), None)
+    return column.tolist()
+
+
 def _walk(batches, keys, inputs, step, start, entries, on_batch):
     """Fold the rows of one partition; ends with (part, entered, state).
 
@@ -100,8 +115,8 @@ def _walk(batches, keys, inputs, step, start, entries, on_batch):
             continue
         if part is None:
             part = int(pdf[PART].iloc[0])
-        row_keys = zip(*[pdf[k].tolist() for k in keys])
-        row_inputs = zip(*[pdf[c].tolist() for c in inputs])
+        row_keys = zip(*[_values(pdf[k]) for k in keys])
+        row_inputs = zip(*[_values(pdf[c]) for c in inputs])
         outputs = []
         for row_key, values in zip(row_keys, row_inputs):
             if row_key != key:
@@ -132,7 +147,7 @@ def _last_key_rows(ordered: DataFrame, keys: list[str]) -> DataFrame:
     partition.
     """
     last = ordered.groupBy(PART).agg(F.max(F.struct(*keys)).alias("_last")).select(PART, "_last.*")
-    return ordered.join(F.broadcast(last), [PART, *keys], "left_semi")
+    return _join_same(ordered, F.broadcast(last), [PART, *keys], "left_semi")
 
 
 def _ends(tails, keys, inputs, step, start, entries) -> dict:
@@ -242,7 +257,7 @@ def ordered_fold(
         ):
             part = int(pdf[PART].iloc[0])
             done: list[tuple] = []
-            for row_key, (state,) in zip(zip(*[pdf[k].tolist() for k in keys]), rows):
+            for row_key, (state,) in zip(zip(*[_values(pdf[k]) for k in keys]), rows):
                 if held is not None and held[0] != row_key:
                     done.append(held)
                 held = (row_key, state)

@@ -185,3 +185,27 @@ def test_fetch_expiry():
     assert (state, out) == (0, (True, 0))  # a hit does not extend the time
     state, out = M.fetch_step(state, 3_600_000_001, False)
     assert (state, out) == (M.FETCH_START, (False, 3_600_000_001))  # empty answers are not kept
+
+
+def test_missing_keys_are_a_key(spark):
+    rows = [(None if i % 2 else i % 5, i, i % 7) for i in range(1200)]
+    shape = "k long, o long, v long"
+    ordered = range_sorted(spark.createDataFrame(rows, shape), ["k"], ["o"])
+    assert ordered.where("k is null").select(PART).distinct().count() > 1
+    totals = running_totals(ordered, ["k"], ["o"], {"n": F.lit(1)}, {"all": F.lit(1)}).collect()
+    scanned = {(r.k, r.o): r.s for r in ordered_scan(ordered, ["k"], ["v"], drifting, 7, "s long").collect()}
+    folded = {r.k: r.s for r in ordered_fold(ordered, ["k"], ["v"], lambda s, v: drifting(s, v)[0], 7, "s long").collect()}
+    counted = {(r.k, r.o): (r.n, r["all"]) for r in totals}
+    for key, group in by_key(rows).items():
+        state = 7
+        for place, (_, o, v) in enumerate(group, 1):
+            state, _ = drifting(state, v)
+            assert scanned[key, o] == state and counted[key, o] == (place, len(group))
+        assert folded[key] == state
+
+
+def test_nothing_in_nothing_out(spark):
+    ordered = range_sorted(spark.createDataFrame([], "k string, o long, v long"), ["k"], ["o"])
+    assert ordered_scan(ordered, ["k"], ["v"], drifting, 7, "s long").count() == 0
+    assert ordered_fold(ordered, ["k"], ["v"], lambda s, v: s, 7, "s long").count() == 0
+    assert running_totals(ordered, ["k"], ["o"], {"n": F.lit(1)}).count() == 0
