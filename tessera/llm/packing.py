@@ -11,7 +11,6 @@ which a monotone queue hands over in constant time.
 from __future__ import annotations
 
 import os
-import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -174,7 +173,7 @@ class Stretch:
         pieces = []
         for a, b, d, w in zip(edges[:-1].tolist(), edges[1:].tolist(), owner.tolist(), window.tolist()):
             doc_id, before, _, total = self.docs[d]
-            pieces.append((doc_id, before + a - int(doc_from[d]), b - a, zlib.crc32(ids[a:b].tobytes()), total, w, a - cuts[w]))
+            pieces.append((doc_id, before + a - int(doc_from[d]), b - a, ids[a:b].tobytes(), total, w, a - cuts[w]))
         if end < self.size:
             for d in range(int(np.searchsorted(doc_to, end, "right")), len(self.docs)):
                 a, b = max(end, int(doc_from[d])), int(doc_to[d])
@@ -193,7 +192,7 @@ def _split_tail(cuts: list[int]) -> list[int]:
     return cuts[:-1] + [a + s for s in np.cumsum(parts).tolist()]
 
 
-_SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+_SCHEMA = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
@@ -214,11 +213,14 @@ def _packer(path: str, stretch: int):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(columns[0], kind),
-                    *(pa.array(columns[k], pa.int64()) for k in range(1, 5)),
+                    pa.array(columns[1], pa.int64()),
+                    pa.array(columns[2], pa.int64()),
+                    pa.array(columns[3], pa.binary()),
+                    pa.array(columns[4], pa.int64()),
                     pa.array(numbers),
                     pa.array(columns[6], pa.int64()),
                 ],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+                ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
 
         kind = pa.int64()
@@ -243,8 +245,9 @@ def _packer(path: str, stretch: int):
 def pack(docs: DataFrame, tokenizer: str, stretch: int = STRETCH) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids, in the order of doc_id.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Every
-    document, a null or empty one too, ends with id 1, so it has at least one piece.
+    Returns doc_id, start, length, ids, doc_tokens, sequence_id, offset; ``ids`` are
+    little-endian unsigned 32-bit ids. Every document, a null or empty one too, ends
+    with id 1, so it has at least one piece.
     Documents are dealt to tasks by ranges of doc_id; a task packs its range for itself
     and numbers its sequences from its own base. Null ids come first; rows with the same
     id are spread and ordered by a hash of the text and packed one by one. No documents

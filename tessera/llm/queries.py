@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, packing, simhash, url_filter
+from tessera.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,6 +36,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_substring_dedup")
+def op1(spark, folder):
+    found = substring_dedup.duplicate_factors(table(spark, folder, "documents"))
+    # Factors may overlap: count the words from each one's start, or from the end reached before it.
+    removed = F.aggregate(
+        "factors",
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("at")),
+        lambda s, x: F.struct(
+            (s["n"] + F.greatest(x["to"] - F.greatest(x["from"], s["at"]), F.lit(0))).alias("n"),
+            F.greatest(s["at"], x["to"]).alias("at"),
+        ),
+        lambda s: s["n"],
+    )
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def _hex(fingerprint):
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
@@ -46,9 +62,15 @@ def op3(spark, folder):
     return found.select("doc_id", _hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+@query("op4_toxicity")
+def op4(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op5_packing")
 def op5(spark, folder):
-    return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 DECONTAMINATION_SQL = f"""
@@ -82,6 +104,11 @@ def op6(spark, folder):
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op7_language_id")
+def op7(spark, folder):
+    return language.identify(table(spark, folder, "documents"))
+
+
 EXACT_SQL = f"""
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
@@ -127,3 +154,8 @@ SELECT *, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'bloc
 def op9(spark, folder):
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), listed)
+
+
+@query("op10_quality_classifier")
+def op10(spark, folder):
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
