@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, language, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from tessera.llm import decontaminate, exact_dedup, language, language_model, packing, quality, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,6 +52,11 @@ def op1(spark, folder):
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op2_language_model")
+def op2(spark, folder):
+    return language_model.score_documents(table(spark, folder, "documents"))
+
+
 def _hex(fingerprint):
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
