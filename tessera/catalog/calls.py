@@ -307,15 +307,3 @@ def stage_stream(t: Tables):
     stream = stages.file_stream(t.spark, t.folder, t.orders.schema, "orders.parquet")
     running = stages.stage_stream(stream, stage, table, mark, "cnpj_basico", "o_orderdate", "o_orderkey")
     return _finish(running, t, table).select("cnpj_basico", "query_used", "o_orderkey")
-
-
-@query("late_policy")
-def late_policy(t: Tables):
-    source, out, mark = event_stream(t, "late")
-    dead, marks = scratch_folder(t.spark, "late-dead"), scratch_folder(t.spark, "late-marks")
-    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
-    timed = stream.select("event_id", M.micros(F.col("ts")).alias("t_us"))
-    kept = _finish(stages.late_policy(timed, 3_600_000_000, out, dead, marks, mark), t, out)
-    return kept.withColumn("late", F.lit(False)).unionByName(
-        t.spark.read.parquet(dead).withColumn("late", F.lit(True))
-    )

@@ -167,13 +167,41 @@ def chunk_stats(t: Tables):
 )
 def split_pages(t: Tables):
     pages = S.successful_pages(site_pages(t)).select("site", "page_ord", "url", "content")
-    joined = S.site_content(staged(pages, "pages"))
-    pages = C.split_marked_text(joined.select("site", "content"))
+    pages = C.split_marked_text(S.joined_text(S.site_content(staged(pages, "pages"))))
     return pages.select(
         "site", F.col("page_ord").cast("long").alias("page_ord"), "url", F.length("page").cast("long").alias("chars")
     )
 
 
+@query(
+    "chunk_report",
+    """SELECT source, doc_id AS chunk_index, count(*) OVER (PARTITION BY source) AS total_chunks, CAST(length(text) AS BIGINT) AS content_length,
+       CAST(length(text) // 3 AS BIGINT) AS tokens, CAST(length(text) // 3 + 2500 AS BIGINT) AS tokens_with_overhead, CAST(4000 AS BIGINT) AS "limit",
+       length(text) // 3 + 2500 > 4000 AS exceeds_limit FROM documents""",
+)
+def chunk_report(t: Tables):
+    totals = t.documents.groupBy("source").agg(F.count("*").alias("total_chunks"))
+    chunks = t.documents.join(totals, "source").withColumnRenamed("doc_id", "chunk_index")
+    return C.chunk_report(chunks, 4000, "text").select(
+        "source", "chunk_index", "total_chunks", "content_length", "tokens", "tokens_with_overhead", "limit", "exceeds_limit"
+    )
+
+
+# Documents are the chunks of their source; some sources have no discovery.
+@query(
+    "scrape_stage",
+    """WITH d AS (SELECT source, min(doc_id) AS id FROM documents WHERE lang <> 'en' AND doc_id % 3 = 0 GROUP BY source)
+    SELECT source AS cnpj_basico, doc_id AS chunk_index, 'https://' || source || '.example.com' AS website_url,
+      coalesce(id, -1) AS discovery_id FROM documents LEFT JOIN d USING (source)""",
+)
+def scrape_stage(t: Tables):
+    discoveries = t.documents.where("lang <> 'en' and doc_id % 3 = 0").groupBy(F.col("source").alias("cnpj_basico")).agg(F.min("doc_id").alias("id"))
+    chunks = t.documents.select(F.col("source").alias("cnpj_basico"), F.col("doc_id").alias("chunk_index"))
+    site = F.concat(F.lit("https://"), F.col("cnpj_basico"), F.lit(".example.com"))
+    found = stores.with_discovery(chunks.withColumn("website_url", site), discoveries)
+    return found.withColumn("discovery_id", F.coalesce("discovery_id", F.lit(-1)))
+
+
 @query(
     "chunk_scan",
     """SELECT source AS cnpj_basico, CAST(doc_id AS BIGINT) AS chunk_index, md5(text) AS digest FROM documents""",

@@ -88,7 +88,7 @@ def discovery_tables(t: Tables):
         F.lit(None).cast("timestamp_ntz").alias("updated_at"),
         F.lit(None).cast("long").alias("serper_id"),
     )
-    updates = t.orders.where("o_orderstatus <> 'O'").select(
+    updates = t.orders.select(
         F.col("o_custkey").alias("cnpj_basico"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("https://o"), F.col("o_orderkey"), F.lit(".example.com"))).alias("website_url"),
         F.when(F.col("o_orderstatus") == "F", "found").otherwise("not_found").alias("discovery_status"),
@@ -101,7 +101,7 @@ def discovery_tables(t: Tables):
 SQL_UPSERT = """
 u AS (SELECT o_custkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'https://o' || o_orderkey || '.example.com' ELSE '' END AS url,
   CASE WHEN o_orderstatus = 'F' THEN 'found' ELSE 'not_found' END AS st,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE o_orderstatus <> 'O'),
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders),
 merged AS (SELECT k AS cnpj_basico, url AS website_url, st AS discovery_status FROM u WHERE rn = 1
   UNION ALL SELECT c_custkey, 'https://' || lower(c_mktsegment) || '.example.com', 'found' FROM customer
    WHERE c_custkey NOT IN (SELECT k FROM u))
@@ -112,8 +112,8 @@ merged AS (SELECT k AS cnpj_basico, url AS website_url, st AS discovery_status F
 def upsert_discovery(t: Tables):
     target, updates = discovery_tables(t)
     folder = scratch_folder(t.spark, "discovery")
-    R.upsert(target, folder, "cnpj_basico", "updated_at", "serper_id", buckets=8)
-    R.upsert(updates, folder, "cnpj_basico", "updated_at", "serper_id", buckets=8)
+    R.upsert(target, folder, "cnpj_basico", "updated_at", "serper_id")
+    R.upsert(updates, folder, "cnpj_basico", "updated_at", "serper_id")
     return t.spark.read.parquet(folder).select(
         "cnpj_basico", F.coalesce("website_url", F.lit("")).alias("website_url"), "discovery_status"
     )
@@ -366,7 +366,7 @@ ANSWER = """CASE event_id % 7 WHEN 0 THEN concat('{"site": "https://e', event_id
 )
 def discovery_parse(t: Tables):
     site = D.discovery_answer(F.expr(ANSWER))
-    return t.spread("events").select("event_id", F.coalesce(site, F.lit("")).alias("site"))
+    return t.events.select("event_id", F.coalesce(site, F.lit("")).alias("site"))
 
 
 RETRY_HEADER = """CASE event_id % 6 WHEN 0 THEN CAST(event_id % 90 AS STRING) WHEN 1 THEN ' 7.5 ' WHEN 2 THEN '-3' WHEN 3 THEN 'soon' WHEN 4 THEN '' END"""

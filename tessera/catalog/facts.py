@@ -25,8 +25,8 @@ LINE_WORD = """CASE (doc_id + line_no) % 17 WHEN 1 THEN ' empresa LTDA' WHEN 2 T
 FACT_VALUE = """CASE WHEN line_no % 4 = 1 AND doc_id % 3 = 0 THEN concat('Contact', doc_id % 40, '@Mail.example.com ')
   WHEN line_no % 4 = 1 AND doc_id % 3 = 1 THEN concat('+55 ', 21000000 + doc_id % 50)
   WHEN line_no % 4 = 1 AND line_no % 8 = 1 THEN concat('https://site', doc_id % 30, '.example.com/a/?utm=', line_no)
-  WHEN line_no % 4 = 2 AND doc_id % 2 = 0 THEN concat('Serviços de  sistemas ', substr(line, 1, 12))
-  ELSE substr(concat(line, word), 1, 200) END"""
+  WHEN line_no % 4 = 2 AND doc_id % 2 = 0 THEN concat('Serviços de  sistemas ', line)
+  ELSE concat(line, word) END"""
 
 
 def document_facts(t: Tables):
@@ -209,7 +209,7 @@ def extract_facts(t: Tables):
         F.array(F.lit("https://d.example.com/")).alias("page_source"),
     )
     return O.extract_facts(chunks).select(
-        "cnpj_basico", "chunk_index", F.floor(F.col("ord") / 1_000_000).cast("long").alias("line_no"), "section", "value"
+        "cnpj_basico", "chunk_index", "ord.line_no", "section", "value"
     )
 
 
@@ -230,14 +230,14 @@ def keyword_class(t: Tables):
 @query(
     "anti_template",
     f"""WITH l AS (SELECT source, doc_id, {SQL_SPLIT} AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents),
-    h AS (SELECT *, doc_id * 100000 + line_no AS pos, array_to_string(list_filter(regexp_split_to_array(line, '{SQL_WS}+'), lambda x: x <> '')[1:3], ' ') AS head FROM l),
-    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, head ORDER BY pos) AS rn FROM h) WHERE rn <= 5)
-    SELECT source, pos FROM (SELECT source, pos, row_number() OVER (PARTITION BY source ORDER BY pos) AS rn FROM a) WHERE rn <= 40""",
+    h AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(line, '{SQL_WS}+'), lambda x: x <> '')[1:3], ' ') AS head FROM l),
+    a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, head ORDER BY doc_id, line_no) AS rn FROM h) WHERE rn <= 5)
+    SELECT source, doc_id, line_no FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS rk FROM a) WHERE rk <= 40""",
 )
 def anti_template(t: Tables):
     lines = t.documents.select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    items = lines.select("source", (F.col("doc_id") * 100000 + F.col("n")).alias("pos"), "line")
-    return O.anti_template(items, "source", "pos", "line").select("source", "pos")
+    place = F.struct("doc_id", F.col("n").cast("long").alias("line_no")).alias("pos")
+    return O.anti_template(lines.select("source", place, "line"), "source", "pos", "line").select("source", "pos.*")
 
 
 @query(

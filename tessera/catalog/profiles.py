@@ -71,14 +71,14 @@ def partial_profiles(t: Tables):
         F.expr("concat('svc ', doc_id % 5)").alias("name"),
         F.expr("substr(text, 1, 80)").alias("description"),
         F.col("lang").alias("methodology"),
-        F.slice(word, 1, 2).alias("deliverables"),
+        word.alias("deliverables"),
         F.expr("concat('ideal ', doc_id % 11)").alias("ideal_client_profile"),
     )
     case = F.struct(
         F.expr("concat('case ', doc_id % 4)").alias("title"),
         F.col("lang").alias("client_name"),
         F.lit(None).cast("string").alias("industry"),
-        F.expr("substr(text, 1, CAST(10 + doc_id % 40 AS INT))").alias("challenge"),
+        F.col("text").alias("challenge"),
         F.lit("").alias("solution"),
         F.expr("concat('o', doc_id % 13)").alias("outcome"),
     )
@@ -92,11 +92,11 @@ def partial_profiles(t: Tables):
         classification__business_model=e["business_model"],
         classification__geographic_coverage=e["geo"],
         team__key_roles=one("concat('role ', doc_id % 5)"),
-        offerings__products=F.slice(word, 1, 5),
+        offerings__products=word,
         offerings__services=one("concat('s', doc_id % 30), concat(' s', doc_id % 7)"),
         offerings__key_differentiators=one("lang"),
         offerings__product_categories=F.array(
-            F.struct(e["category"].alias("category_name"), F.slice(word, 6, 3).alias("items"))
+            F.struct(e["category"].alias("category_name"), word.alias("items"))
         ),
         offerings__service_details=F.array(service),
         reputation__certifications=one("concat('ISO ', doc_id % 40)"),
@@ -120,7 +120,7 @@ docs AS (SELECT doc_id, source, lang, text, list_filter(regexp_split_to_array(te
   {", ".join(f"{v} AS {k}" for k, v in PARTS.items())} FROM documents),
 scored AS (SELECT *, {_len('company_name')} + {_len('tagline')} + {_len('description')} + {_len('founding_year')} + {_len('staff')}
    + {_len('lang')} + {_len('business_model')} + {_len('geo')} + {_len("'https://' || source || '.example.com'")}
-   + 1 + least(5, len(w)) + 2 + 1 + 1 + 1 + 1 + 1 + 2 + 1 + 1 + 1 + 1 AS score FROM docs),
+   + 1 + len(w) + 2 + 1 + 1 + 1 + 1 + 1 + 2 + 1 + 1 + 1 + 1 AS score FROM docs),
 based AS (SELECT *, first_value(doc_id) OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS base_ord,
    count(*) OVER (PARTITION BY source) AS n FROM scored),
 turned AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id <> base_ord, doc_id) AS turn FROM based)
@@ -191,18 +191,18 @@ def merge_texts(t: Tables):
 
 
 SQL_UNION = f"""
-vals AS (SELECT source, turn, 'offerings.products' AS field, unnest(w[1:5]) AS value, unnest(range(least(5, len(w)))) AS pos, 60 AS cap FROM turned
-  UNION ALL SELECT source, turn, 'offerings.services', unnest(['s' || doc_id % 30, 's' || doc_id % 7]), unnest([0, 1]), 60 FROM turned
-  UNION ALL SELECT source, turn, 'offerings.key_differentiators', lang, 0, 20 FROM turned
-  UNION ALL SELECT source, turn, 'reputation.certifications', 'ISO ' || doc_id % 40, 0, 30 FROM turned
-  UNION ALL SELECT source, turn, 'reputation.partnerships', 'P' || doc_id % 60, 0, 50 FROM turned
-  UNION ALL SELECT source, turn, 'reputation.client_list', 'C' || doc_id % 100, 0, 80 FROM turned),
-seen AS (SELECT source, field, value, any_value(cap) AS cap, min(turn * 1000 + pos) AS place FROM vals GROUP BY ALL),
-listed AS (SELECT source AS cnpj_basico, field, value, row_number() OVER (PARTITION BY source, field ORDER BY place) AS pos, cap FROM seen)
+vals AS (SELECT source, turn, 'offerings.products' AS field, unnest(w) AS value, unnest(range(len(w))) AS pos FROM turned
+  UNION ALL SELECT source, turn, 'offerings.services', unnest(['s' || doc_id % 30, 's' || doc_id % 7]), unnest([0, 1]) FROM turned
+  UNION ALL SELECT source, turn, 'offerings.key_differentiators', lang, 0 FROM turned
+  UNION ALL SELECT source, turn, 'reputation.certifications', 'ISO ' || doc_id % 40, 0 FROM turned
+  UNION ALL SELECT source, turn, 'reputation.partnerships', 'P' || doc_id % 60, 0 FROM turned
+  UNION ALL SELECT source, turn, 'reputation.client_list', 'C' || doc_id % 100, 0 FROM turned),
+seen AS (SELECT source, field, value, min(turn * 10000000 + pos) AS place FROM vals GROUP BY ALL),
+listed AS (SELECT source AS cnpj_basico, field, value, row_number() OVER (PARTITION BY source, field ORDER BY place) AS pos FROM seen)
 """
 
 
-@query("merge_lists", f"WITH {SQL_PARTIALS}, {SQL_UNION} SELECT cnpj_basico, field, CAST(pos AS BIGINT) AS pos, value FROM listed WHERE pos <= cap")
+@query("merge_lists", f"WITH {SQL_PARTIALS}, {SQL_UNION} SELECT cnpj_basico, field, CAST(pos AS BIGINT) AS pos, value FROM listed")
 def merge_lists(t: Tables):
     lists = P.merge_lists(P.ranked_profiles(partial_profiles(t)))
     return lists.select("cnpj_basico", "field", F.posexplode("items").alias("p", "value")).select(
@@ -215,10 +215,10 @@ def merge_lists(t: Tables):
     f"""WITH {SQL_PARTIALS},
     c AS (SELECT source, turn, category, w FROM turned WHERE lower(trim(category)) <> 'geral'),
     cf AS (SELECT source, category, row_number() OVER (PARTITION BY source ORDER BY min(turn)) AS rn FROM c GROUP BY source, category),
-    iv AS (SELECT source, category, value, min(turn * 1000 + pos) AS place FROM (SELECT source, category, turn, unnest(w[6:8]) AS value, unnest(range(greatest(0, least(3, len(w) - 5)))) AS pos FROM c) GROUP BY ALL),
+    iv AS (SELECT source, category, value, min(turn * 10000000 + pos) AS place FROM (SELECT source, category, turn, unnest(w) AS value, unnest(range(len(w))) AS pos FROM c) GROUP BY ALL),
     ir AS (SELECT *, row_number() OVER (PARTITION BY source, category ORDER BY place) AS rn FROM iv),
-    ci AS (SELECT source, category, string_agg(value, '|' ORDER BY rn) AS items FROM ir WHERE rn <= 80 GROUP BY source, category)
-    SELECT source AS cnpj_basico, category AS name, coalesce(items, '') AS items FROM cf LEFT JOIN ci USING (source, category) WHERE rn <= 40""",
+    ci AS (SELECT source, category, string_agg(value, '|' ORDER BY rn) AS items FROM ir GROUP BY source, category)
+    SELECT source AS cnpj_basico, category AS name, coalesce(items, '') AS items FROM cf LEFT JOIN ci USING (source, category)""",
 )
 def merge_keyed_structs(t: Tables):
     merged = P.merge_categories(P.ranked_profiles(partial_profiles(t)))
@@ -229,7 +229,7 @@ def merge_keyed_structs(t: Tables):
 
 @query(
     "merge_cases",
-    f"""WITH {SQL_PARTIALS}, c AS (SELECT source, turn, 'case ' || doc_id % 4 AS title, lang, substr(text, 1, CAST(10 + doc_id % 40 AS INT)) AS challenge, 'o' || doc_id % 13 AS outcome FROM turned)
+    f"""WITH {SQL_PARTIALS}, c AS (SELECT source, turn, 'case ' || doc_id % 4 AS title, lang, text AS challenge, 'o' || doc_id % 13 AS outcome FROM turned)
     SELECT source AS cnpj_basico, title, {_longest_sql('lang')} AS client_name, {_longest_sql('challenge')} AS challenge, {_longest_sql('outcome')} AS outcome FROM c GROUP BY source, title""",
 )
 def merge_cases(t: Tables):
@@ -244,13 +244,13 @@ def merge_cases(t: Tables):
     f"""WITH RECURSIVE {SQL_PARTIALS}, {SQL_FOLD},
     sv AS (SELECT source, turn, 'svc ' || doc_id % 5 AS name, 'ideal ' || doc_id % 11 AS ideal, w FROM turned),
     sf AS (SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY min(turn)) AS rn, {_longest_sql('ideal')} AS ideal_client_profile FROM sv GROUP BY source, name),
-    dv AS (SELECT source, name, value, min(turn * 1000 + pos) AS place FROM (SELECT source, name, turn, unnest(w[1:2]) AS value, unnest(range(least(2, len(w)))) AS pos FROM sv) GROUP BY ALL),
+    dv AS (SELECT source, name, value, min(turn * 10000000 + pos) AS place FROM (SELECT source, name, turn, unnest(w) AS value, unnest(range(len(w))) AS pos FROM sv) GROUP BY ALL),
     dr AS (SELECT *, row_number() OVER (PARTITION BY source, name ORDER BY place) AS rn FROM dv),
-    dl AS (SELECT source, name, string_agg(value, '|' ORDER BY rn) AS deliverables FROM dr WHERE rn <= 20 GROUP BY source, name)
+    dl AS (SELECT source, name, string_agg(value, '|' ORDER BY rn) AS deliverables FROM dr GROUP BY source, name)
     SELECT sf.source AS cnpj_basico, sf.name, d.value AS description, m.value AS methodology, coalesce(deliverables, '') AS deliverables, ideal_client_profile
     FROM sf LEFT JOIN dl ON dl.source = sf.source AND dl.name = sf.name
       LEFT JOIN joined d ON d.source = sf.source AND d.item = sf.name AND d.field = 'service_description'
-      LEFT JOIN joined m ON m.source = sf.source AND m.item = sf.name AND m.field = 'service_methodology' WHERE sf.rn <= 20""",
+      LEFT JOIN joined m ON m.source = sf.source AND m.item = sf.name AND m.field = 'service_methodology'""",
 )
 def merge_services(t: Tables):
     ranked = P.ranked_profiles(partial_profiles(t))
@@ -272,7 +272,7 @@ def merge_sources(t: Tables):
 
 def merged_sql(partials: str) -> str:
     return f"""WITH {partials}, {SQL_UNION},
-    n AS (SELECT cnpj_basico, field, count(*) AS n FROM listed WHERE pos <= cap GROUP BY ALL)
+    n AS (SELECT cnpj_basico, field, count(*) AS n FROM listed GROUP BY ALL)
     SELECT source AS cnpj_basico, {_longest_sql('company_name')} AS company_name, {_longest_sql('geo')} AS geo,
       CAST((SELECT n FROM n WHERE field = 'offerings.products' AND cnpj_basico = source) AS BIGINT) AS products,
       CAST((SELECT n FROM n WHERE field = 'reputation.client_list' AND cnpj_basico = source) AS BIGINT) AS clients,
@@ -523,7 +523,7 @@ JSON_ANSWER = """CASE event_id % 7 WHEN 0 THEN concat(' ', props, ' ') WHEN 1 TH
       CASE event_id % 7 WHEN 5 THEN 'unparseable' WHEN 6 THEN 'empty' ELSE '' END AS reject_reason FROM events""",
 )
 def json_extract(t: Tables):
-    found = t.spread("events").select("event_id", N.json_extract(F.expr(JSON_ANSWER)).alias("r")).select("event_id", "r.*")
+    found = t.events.select("event_id", N.json_extract(F.expr(JSON_ANSWER)).alias("r")).select("event_id", "r.*")
     return found.na.fill("")
 
 
@@ -543,7 +543,7 @@ PROFILE_ANSWER = """CASE event_id % 4
       CASE event_id % 4 WHEN 2 THEN 'Desafio: hard work...|Caso: CC' ELSE '' END AS cases, event_id % 4 <> 3 AS is_profile FROM events""",
 )
 def normalize_response(t: Tables):
-    p = t.spread("events").select("event_id", N.normalize_response(F.expr(PROFILE_ANSWER)).alias("p"))
+    p = t.events.select("event_id", N.normalize_response(F.expr(PROFILE_ANSWER)).alias("p"))
 
     def joined(c: Column) -> Column:
         return F.coalesce(F.array_join(c, "|"), F.lit(""))
@@ -579,7 +579,7 @@ def reasoning_text(t: Tables):
     )
 
 
-REPLY = "CASE (conv_id + turn) % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN repeat(concat(substr(text, 1, 40), ' '), 30) ELSE text END"
+REPLY = "CASE (conv_id + turn) % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN concat(text, repeat(concat(substr(text, 1, 40), ' '), 30)) ELSE text END"
 
 
 @query(

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-_IS_NARROW: dict[tuple[str, str, str], bool] = {}
-TEXT_TABLES = {"documents", "pages", "conversations"}
-
 
 class Tables:
     """The given tables of one scale factor, opened on first use."""
@@ -23,24 +20,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return self._spread(name, df) if name in TEXT_TABLES else df
-
-    def spread(self, name: str) -> DataFrame:
-        """A table for row work that costs much CPU, on all cores also when small."""
-        return self._spread(name, self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
-
-    def _spread(self, name: str, df: DataFrame) -> DataFrame:
-        """Give a table stored as one small file a partition per core.
-
-        At scale a scan has many more partitions than cores and is left alone. The
-        partition count is asked for once per table.
-        """
-        seen = (self.spark.sparkContext.applicationId, self.folder, name)
-        if seen not in _IS_NARROW:
-            cores = self.spark.sparkContext.defaultParallelism
-            _IS_NARROW[seen] = df.rdd.getNumPartitions() < cores
-        return df.repartition(self.spark.sparkContext.defaultParallelism) if _IS_NARROW[seen] else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 def query(name: str, sql: str | None = None):

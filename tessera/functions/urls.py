@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from tessera.functions.text import let, strip
 
@@ -164,11 +162,3 @@ def url_variations(url: Column) -> Column:
         return F.transform(F.sort_array(ranked), lambda r: r["url"])
 
     return let(with_scheme(url), build)
-
-
-@F.pandas_udf(StringType())
-def url_join_exact(base: pd.Series, ref: pd.Series) -> pd.Series:
-    """The standard library's join, for callers that meet unusual references."""
-    from urllib.parse import urljoin
-
-    return pd.Series([None if b is None or r is None else urljoin(b, r) for b, r in zip(base, ref)])

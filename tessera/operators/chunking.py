@@ -271,6 +271,23 @@ def chunk_issues(content: Column, tokens: Column, rules: ChunkRules = ChunkRules
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in checks]))
 
 
+def chunk_report(chunks: DataFrame, limit: int, content: str = "content") -> DataFrame:
+    """Per chunk its size against the limit, the prompt's overhead counted in.
+
+    ``chunks`` holds chunk_index, total_chunks and the text.
+    """
+    full = estimate_tokens(F.col(content), overhead=True)
+    return chunks.withColumns(
+        {
+            "content_length": F.length(content).cast("long"),
+            "tokens": estimate_tokens(F.col(content)),
+            "tokens_with_overhead": full,
+            "limit": F.lit(limit).cast("long"),
+            "exceeds_limit": full > limit,
+        }
+    )
+
+
 def chunk_stats(chunks: DataFrame, rules: ChunkRules = ChunkRules()) -> DataFrame:
     """Per site: chunks, token average, maximum and sum, invalid chunks."""
     invalid = F.size(chunk_issues(F.col("content"), F.col("tokens"), rules)) > 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tessera.functions import urls as U
 from tessera.functions.text import let, quote_literal, strip
+from tessera.session import staged
 
 # Hosts that are never a company's own site.
 BLOCKED_DOMAINS = [
@@ -269,9 +270,10 @@ def retry_failed(rows: DataFrame, key: str, first, second) -> DataFrame:
     """Two passes: all rows, then only the failures with other parameters.
 
     ``first`` and ``second`` map rows to (key, content, ok). Rows that fail twice
-    come back with empty content.
+    come back with empty content. The first pass is written once, so a row that answers
+    differently when fetched again is neither lost nor doubled.
     """
-    done = first(rows).where("ok").select(key, "content", F.lit(1).alias("attempt"))
+    done = staged(first(rows).where("ok").select(key, "content", F.lit(1).alias("attempt")), "first-pass")
     failed = rows.join(done.select(key), key, "left_anti")
     again = second(failed).where("ok").select(key, "content", F.lit(2).alias("attempt"))
     return rows.select(key).join(done.unionByName(again), key, "left").select(

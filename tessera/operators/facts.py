@@ -74,8 +74,7 @@ def extract_facts(chunks: DataFrame) -> DataFrame:
     return facts.select(
         "cnpj_basico",
         "chunk_index",
-        # Line and place in the line make one ordinal; lines hold fewer facts than that.
-        (F.col("line_no").cast("long") * 1_000_000 + F.col("pos")).alias("ord"),
+        F.struct(F.col("line_no").cast("long").alias("line_no"), "pos").alias("ord"),
         "fact.section",
         "fact.value",
         "evidence_quote",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions.tokens import max_output_tokens, repetition_loop
 from tessera.operators.profiles import merge_profiles
+from tessera.session import staged
 
 # Temperatures of the first call and of the call after a loop.
 FIRST_TEMPERATURE = 0.1
@@ -54,26 +56,35 @@ def numbered_links(links: Column) -> Column:
     )
 
 
-def model_map(rows: DataFrame, key: str, call: BatchCall) -> DataFrame:
-    """Send the prompts of a batch to a model and return (key, content, error).
+def model_map(
+    rows: DataFrame, key: str, call: BatchCall, parse: Callable[[Column], Column] | None = None, schema: str | None = None
+) -> DataFrame:
+    """Send the prompts of a batch to a model and return (key, content, error, latency_ms).
 
     ``call`` gets a frame with ``prompt``, ``temperature`` and ``max_tokens`` and
     returns the answers in order, null for a failed one. It runs inside the tasks,
-    on Arrow batches; a batch that fails as a whole gives its rows the error.
+    on Arrow batches; a batch that fails as a whole gives its rows the error. A row's
+    latency is that of the call it went out with. With ``parse``, a Column function over
+    the content, or ``schema``, a DDL type the content is read as JSON by, there is one
+    more column ``parsed``.
     """
     inputs = [key, "prompt", "temperature", "max_tokens"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            error = None
+            error, start = None, time.perf_counter()
             try:
                 answers = list(call(batch))
             except Exception as exc:  # noqa: BLE001 - the caller's model may raise anything
                 answers, error = [None] * len(batch), f"{type(exc).__name__}: {exc}"
-            yield pd.DataFrame({key: batch[key], "content": answers, "error": error})
+            took = (time.perf_counter() - start) * 1000
+            yield pd.DataFrame({key: batch[key], "content": answers, "error": error, "latency_ms": took})
 
     key_type = rows.schema[key].dataType.simpleString()
-    return rows.select(*inputs).mapInPandas(run, f"{key} {key_type}, content string, error string")
+    answered = rows.select(*inputs).mapInPandas(run, f"{key} {key_type}, content string, error string, latency_ms double")
+    if parse is None and schema is None:
+        return answered
+    return answered.withColumn("parsed", parse(F.col("content")) if parse else F.from_json("content", schema))
 
 
 def with_call_settings(rows: DataFrame, tokens: Column, limit: int, loop_retry: bool = False) -> DataFrame:
@@ -90,10 +101,12 @@ def with_call_settings(rows: DataFrame, tokens: Column, limit: int, loop_retry:
 def degenerate_retry(rows: DataFrame, key: str, tokens: Column, limit: int, call: BatchCall) -> DataFrame:
     """Call a model, call once more for looping answers, report what is left.
 
-    ``rows`` holds (key, prompt). Rows whose call failed are not repeated.
+    ``rows`` holds (key, prompt). Rows whose call failed are not repeated. The answers of
+    the first pass are written once and both ways go on from the files: a model that
+    answers differently when asked again can neither lose nor double a row.
     """
     first = model_map(with_call_settings(rows, tokens, limit), key, call)
-    judged = first.withColumn("looping", repetition_loop(F.col("content")))
+    judged = staged(first.withColumn("looping", F.coalesce(repetition_loop(F.col("content")), F.lit(False))), "answers")
     good = judged.where(~F.col("looping"))
     looping = rows.join(judged.where("looping").select(key), key, "left_semi")
     second = model_map(with_call_settings(looping, tokens, limit, loop_retry=True), key, call)

@@ -17,8 +17,6 @@ GENERIC_CATEGORIES = [
     "outras categorias", "outras", "marcas", "marca", "geral", "diversos", "outros", "categorias",
     "categoria", "produtos", "produto",
 ]
-# Sources kept inside the record; ``merge_sources`` gives all of them as rows.
-SOURCES_IN_RECORD = 1000
 JOINED_TEXTS = ["description", "tagline"]
 
 _TEXTS = "array<string>"
@@ -162,8 +160,8 @@ def joined_texts(ranked: DataFrame) -> DataFrame:
     return ordered_fold(ordered, keys, ["value"], P.join_texts, "", "value string")
 
 
-def _first_seen(rows: DataFrame, keys: list[str], cap: int | Column, widest: int) -> DataFrame:
-    """Distinct trimmed values per key in first-seen order, cut at the cap.
+def _first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All distinct trimmed values per key in first-seen order.
 
     ``rows`` holds (*keys, value, place). Grouping by value spreads a large key.
     """
@@ -176,8 +174,6 @@ def _first_seen(rows: DataFrame, keys: list[str], cap: int | Column, widest: int
     top = Window.partitionBy(*keys).orderBy("place")
     return (
         distinct.withColumn("rn", F.row_number().over(top))
-        .where(F.col("rn") <= widest)
-        .where(F.col("rn") <= cap)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct("rn", "value"))).alias("vs"))
         .select(*keys, F.transform("vs", lambda v: v["value"]).alias("items"))
@@ -188,7 +184,7 @@ UNION_FIELDS = [f"offerings.{f}" for f in S.OFFERING_LISTS] + [f"reputation.{f}"
 
 
 def merge_lists(ranked: DataFrame) -> DataFrame:
-    """Union of each list field over all partials, in first-seen order, cut at its cap."""
+    """Union of each list field over all partials, in first-seen order; nothing is cut."""
     entries = F.array(
         *[F.struct(F.lit(p).alias("field"), F.col(f"profile.{p}").alias("items")) for p in UNION_FIELDS]
     )
@@ -197,9 +193,7 @@ def merge_lists(ranked: DataFrame) -> DataFrame:
         .select("cnpj_basico", "turn", "e.field", F.posexplode("e.items").alias("pos", "value"))
         .withColumn("place", F.struct("turn", "pos"))
     )
-    caps = F.create_map(*[F.lit(x) for p in UNION_FIELDS for x in (p, S.LIST_CAPS[p.split(".")[1]])])
-    widest = max(S.LIST_CAPS[p.split(".")[1]] for p in UNION_FIELDS)
-    return _first_seen(rows, ["cnpj_basico", "field"], caps[F.col("field")], widest)
+    return _first_seen(rows, ["cnpj_basico", "field"])
 
 
 def merge_sources(ranked: DataFrame) -> DataFrame:
@@ -210,11 +204,10 @@ def merge_sources(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _collect_by_place(rows: DataFrame, record: Column, name: str, cap: int) -> DataFrame:
+def _collect_by_place(rows: DataFrame, record: Column, name: str) -> DataFrame:
     top = Window.partitionBy("cnpj_basico").orderBy("place")
     return (
         rows.withColumn("rn", F.row_number().over(top))
-        .where(F.col("rn") <= cap)
         .groupBy("cnpj_basico")
         .agg(F.sort_array(F.collect_list(F.struct("rn", record.alias("r")))).alias("rs"))
         .select("cnpj_basico", F.transform("rs", lambda x: x["r"]).alias(name))
@@ -234,11 +227,11 @@ def merge_categories(ranked: DataFrame) -> DataFrame:
     items = named.select(*keys, "place", F.posexplode("items").alias("at", "value")).withColumn(
         "place", F.struct("place", "at")
     )
-    merged = firsts.join(_first_seen(items, keys, S.ITEMS_CAP, S.ITEMS_CAP), keys, "left").withColumn(
+    merged = firsts.join(_first_seen(items, keys), keys, "left").withColumn(
         "items", F.coalesce("items", _no_items())
     )
     record = F.struct("category_name", "items")
-    return _collect_by_place(merged, record, "product_categories", S.LIST_CAPS["product_categories"])
+    return _collect_by_place(merged, record, "product_categories")
 
 
 def _longest(value: Column, place: Column) -> Column:
@@ -256,7 +249,7 @@ def merge_services(ranked: DataFrame, texts: DataFrame) -> DataFrame:
     items = rows.select(*keys, "place", F.posexplode("deliverables").alias("at", "value")).withColumn(
         "place", F.struct("place", "at")
     )
-    delivered = _first_seen(items, keys, S.DELIVERABLES_CAP, S.DELIVERABLES_CAP).withColumnRenamed(
+    delivered = _first_seen(items, keys).withColumnRenamed(
         "items", "deliverables"
     )
     folded = (
@@ -271,7 +264,7 @@ def merge_services(ranked: DataFrame, texts: DataFrame) -> DataFrame:
         "deliverables", F.coalesce("deliverables", _no_items())
     )
     record = F.struct("name", "description", "methodology", "deliverables", "ideal_client_profile")
-    return _collect_by_place(merged, record, "service_details", S.LIST_CAPS["service_details"])
+    return _collect_by_place(merged, record, "service_details")
 
 
 def merge_cases(ranked: DataFrame) -> DataFrame:
@@ -285,7 +278,7 @@ def merge_cases(ranked: DataFrame) -> DataFrame:
         F.min("place").alias("place"),
     )
     record = F.struct(*S.CASE_FIELDS)
-    return _collect_by_place(merged, record, "case_studies", S.LIST_CAPS["case_studies"])
+    return _collect_by_place(merged, record, "case_studies")
 
 
 def merge_profiles(partials: DataFrame) -> DataFrame:
@@ -309,7 +302,6 @@ def merge_profiles(partials: DataFrame) -> DataFrame:
     sources = (
         merge_sources(several)
         .withColumn("rn", F.row_number().over(top))
-        .where(F.col("rn") <= SOURCES_IN_RECORD)
         .groupBy("cnpj_basico")
         .agg(F.sort_array(F.collect_list(F.struct("rn", "source"))).alias("ss"))
         .select("cnpj_basico", F.transform("ss", lambda s: s["source"]).alias("sources"))
@@ -327,7 +319,7 @@ def merge_profiles(partials: DataFrame) -> DataFrame:
     def listed(path: str) -> Column:
         name = path.split(".")[1]
         items = F.coalesce(F.col(path.replace(".", "__")), _no_items())
-        return unique_trimmed(items, S.LIST_CAPS[name]).alias(name)
+        return unique_trimmed(items).alias(name)
 
     def records(name: str, kind: str) -> Column:
         return F.coalesce(name, _no_items(f"array<{kind}>")).alias(name)

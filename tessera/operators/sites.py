@@ -7,10 +7,6 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.operators.access import MIN_PAGE_CHARS, page_success
 from tessera.operators.ordered import range_sorted, running_totals
 
-# A site's text is kept in segments of about this many characters, so that no
-# site, however large, becomes one value. Ordinary sites have one segment.
-SEGMENT_CHARS = 64_000_000
-
 
 def page_block(url, content):
     """A page between its marks, as it stands in the text of its site."""
@@ -23,36 +19,29 @@ def successful_pages(pages: DataFrame) -> DataFrame:
     return pages.where(page_success(F.col("content"), F.col("error")))
 
 
-def site_content(pages: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Marked pages of each site in order, joined by blank lines.
+def site_content(pages: DataFrame) -> DataFrame:
+    """Marked pages of each site as rows (site, page_ord, char_offset, block).
 
-    ``pages`` holds successful pages (site, page_ord, url, content); the main
-    page has the lowest ``page_ord``. One row per site and segment.
+    ``pages`` holds successful pages (site, page_ord, url, content); the main page has
+    the lowest ``page_ord``. ``char_offset`` is where the block stands in the text of the
+    site, whose blocks are joined by a blank line. A site never becomes one value.
     """
-    sized = pages.select("site", "page_ord", F.length(page_block(F.col("url"), F.col("content"))).alias("chars"))
+    blocks = pages.select("site", "page_ord", page_block(F.col("url"), F.col("content")).alias("block"))
+    sized = blocks.select("site", "page_ord", F.length("block").alias("chars"))
     placed = running_totals(
         range_sorted(sized, ["site"], ["page_ord"]), ["site"], ["page_ord"], {"upto": F.col("chars") + 2}
-    ).select(
-        "site",
-        "page_ord",
-        F.floor((F.col("upto") - F.col("chars") - 2) / segment_chars).cast("long").alias("segment"),
-    )
-    return (
-        pages.join(placed, ["site", "page_ord"])
-        .groupBy("site", "segment")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("page_ord", page_block(F.col("url"), F.col("content")).alias("block"))
-                )
-            ).alias("blocks")
-        )
-        .select(
-            "site",
-            "segment",
-            F.size("blocks").cast("long").alias("n_pages"),
-            F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n").alias("content"),
-        )
+    ).select("site", "page_ord", (F.col("upto") - F.col("chars") - 2).cast("long").alias("char_offset"))
+    return blocks.join(placed, ["site", "page_ord"]).select("site", "page_ord", "char_offset", "block")
+
+
+def joined_text(content: DataFrame) -> DataFrame:
+    """(site, content): the blocks of ``site_content`` as one text per site.
+
+    For callers that need the text as one value and know that their sites fit into one.
+    """
+    blocks = F.sort_array(F.collect_list(F.struct("page_ord", "block")))
+    return content.groupBy("site").agg(blocks.alias("b")).select(
+        "site", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("content")
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,10 @@ def build_session(app: str = "tessera", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back only where none is set.
+    """Use the shared folder the cluster names.
 
-    The fallback is a temporary folder and is meant for local runs and tests:
-    a checkpoint there does not survive the loss of a machine.
+    Where none is set a local session gets a temporary folder. On a cluster that is
+    an error: every executor would write to a disk of its own.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
@@ -42,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
         "spark.checkpoint.dir", None
     )
+    if not shared and not re.match(r"local($|\[)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
 
 

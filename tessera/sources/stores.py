@@ -2,13 +2,16 @@
 
 Plain Parquet has no update. A keyed table is kept in hash buckets, one folder
 each: an upsert rewrites only the buckets its keys fall into, with Spark's
-dynamic partition overwrite, which swaps folders in at commit.
+dynamic partition overwrite, which swaps folders in at commit. The number of
+buckets is fixed, so a key has one place for good.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.session import staged
+
 # Key length and statuses of a discovery.
 KEY_LENGTH = 8
 MAX_SOURCE_PAGES = 5
@@ -19,11 +22,9 @@ SEARCH_HITS = "array<struct<title:string,link:string,snippet:string>>"
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    try:
-        spark.read.parquet(folder).schema
-        return True
-    except Exception:  # noqa: BLE001 - Spark reports a missing path in several ways
-        return False
+    """Whether a table was written to ``folder``. The file system is asked; its errors rise."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 # --- requests -------------------------------------------------------------
@@ -105,19 +106,19 @@ def lookup(requests: DataFrame, table: DataFrame, key: str) -> DataFrame:
     return requests.join(table, key, "left")
 
 
-def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
 
 
-def replace_keys(new: DataFrame, folder: str, key: str, buckets: int = BUCKETS) -> None:
+def replace_keys(new: DataFrame, folder: str, key: str) -> None:
     """Replace all rows of the keys in ``new``; other keys stay as they are."""
     spark = new.sparkSession
-    fresh = _bucketed(new, key, buckets)
+    fresh = _bucketed(new, key)
     if exists(spark, folder):
         old = spark.read.parquet(folder)
         touched = fresh.select(BUCKET).distinct()
-        # At most ``buckets`` rows: the list of folders to rewrite.
-        names = [r[BUCKET] for r in touched.limit(buckets).collect()]
+        # At most ``BUCKETS`` rows: the list of folders to rewrite.
+        names = [r[BUCKET] for r in touched.collect()]
         stay = old.where(F.col(BUCKET).isin(names)).join(
             fresh.select(key).distinct(), key, "left_anti"
         )
@@ -127,9 +128,19 @@ def replace_keys(new: DataFrame, folder: str, key: str, buckets: int = BUCKETS)
     ).parquet(folder)
 
 
-def upsert(updates: DataFrame, folder: str, key: str, ts: str, tie: str, buckets: int = BUCKETS) -> None:
-    """Write the last update of each key into a bucketed table."""
-    replace_keys(latest_per_key(updates, key, ts, tie), folder, key, buckets)
+def upsert(updates: DataFrame, folder: str, key: str, ts: str, tie: str) -> None:
+    """Bring a bucketed table to the newest row of each key, by (ts, tie).
+
+    A stored row that is newer than the update stays, so updates may come in any order
+    and more than once.
+    """
+    spark = updates.sparkSession
+    new = latest_per_key(updates, key, ts, tie)
+    if exists(spark, folder):
+        stored = spark.read.parquet(folder).select(F.col(key), F.struct(ts, tie).alias("_stored"))
+        newer = F.col("_stored").isNull() | (F.coalesce(F.struct(ts, tie) >= F.col("_stored"), F.lit(True)))
+        new = staged(new.join(stored, key, "left").where(newer).drop("_stored"), "newer")
+    replace_keys(new, folder, key)
 
 
 # --- chunks ---------------------------------------------------------------
@@ -143,13 +154,21 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
+def with_discovery(chunks: DataFrame, discoveries: DataFrame, key: str = "cnpj_basico") -> DataFrame:
+    """Chunks with the id of their company's discovery; a missing one stays null.
+
+    ``discoveries`` holds (key, id), one row per key.
+    """
+    return chunks.join(discoveries.select(key, F.col("id").alias("discovery_id")), key, "left")
+
+
 def write_chunks(chunks: DataFrame, folder: str, mode: str = "replace") -> None:
     """Store chunks; ``replace`` swaps a company's chunks, ``append`` only adds."""
     rows = chunk_rows(chunks)
     if mode == "replace":
         replace_keys(rows, folder, "cnpj_basico")
     elif mode == "append":
-        _bucketed(rows, "cnpj_basico", BUCKETS).write.mode("append").partitionBy(BUCKET).parquet(folder)
+        _bucketed(rows, "cnpj_basico").write.mode("append").partitionBy(BUCKET).parquet(folder)
     else:
         raise ValueError(f"unknown mode: {mode}")
 
@@ -175,15 +194,17 @@ def scan_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 def prefix_join(lookups: DataFrame, table: DataFrame, prefix: str, key: str) -> DataFrame:
     """Rows whose key starts with the looked-up prefix, as an equi-join.
 
-    Prefixes come in few lengths (at most the key length), so the table side is
-    expanded to those lengths and joined on equality instead of testing all pairs.
+    A row's key is expanded to its prefixes of every length that is asked for and joined
+    on equality instead of testing all pairs. Prefixes longer than ``KEY_LENGTH`` are
+    looked up in the row's own expansion up to the longest one. An empty prefix asks for
+    nothing and finds nothing.
     """
-    asked = lookups.withColumn("_len", F.length(prefix))
-    lengths = [r["_len"] for r in asked.select("_len").distinct().collect() if r["_len"]]
-    if not lengths:
+    asked = lookups.where(F.length(prefix) > 0).withColumn("_len", F.length(prefix))
+    longest = asked.agg(F.max("_len")).first()[0]
+    if not longest:
         return lookups.join(table, F.lit(False), "inner")
-    cuts = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length(key))
-    expanded = table.withColumn("_len", F.explode(cuts)).withColumn(
+    cuts = F.sequence(F.lit(1), F.least(F.length(key), F.lit(longest)))
+    expanded = table.where(F.length(key) > 0).withColumn("_len", F.explode(cuts)).withColumn(
         "_prefix", F.substring(F.col(key), F.lit(1), F.col("_len"))
     )
     return (

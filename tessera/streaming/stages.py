@@ -1,10 +1,10 @@
-"""Streams between tables: sources, upserting sinks, and rows that come too late."""
+"""Streams between tables: sources and upserting sinks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from tessera.sources import stores
@@ -56,32 +56,3 @@ def stage_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-def late_policy(events: DataFrame, delay_us: int, out: str, dead_letter: str, marks: str, checkpoint: str):
-    """Send rows older than the watermark to a dead-letter table.
-
-    The watermark of a micro-batch is the newest time of all earlier ones minus
-    the delay, as Spark moves it. ``marks`` keeps one row per micro-batch; each
-    batch writes its own folders, so running it again changes nothing.
-    ``events`` needs ``t_us``.
-    """
-
-    def split(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        floor = None
-        if stores.exists(spark, marks):
-            earlier = spark.read.parquet(marks).where(F.col("epoch") < epoch)
-            floor = earlier.agg(F.max("newest_us").alias("n")).first()["n"]
-        late = F.lit(False) if floor is None else F.col("t_us") < floor - delay_us
-        tagged = batch.withColumn("late", late)
-        tagged.where(~F.col("late")).drop("late").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        tagged.where("late").drop("late").write.mode("overwrite").parquet(f"{dead_letter}/epoch={epoch}")
-        batch.agg(F.max("t_us").alias("newest_us")).write.mode("overwrite").parquet(f"{marks}/epoch={epoch}")
-
-    return (
-        events.writeStream.foreachBatch(split)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

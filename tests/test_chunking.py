@@ -108,17 +108,21 @@ def test_marked_text_comes_apart(spark):
     assert rows[0].page == "intro\n" and rows[2].page == f"{MARK} https://a.example.com/2\ntwo"
 
 
-def test_site_content_segments(spark):
+def test_site_content_and_joined_text(spark):
     rows = [(f"s{i % 2}", i, f"u{i}", "x" * 50) for i in range(20)]
     pages = spark.createDataFrame(rows, "site string, page_ord long, url string, content string")
-    whole = {r.site: r.content for r in S.site_content(pages).collect()}
+    blocks = S.site_content(pages)
+    whole = {r.site: r.content for r in S.joined_text(blocks).collect()}
+    offsets = {(r.site, r.page_ord): (r.char_offset, r.block) for r in blocks.collect()}
     for site in ("s0", "s1"):
         want = "\n\n".join(
             f"{MARK} {u} ---\n{c}\n--- PAGE END ---" for s, _, u, c in rows if s == site
         )
         assert whole[site] == want
-        parts = S.site_content(pages, segment_chars=300).where(F.col("site") == site).orderBy("segment").collect()
-        assert len(parts) > 2 and "\n\n".join(p.content for p in parts) == want
+        for (s, _), (at, block) in offsets.items():
+            assert s != site or want[at : at + len(block)] == block
+    pages = C.split_marked_text(S.joined_text(blocks)).collect()
+    assert sorted(r.page_ord for r in pages if r.site == "s0") == list(range(10))
 
 
 def test_chunk_store_replaces_and_appends(spark):

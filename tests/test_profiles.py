@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from conftest import values
 from tessera import schemas as S
 from tessera.functions import answers as N, facts as X, profile as V
-from tessera.operators import facts as O, models as M, monitoring as Q, profiles as P
+from tessera.operators import access as A, discovery, facts as O, models as M, monitoring as Q, profiles as P
 from tessera.plans.company_profile import discoveries_from_searches
+from tessera.session import scratch_folder
 from tessera.sources import decode as D, stores as R
 
 
@@ -189,8 +190,8 @@ def test_upsert_keeps_the_last_update(spark):
 
     folder = scratch_folder(spark, "test-upsert")
     shape = "k long, v string, ts long, tie long"
-    R.upsert(spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 1)], shape), folder, "k", "ts", "tie", buckets=4)
-    R.upsert(spark.createDataFrame([(1, "c", 2, 1), (1, "d", 2, 2), (3, "e", 1, 1)], shape), folder, "k", "ts", "tie", buckets=4)
+    R.upsert(spark.createDataFrame([(1, "a", 1, 1), (2, "b", 1, 1)], shape), folder, "k", "ts", "tie")
+    R.upsert(spark.createDataFrame([(1, "c", 2, 1), (1, "d", 2, 2), (3, "e", 1, 1)], shape), folder, "k", "ts", "tie")
     assert {r.k: r.v for r in spark.read.parquet(folder).collect()} == {1: "d", 2: "b", 3: "e"}
 
 
@@ -203,3 +204,62 @@ def test_micros_does_not_depend_on_the_session_zone(spark):
             assert spark.sql(query).select(Q.micros(F.col("ts"))).first()[0] == 1710037800123456
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_first_pass_runs_once(spark, tmp_path):
+    """One call per row and pass, and a model that never answers the same loses no row."""
+    import random
+    import uuid
+
+    log = str(tmp_path)
+
+    def call(batch):
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(f"{p} {t}" for p, t in zip(batch["prompt"], batch["temperature"])))
+        return ["ab cd ef gh " * 60 if random.random() < 0.5 else "fine" for _ in range(len(batch))]
+
+    rows = spark.range(200).select(F.col("id"), F.concat(F.lit("p"), F.col("id")).alias("prompt")).repartition(7)
+    out = M.degenerate_retry(rows, "id", F.lit(100), 1000, call)
+    got = out.collect()
+    assert sorted(r.id for r in got) == list(range(200))
+    assert all((r.content is None) == (r.failure == "loop") for r in got)
+    calls = [line for p in tmp_path.iterdir() for line in p.read_text().split("\n")]
+    first = [c for c in calls if c.endswith(f" {M.FIRST_TEMPERATURE}")]
+    assert len(first) == 200 and len(set(first)) == 200
+
+
+def test_retry_keeps_every_row_of_an_unsteady_source(spark):
+    rows = spark.range(300).withColumnRenamed("id", "k")
+
+    def unsteady(df):
+        return df.select("k", F.lit("c").alias("content"), (F.rand() < 0.5).alias("ok"))
+
+    got = discovery.retry_failed(rows, "k", unsteady, unsteady).collect()
+    assert sorted(r.k for r in got) == list(range(300))
+
+
+def test_model_answers_are_parsed(spark):
+    rows = M.with_call_settings(spark.range(3).withColumn("prompt", F.lit("p")), F.lit(10), 100)
+    out = M.model_map(rows, "id", lambda b: ['{"a": 1}'] * len(b), schema="a int").collect()
+    assert all(r.parsed.a == 1 and r.latency_ms >= 0 for r in out)
+
+
+def test_upserts_in_any_order(spark):
+    folder = scratch_folder(spark, "test-order")
+    batches = [[("a", 5, 1, "x"), ("b", 1, 1, "b1")], [("a", 10, 1, "new"), ("c", 1, 1, "c1")], [("a", 7, 1, "old"), ("b", 2, 1, "b2")]]
+    for rows in (batches[1], batches[0], batches[2], batches[1]):
+        R.upsert(spark.createDataFrame(rows, "k string, ts long, tie long, v string"), folder, "k", "ts", "tie")
+    assert {(r.k, r.v) for r in spark.read.parquet(folder).collect()} == {("a", "new"), ("b", "b2"), ("c", "c1")}
+
+
+def test_prefixes(spark):
+    table = spark.createDataFrame([("abcdefgh", 1), ("abx", 2), ("", 3)], "key string, n int")
+    asked = spark.createDataFrame([("ab",), ("abcdefgh",), ("",), ("abcdefghi",)], "p string")
+    got = sorted((r.p, r.n) for r in R.prefix_join(asked, table, "p", "key").select("p", "n").collect())
+    assert got == [("ab", 1), ("ab", 2), ("abcdefgh", 1)]
+
+
+def test_no_response(spark):
+    rows = spark.createDataFrame([(None, None, None), ("x", None, 404)], "c string, e string, s int")
+    got = [r[0] for r in rows.select(A.fetch_diagnosis(F.col("c"), F.col("e"), F.col("s"))).collect()]
+    assert {(g.diagnosis, g.failure_type) for g in got} == {("no_response", "connection_error"), ("not_found", "empty_content")}

@@ -19,17 +19,3 @@ def test_circuit_stream_equals_batch(spark):
 def test_shared_fetch_stream_equals_batch(spark):
     columns = ("key", "call_id", "is_hit", "answered_by_us")
     assert rows(spark, "request_coalesce_ttl", *columns) == rows(spark, "request_coalesce", *columns)
-
-
-def test_late_rows(spark):
-    out = entry.queries()["late_policy"](spark, SMALL)
-    total = spark.read.parquet(f"{SMALL}/events.parquet").count()
-    assert out.count() == total and out.select("event_id").distinct().count() == total
-    newest = out.groupBy("epoch").agg(F.max("t_us").alias("n")).collect()
-    floors, seen = {}, None
-    for r in sorted(newest):
-        floors[r.epoch] = seen
-        seen = r.n if seen is None else max(seen, r.n)
-    for r in out.collect():
-        floor = floors[r.epoch]
-        assert r.late == (floor is not None and r.t_us < floor - 3_600_000_000)

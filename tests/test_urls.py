@@ -30,9 +30,8 @@ def test_url_join(spark):
     ]
     pairs = [(b, r) for b in bases for r in refs]
     rows = spark.createDataFrame([(i, b, r) for i, (b, r) in enumerate(pairs)], "i int, b string, r string")
-    got = rows.orderBy("i").select(U.url_join(F.col("b"), F.col("r")), U.url_join_exact("b", "r")).collect()
+    got = rows.orderBy("i").select(U.url_join(F.col("b"), F.col("r"))).collect()
     want = [urljoin(b, r) for b, r in pairs]
-    assert [g[1] for g in got] == want
     assert [(p, g[0]) for p, g in zip(pairs, got)] == [(p, w) for p, w in zip(pairs, want)]
 
 
