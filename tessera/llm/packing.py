@@ -31,12 +31,19 @@ FORCED_CUT = 16
 FORCED_GAP = 16
 #: Ids over which one run of the dynamic programme looks; its last window is carried on.
 STRETCH = 1 << 19
-CACHED_WORDS = 400_000
+CACHED_WORDS = 2_000_000
 
 _codes = np.arange(256)
 #: Punctuation that never joins the letter or digit before it, nor a special token.
 _TRAILING = np.isin(_codes, list(b".,;:!?&%$#*"))
 _ASCII_WORD = ((_codes >= 0x61) & (_codes <= 0x7A)) | ((_codes >= 0x30) & (_codes <= 0x39))
+#: Bytes of the letters a to z and, after 0xC3, of the lower-case letters up to U+00FF.
+_LETTER_BYTE = ((_codes >= 0x61) & (_codes <= 0x7A)) | (_codes == 0xC3) | ((_codes >= 0x9F) & (_codes <= 0xBF) & (_codes != 0xB7))
+#: Byte-level models show each byte as a character: those that print as themselves, the
+#: rest as U+0100 and following, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = np.arange(256, dtype="<u2")
+_SHOWN[np.setdiff1d(_codes, _PRINTED)] = 0x100 + np.arange(256 - len(_PRINTED))
 _SENTENCE_END = np.isin(_codes, list(b".!?"))
 _MOST_TRAILING = 6
 
@@ -46,7 +53,12 @@ class WordTokenizer:
 
     The tokenizer drops white space and splits letters from punctuation, so a text's ids
     are those of its units one after the other, and each different unit is encoded once
-    a worker. Units are told apart by a 64-bit hash.
+    a worker. Units are told apart by a 64-bit hash. What is known is kept as sorted
+    hashes with their places in one array of ids, and forgotten beyond ``CACHED_WORDS``.
+
+    A unit of lower-case letters up to U+00FF, or of plain punctuation, is one pre-token
+    that normalisation leaves as it is, and goes to the tokenizer's model directly, each
+    byte as the character that stands for it; all others take the whole way.
     """
 
     def __init__(self, path: str):
@@ -54,7 +66,33 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, bytes] = {}
+        self.model = self.tokenizer.model
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.place = np.zeros((0, 2), np.uint32)  # first id and number of ids
+        self.ids = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw, found = data.tobytes(), [None] * len(hashes)
+        tokenize, shown = self.model.tokenize, _SHOWN[data].tobytes().decode("utf-16-le")
+        odd = np.concatenate([[0], np.cumsum(~_LETTER_BYTE[data])])
+        marks = np.concatenate([[0], np.cumsum(~_TRAILING[data])])
+        simple = (odd[ends] == odd[starts]) | (marks[ends] == marks[starts])
+        at = np.flatnonzero(simple)
+        for k, a, b in zip(at.tolist(), starts[at].tolist(), ends[at].tolist()):
+            found[k] = [t.id for t in tokenize(shown[a:b])]
+        whole = np.flatnonzero(~simple).tolist()
+        texts = [raw[starts[k] : ends[k]].decode() for k in whole]
+        for k, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            found[k] = e.ids
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        first = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), self.ids.dtype, int(sizes.sum()))])
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.place = np.insert(self.place, at, np.stack([first, sizes], 1), axis=0)
 
     def encode(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of consecutive rows, the end of each row in ids, and the sentence ends in ids."""
@@ -77,23 +115,20 @@ class WordTokenizer:
         ends_sentence = _SENTENCE_END[words.data[words.ends - 1]]
         last_unit = first + split
         words.starts, words.ends = unit_starts, unit_ends
-        _, example, unit = np.unique(hashes := words.hashes(), return_index=True, return_inverse=True)
-        distinct = hashes[example].tolist()
-        missing = [k for k, h in enumerate(distinct) if h not in self.known]
-        if missing:
-            if len(self.known) + len(missing) > CACHED_WORDS:
-                self.known.clear()
-                missing = range(len(distinct))
-            texts = [words.data[unit_starts[example[k]] : unit_ends[example[k]]].tobytes().decode() for k in missing]
-            for k, e in zip(missing, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[distinct[k]] = np.array(e.ids, np.uint32).tobytes()
-        parts = [self.known[h] for h in distinct]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), np.uint32)
-        begins = np.cumsum(lengths) - lengths
+        distinct, example, unit = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) > CACHED_WORDS:
+            self.forget()
+        at = np.searchsorted(self.known, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != distinct[inside]
+        if new.any():
+            self._learn(distinct[new], words.data, unit_starts[example[new]], unit_ends[example[new]])
+            at = np.searchsorted(self.known, distinct)
+        begins, lengths = self.place[at].astype(np.int64).T
         sizes = lengths[unit]
         unit_to = np.cumsum(sizes)
-        ids = flat[np.repeat(begins[unit] - (unit_to - sizes), sizes) + np.arange(int(unit_to[-1]))]
+        ids = self.ids[np.repeat(begins[unit] - (unit_to - sizes), sizes) + np.arange(int(unit_to[-1]))].astype(np.uint32)
         word_to = unit_to[last_unit]
         row_to = np.concatenate([[0], word_to])[words.bounds[1:]]
         return ids, row_to, word_to[ends_sentence]
