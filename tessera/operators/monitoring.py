@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.tokens import CHARS_PER_TOKEN, PROMPT_OVERHEAD_TOKENS
-from tessera.operators.ordered import PART, ordered_scan, range_sorted
+from tessera.operators.ordered import earlier_values, PART, ordered_scan, range_sorted
 
 # Weights, latency range and thresholds of the health score.
 WEIGHTS = {"success": 0.40, "latency": 0.30, "rate_limit": 0.20, "recency": 0.10}
@@ -33,7 +33,7 @@ def micros(ts: Column) -> Column:
     """Epoch microseconds of a timestamp without zone, whatever the session zone."""
     day = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
     within = F.hour(ts) * 3600 + F.minute(ts) * 60
-    seconds = F.date_format(ts, "ss.SSSSSS").cast("decimal(8,6)")
+    seconds = F.extract(F.lit("SECOND"), ts)
     return (day * 86400 + within) * 1_000_000 + (seconds * 1_000_000).cast("long")
 
 
@@ -144,25 +144,29 @@ def call_stats(calls: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def _recent_step(n: int):
-    def step(state, latency):
-        window = (*state, latency)[-n:]
-        return window, (sum(window) / len(window),)
-
-    return step
-
-
 def last_n_latency(calls: DataFrame, n: int = RECENT_CALLS) -> DataFrame:
     """Mean of the last ``n`` latencies at every call of a provider.
 
-    The state is the last ``n`` values, so a partition settles after ``n`` rows
-    and a provider of any size is spread over tasks.
+    A window inside each stretch of a provider, with the last values of the stretches
+    before it, so a provider of any size is spread over tasks and stays in the JVM.
     """
     order = ["t_us", "call_id"]
     ordered = range_sorted(calls.select("provider", *order, "latency_ms"), ["provider"], order)
-    return ordered_scan(
-        ordered, ["provider"], ["latency_ms"], _recent_step(n), (), "avg_latency double"
-    ).drop(PART)
+    placed = earlier_values(ordered, ["provider"], order, "latency_ms", n - 1, "_halo")
+    here = Window.partitionBy(PART, "provider").orderBy(*order)
+    recent = here.rowsBetween(-(n - 1), 0)
+    halo = F.coalesce("_halo", F.array().cast("array<double>"))
+    missing = F.greatest(F.lit(0), F.least(F.lit(n) - F.col("_place"), F.size(halo)))
+    used = F.slice(halo, F.size(halo) - missing + 1, missing)
+    return placed.select(
+        "provider", *order, "latency_ms", "_halo",
+        F.row_number().over(here).alias("_place"),
+        F.sum("latency_ms").over(recent).alias("_sum"),
+        F.count("*").over(recent).alias("_count"),
+    ).select(
+        "provider", *order, "latency_ms",
+        ((F.col("_sum") + F.aggregate(used, F.lit(0.0), lambda a, x: a + x)) / (F.col("_count") + missing)).alias("avg_latency"),
+    )
 
 
 # --- state machines -------------------------------------------------------

@@ -93,6 +93,29 @@ def running_totals(
     ).drop(*[f"_before_{n}" for n in totals])
 
 
+def earlier_values(ordered: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str) -> DataFrame:
+    """Add the last up to ``n`` values of the row's key from before the row's partition.
+
+    Only the first key of a partition has any. Each partition gives the tail of each of
+    its keys; as it holds at least one row of the key, the last ``n`` values lie in the
+    tails of the ``n`` partitions before. The side that is joined has at most one row a
+    partition.
+    """
+    keys = list(keys)
+    back = Window.partitionBy(PART, *keys).orderBy(*[F.col(c).desc() for c in order])
+    tails = (
+        ordered.withColumn("_back", F.row_number().over(back))
+        .where(F.col("_back") <= n)
+        .groupBy(PART, *keys)
+        .agg(F.sort_array(F.collect_list(F.struct(*order, value))).alias("_tail"))
+        .select(PART, *keys, F.transform("_tail", lambda r: r[value]).alias("_tail"))
+    )
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(-n, -1)
+    earlier = F.flatten(F.collect_list("_tail").over(before))
+    halos = tails.select(PART, *keys, F.slice(earlier, F.greatest(F.size(earlier) - n, F.lit(0)) + 1, n).alias(name))
+    return _join_same(ordered, F.broadcast(halos.where(F.size(name) > 0)), [PART, *keys], "left")
+
+
 Step = Callable[..., tuple[Any, tuple]]
 
 

@@ -209,3 +209,25 @@ def test_nothing_in_nothing_out(spark):
     assert ordered_scan(ordered, ["k"], ["v"], drifting, 7, "s long").count() == 0
     assert ordered_fold(ordered, ["k"], ["v"], lambda s, v: s, 7, "s long").count() == 0
     assert running_totals(ordered, ["k"], ["o"], {"n": F.lit(1)}).count() == 0
+
+
+def test_moving_mean_over_tiny_stretches(spark):
+    """One hot provider over many partitions, some with a single row of it."""
+    from tessera.operators import monitoring as Q
+
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.6 else f"p{rng.randrange(9)}", i, i, float(rng.randrange(1000))) for i in range(700)]
+    for width, n in ((40, 50), (3, 7), (64, 2), (5, 1)):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        try:
+            calls = spark.createDataFrame(rows, "provider string, t_us long, call_id long, latency_ms double")
+            got = {r.call_id: r.avg_latency for r in Q.last_n_latency(calls, n).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        seen = {}
+        for provider, _, call, latency in rows:
+            recent = seen.setdefault(provider, [])
+            recent.append(latency)
+            window = recent[-n:]
+            assert abs(got[call] - sum(window) / len(window)) < 1e-9
