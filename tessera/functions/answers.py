@@ -122,8 +122,9 @@ def _is_object(v: Column) -> Column:
     return _kind(v).startswith("OBJECT")
 
 
-def _get(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
+def _fields(v: Column, names: list[str]) -> Column:
+    """The named members of an object, all read at once; null for every other kind."""
+    return F.try_variant_get(v, "$", "struct<" + ", ".join(f"{n}: variant" for n in names) + ">")
 
 
 def _text(v: Column) -> Column:
@@ -156,8 +157,12 @@ def _text_list(v: Column, name: str, from_single: bool) -> Column:
 
 def _name_of(v: Column) -> Column:
     """String of an item, or the first name an object gives itself."""
-    named = F.coalesce(*[let(_get(v, k), lambda x: F.when(_truthy(x), x)) for k in NAME_KEYS])
-    return F.when(_is_object(v), _filled_text(named)).otherwise(_filled_text(v))
+
+    def first(o: Column) -> Column:
+        named = F.coalesce(*[F.when(_truthy(o[k]), o[k]) for k in NAME_KEYS])
+        return F.when(o.isNotNull(), _filled_text(named)).otherwise(_filled_text(v))
+
+    return let(_fields(v, list(NAME_KEYS)), first)
 
 
 def _truthy(v: Column) -> Column:
@@ -185,44 +190,52 @@ def _url(v: Column, wanted) -> Column:
 
 
 def _category(v: Column) -> Column:
-    return F.struct(
-        _filled_text(_get(v, "category_name")).alias("category_name"),
-        unique_trimmed(_texts_of(_get(v, "items")), S.ITEMS_CAP).alias("items"),
+    return let(
+        _fields(v, ["category_name", "items"]),
+        lambda o: F.struct(
+            _filled_text(o["category_name"]).alias("category_name"),
+            unique_trimmed(_texts_of(o["items"]), S.ITEMS_CAP).alias("items"),
+        ),
     )
 
 
 def _service(v: Column) -> Column:
-    return F.struct(
-        _filled_text(_get(v, "name")).alias("name"),
-        _text(_get(v, "description")).alias("description"),
-        _text(_get(v, "methodology")).alias("methodology"),
-        unique_trimmed(_texts_of(_get(v, "deliverables")), S.DELIVERABLES_CAP).alias("deliverables"),
-        _text(_get(v, "ideal_client_profile")).alias("ideal_client_profile"),
+    return let(
+        _fields(v, ["name", "description", "methodology", "deliverables", "ideal_client_profile"]),
+        lambda o: F.struct(
+            _filled_text(o["name"]).alias("name"),
+            _text(o["description"]).alias("description"),
+            _text(o["methodology"]).alias("methodology"),
+            unique_trimmed(_texts_of(o["deliverables"]), S.DELIVERABLES_CAP).alias("deliverables"),
+            _text(o["ideal_client_profile"]).alias("ideal_client_profile"),
+        ),
     )
 
 
 def _case(v: Column) -> Column:
     """A case study; one without a title gets one from what it has."""
 
-    def opening(label: str, name: str) -> Column:
-        return F.concat(F.lit(f"{label}: "), F.substring(_shown(_get(v, name)), 1, 50), F.lit("..."))
-
     members = F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
-    title = (
-        F.when(_truthy(_get(v, "title")), _text(_get(v, "title")))
-        .when(_truthy(_get(v, "challenge")), opening("Desafio", "challenge"))
-        .when(_truthy(_get(v, "solution")), opening("Solução", "solution"))
-        .when(_truthy(_get(v, "client_name")), F.concat(F.lit("Caso: "), _shown(_get(v, "client_name"))))
-        .when(F.exists(members, _truthy), "Estudo de Caso (Sem Título)")
-    )
-    return F.struct(
-        title.alias("title"), *[_text(_get(v, f)).alias(f) for f in S.CASE_FIELDS if f != "title"]
-    )
+
+    def build(o: Column) -> Column:
+        def opening(label: str, name: str) -> Column:
+            return F.concat(F.lit(f"{label}: "), F.substring(_shown(o[name]), 1, 50), F.lit("..."))
+
+        title = (
+            F.when(_truthy(o["title"]), _text(o["title"]))
+            .when(_truthy(o["challenge"]), opening("Desafio", "challenge"))
+            .when(_truthy(o["solution"]), opening("Solução", "solution"))
+            .when(_truthy(o["client_name"]), F.concat(F.lit("Caso: "), _shown(o["client_name"])))
+            .when(F.exists(members, _truthy), "Estudo de Caso (Sem Título)")
+        )
+        return F.struct(title.alias("title"), *[_text(o[f]).alias(f) for f in S.CASE_FIELDS if f != "title"])
+
+    return let(_fields(v, list(S.CASE_FIELDS)), build)
 
 
 def _field(section: Column, name: str, read, *options) -> Column:
-    """A field read by ``read``, looked up once."""
-    return let(_get(section, name), lambda v: read(v, name, *options)).alias(name)
+    """A field of a section read by ``read``."""
+    return read(section[name], name, *options).alias(name)
 
 
 def _structs(v: Column, build, key: str, name: str) -> Column:
@@ -239,26 +252,34 @@ def normalize_response(json: Column) -> Column:
     strict reader would throw the whole profile away.
     """
 
-    names = ["identity", "classification", "team", "offerings", "reputation", "contact"]
+    members = {
+        "identity": S.IDENTITY,
+        "classification": S.CLASSIFICATION,
+        "team": ["size_range", *S.TEAM_LISTS],
+        "offerings": [*S.OFFERING_LISTS, "product_categories", "service_details"],
+        "reputation": [*S.REPUTATION_LISTS, "case_studies"],
+        "contact": [*S.CONTACT_LISTS, "linkedin_url", "website_url", "headquarters_address"],
+    }
+    names = list(members)
 
     def sections(root: Column) -> Column:
-        """Each section once, so that it is not looked up again for every field."""
-        found = [
-            let(_get(root, n), lambda v: F.when(_is_object(v), v)).alias(n) for n in names
-        ]
-        return F.struct(*found, _get(root, "sources").alias("sources"))
+        """Every section with all its fields, each object read once."""
+        return let(
+            _fields(root, [*names, "sources"]),
+            lambda p: F.struct(*[_fields(p[n], members[n]).alias(n) for n in names], p["sources"].alias("sources")),
+        )
 
     def build(parts: Column) -> Column:
         identity, classification, team, offerings, reputation, contact = [parts[n] for n in names]
-        size = _get(team, "size_range")
-        address = _get(contact, "headquarters_address")
+        size = team["size_range"]
+        address = contact["headquarters_address"]
         first_line = F.get(_items(address), F.lit(0))
-        model = _text(_get(classification, "business_model"))
+        model = _text(classification["business_model"])
         return F.struct(
-            F.struct(*[_text(_get(identity, f)).alias(f) for f in S.IDENTITY]).alias("identity"),
+            F.struct(*[_text(identity[f]).alias(f) for f in S.IDENTITY]).alias("identity"),
             F.struct(
                 *[
-                    (F.when(model.isin(S.BUSINESS_MODELS), model) if f == "business_model" else _text(_get(classification, f))).alias(f)
+                    (F.when(model.isin(S.BUSINESS_MODELS), model) if f == "business_model" else _text(classification[f])).alias(f)
                     for f in S.CLASSIFICATION
                 ]
             ).alias("classification"),
@@ -268,17 +289,17 @@ def normalize_response(json: Column) -> Column:
             ).alias("team"),
             F.struct(
                 *[_field(offerings, f, _text_list, False) for f in S.OFFERING_LISTS],
-                _structs(_get(offerings, "product_categories"), _category, "category_name", "product_categories"),
-                _structs(_get(offerings, "service_details"), _service, "name", "service_details"),
+                _structs(offerings["product_categories"], _category, "category_name", "product_categories"),
+                _structs(offerings["service_details"], _service, "name", "service_details"),
             ).alias("offerings"),
             F.struct(
                 *[_field(reputation, f, _named_list) for f in S.REPUTATION_LISTS],
-                _structs(_get(reputation, "case_studies"), _case, "title", "case_studies"),
+                _structs(reputation["case_studies"], _case, "title", "case_studies"),
             ).alias("reputation"),
             F.struct(
                 *[_field(contact, f, _text_list, True) for f in S.CONTACT_LISTS],
-                _url(_get(contact, "linkedin_url"), lambda u: F.contains(F.lower(u), F.lit("linkedin"))).alias("linkedin_url"),
-                _url(_get(contact, "website_url"), lambda u: u.startswith("http")).alias("website_url"),
+                _url(contact["linkedin_url"], lambda u: F.contains(F.lower(u), F.lit("linkedin"))).alias("linkedin_url"),
+                _url(contact["website_url"], lambda u: u.startswith("http")).alias("website_url"),
                 F.when(_is_text(address), _text(address))
                 .when(_truthy(first_line), _shown(first_line))
                 .alias("headquarters_address"),
