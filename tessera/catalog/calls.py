@@ -169,6 +169,26 @@ def cache_hit_rate(t: Tables):
     return M.cache_hit_rate(M.request_coalesce(requests(t.events)))
 
 
+@query(
+    "outage_episodes",
+    """WITH a AS (SELECT user_id % 40 AS domain, event_id AS call_id, epoch_us(ts) // 100 AS t_us, event_type NOT IN ('error', 'signup', 'click') AS ok FROM events),
+    g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY domain ORDER BY t_us, call_id) AS run FROM a)
+    SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY min(t_us), min(call_id)) AS BIGINT) AS episode, min(t_us) AS from_us, max(t_us) AS to_us, count(*) AS failures
+    FROM g WHERE NOT ok GROUP BY domain, run HAVING count(*) >= 2""",
+)
+def outage_episodes(t: Tables):
+    return M.outage_episodes(attempts(t.events, "domain"), 2)
+
+
+@query(
+    "repeat_request_rate",
+    """SELECT user_id || ':' || event_type AS key, epoch_us(ts) // 30 // 3600000000 AS hour, count(*) AS requests, count(*) - 1 AS repeats, (count(*) - 1) / count(*) AS repeat_rate
+    FROM events GROUP BY ALL""",
+)
+def repeat_request_rate(t: Tables):
+    return M.repeat_request_rate(requests(t.events))
+
+
 LIMITS = [
     M.ModelLimit("primary", 4096, 1024, primary=True),
     M.ModelLimit("small", 3500, 500),
@@ -248,11 +268,20 @@ def model_name(t: Tables):
 # --- streams --------------------------------------------------------------
 
 
+STREAM_FILES = 3
+
+
 def event_stream(t: Tables, name: str):
-    """The events table as a file stream, in several files, with new work folders."""
+    """The events table as a file stream in order of time, with new work folders.
+
+    The files are written one after the other, and a stream takes one a micro-batch.
+    """
     source = scratch_folder(t.spark, f"{name}-in")
-    parts = t.events.withColumn("_slot", F.floor(F.col("event_id") / F.lit(1000)) % 3)
-    parts.repartition(3, "_slot").sortWithinPartitions("event_id").drop("_slot").write.parquet(source)
+    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
+    share = (M.micros(F.col("ts")) - M.micros(F.lit(low))) / (M.micros(F.lit(high)) - M.micros(F.lit(low)) + 1)
+    slot = F.floor(share * STREAM_FILES)
+    for i in range(STREAM_FILES):
+        t.events.where(slot == i).coalesce(1).write.mode("append").parquet(source)
     out, mark = scratch_folder(t.spark, f"{name}-out"), scratch_folder(t.spark, f"{name}-mark")
     return source, out, mark
 
@@ -267,7 +296,7 @@ def _finish(running, t: Tables, out: str):
 @query("circuit_stream", SQL_CIRCUIT)
 def circuit_stream(t: Tables):
     source, out, mark = event_stream(t, "circuit")
-    stream = stages.file_stream(t.spark, source, t.events.schema)
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
     labelled = keyed.circuit_stream(attempts(stream, "domain"))
     return _finish(stages.append_stream(labelled, out, mark), t, out)
 
@@ -275,7 +304,7 @@ def circuit_stream(t: Tables):
 @query("request_coalesce_ttl", SQL_SHARED)
 def request_coalesce_ttl(t: Tables):
     source, out, mark = event_stream(t, "coalesce")
-    stream = stages.file_stream(t.spark, source, t.events.schema)
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
     labelled = keyed.request_coalesce_stream(requests(stream))
     return _finish(stages.append_stream(labelled, out, mark), t, out)
 
@@ -283,9 +312,10 @@ def request_coalesce_ttl(t: Tables):
 @query("health_stream", f"WITH {SQL_HEALTH} SELECT {', '.join(HEALTH_OUT)} FROM labelled")
 def health_stream(t: Tables):
     source, out, mark = event_stream(t, "health")
-    stream = stages.file_stream(t.spark, source, t.events.schema)
-    numbers = _finish(stages.append_stream(keyed.health_stream(calls(stream)), out, mark), t, out)
-    return keyed.score_now(numbers, AS_OF_US).select(*HEALTH_OUT)
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
+    running = keyed.health_stream(calls(stream), out, mark)
+    _finish(running, t, out)
+    return keyed.score_now(keyed.latest_health(t.spark, out), AS_OF_US).select(*HEALTH_OUT)
 
 
 @query(

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.tokens import CHARS_PER_TOKEN, PROMPT_OVERHEAD_TOKENS
-from tessera.operators.ordered import earlier_values, PART, ordered_scan, range_sorted
+from tessera.operators.ordered import PART, earlier_values, ordered_scan, range_sorted, running_totals
 
 # Weights, latency range and thresholds of the health score.
 WEIGHTS = {"success": 0.40, "latency": 0.30, "rate_limit": 0.20, "recency": 0.10}
@@ -229,6 +229,33 @@ def domain_circuit(attempts: DataFrame) -> DataFrame:
     ).drop(PART)
 
 
+def outage_episodes(attempts: DataFrame, at_least: int = OPEN_AFTER) -> DataFrame:
+    """Runs of failures without a success between: domain, episode, from, to, failures.
+
+    An attempt's run is the number of successes of its domain before it, a running sum
+    that adds up over partitions, so a hot domain spans many tasks. Runs are aggregated
+    before they are numbered. Runs under ``at_least`` failures are no episode.
+    """
+    order = ["t_us", "call_id"]
+    ordered = range_sorted(attempts.select("domain", *order, "ok"), ["domain"], order)
+    runs = running_totals(ordered, ["domain"], order, {"run": F.col("ok").cast("long")})
+    episodes = (
+        runs.where(~F.col("ok"))
+        .groupBy("domain", "run")
+        .agg(F.min(F.struct(*order)).alias("first"), F.max("t_us").alias("to_us"), F.count("*").alias("failures"))
+        .where(F.col("failures") >= at_least)
+    )
+    starts = episodes.select("domain", "first.t_us", "first.call_id", "to_us", "failures")
+    numbered = running_totals(range_sorted(starts, ["domain"], order), ["domain"], order, {"episode": F.lit(1).cast("long")})
+    return numbered.select("domain", "episode", F.col("t_us").alias("from_us"), "to_us", "failures")
+
+
+def repeat_request_rate(requests: DataFrame, window_us: int = FETCH_TTL_US) -> DataFrame:
+    """Per key and window of time: requests, and how many of them a first answer would have served."""
+    counted = requests.groupBy("key", F.floor(F.col("t_us") / window_us).cast("long").alias("hour")).agg(F.count("*").alias("requests"))
+    return counted.withColumn("repeats", F.col("requests") - 1).withColumn("repeat_rate", F.col("repeats") / F.col("requests"))
+
+
 QUARANTINE_START = (0, 0)
 
 

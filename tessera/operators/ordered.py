@@ -26,7 +26,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tessera.session import pinned, shuffle_width
+from tessera.session import input_width, pinned
 
 PART = "_part"
 
@@ -39,7 +39,7 @@ def range_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     """
     by = [*keys, *order]
     return pinned(
-        df.repartitionByRange(shuffle_width(df.sparkSession), *by)
+        df.repartitionByRange(input_width(df), *by)
         .sortWithinPartitions(*by)
         .withColumn(PART, F.spark_partition_id())
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,10 +60,42 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: Input bytes for each partition of a sort whose partitions AQE may not merge or split.
+BYTES_IN_PARTITION = 256 << 20
+
+
+def input_width(df: DataFrame) -> int:
+    """Partitions for a sort of ``df``: the session's number, more where the input is large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return max(shuffle_width(df.sparkSession), -(-size // BYTES_IN_PARTITION))
+
+
+_scratch: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables written between steps, beside the checkpoints."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    return folder
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged inside the block when the block ends.
+
+    For whoever runs a query: its result must be written or collected by then.
+    """
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for folder in _scratch[before:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _scratch[before:]
 
 
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -22,9 +22,13 @@ SEARCH_HITS = "array<struct<title:string,link:string,snippet:string>>"
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    """Whether a table was written to ``folder``. The file system is asked; its errors rise."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    """Whether ``folder`` holds a table. The file system is asked; its errors rise."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return False
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return any("=" in n or not n.startswith(("_", ".")) for n in names)
 
 
 # --- requests -------------------------------------------------------------

@@ -1,6 +1,4 @@
-"""Streams give what their batch forms give; late rows are set apart, none is lost."""
-
-from pyspark.sql import functions as F
+"""Streams give what their batch forms give, over several micro-batches."""
 
 import __spark_entry__ as entry
 
@@ -19,3 +17,25 @@ def test_circuit_stream_equals_batch(spark):
 def test_shared_fetch_stream_equals_batch(spark):
     columns = ("key", "call_id", "is_hit", "answered_by_us")
     assert rows(spark, "request_coalesce_ttl", *columns) == rows(spark, "request_coalesce", *columns)
+
+
+def test_health_over_micro_batches(spark):
+    columns = ("provider", "health_score", "status")
+    assert rows(spark, "health_stream", *columns) == rows(spark, "provider_health", *columns)
+
+
+def test_upserts_over_micro_batches_in_any_order(spark, tmp_path):
+    """Three files, the newest rows first: the table ends with the newest row of each key."""
+    from tessera.session import scratch_folder
+    from tessera.streaming import stages
+
+    source, table, mark = (scratch_folder(spark, f"test-{n}") for n in ("in", "table", "mark"))
+    schema = "k long, ts long, v string"
+    for ts in (3, 1, 2):
+        spark.range(20).selectExpr("id % 7 as k", f"{ts} * 100 + id as ts", f"concat('v', {ts} * 100 + id) as v").coalesce(1).write.mode("append").parquet(source)
+    stream = stages.file_stream(spark, source, spark.createDataFrame([], schema).schema, per_trigger=1)
+    running = stages.stage_stream(stream, lambda batch: batch.withColumn("tie", batch.ts), table, mark, "k", "ts", "tie")
+    running.awaitTermination()
+    assert running.exception() is None and len(running.recentProgress) >= 3
+    got = {r.k: r.v for r in spark.read.parquet(table).collect()}
+    assert got == {k: f"v{300 + max(i for i in range(20) if i % 7 == k)}" for k in range(7)}
