@@ -62,12 +62,15 @@ def shuffle_width(spark: SparkSession) -> int:
 
 #: Input bytes for each partition of a sort whose partitions AQE may not merge or split.
 BYTES_IN_PARTITION = 256 << 20
+#: Spark gives about this size to what it cannot measure.
+UNKNOWN_BYTES = 1 << 60
 
 
 def input_width(df: DataFrame) -> int:
     """Partitions for a sort of ``df``: the session's number, more where the input is large."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    size = sum(n for n in sizes if n < UNKNOWN_BYTES)
     return max(shuffle_width(df.sparkSession), -(-size // BYTES_IN_PARTITION))
 
 
