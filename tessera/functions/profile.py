@@ -47,16 +47,21 @@ def texts_complementary(a: Column, b: Column) -> Column:
     return F.coalesce(let(let(pair, words), rules), F.lit(False))
 
 
-def join_texts(current: str, new: str) -> str:
-    """Both texts when they add to each other, else the longer, else the earlier one."""
-    if not new or not current:
-        return new or current
-    x, y = current.lower().strip(), new.lower().strip()
-    wx, wy = set(x.split()), set(y.split())
-    apart = x not in y and y not in x and wx and wy
-    if apart and len(wx & wy) / max(len(wx), len(wy)) < SIMILAR_FROM:
-        return f"{current.strip()}. {new.strip()}"
-    return new if len(new) > len(current) else current
+def word_overlap(a: str, b: str) -> float:
+    """Words of both texts as a share of the larger vocabulary; 1 where one holds the other."""
+    texts = sorted((t.strip().lower() for t in (a, b)), key=len)
+    if texts[0] in texts[1]:
+        return 1.0
+    vocabularies = [frozenset(t.split()) for t in texts]
+    return len(frozenset.intersection(*vocabularies)) / max(map(len, vocabularies))
+
+
+def join_texts(*texts: str) -> str:
+    """Two texts as one when they add to each other, else the longest, the earlier of equals."""
+    given = [t for t in texts if t]
+    if len(given) > 1 and word_overlap(*given) < SIMILAR_FROM:
+        return ". ".join(t.strip() for t in given)
+    return max(given, key=len, default="")
 
 
 def _texts(section: str, names: list[str]) -> list[str]:

@@ -20,7 +20,7 @@ BatchCall = Callable[[pd.DataFrame], list[str | None]]
 
 
 def fact_prompt(index: Column, total: Column, tokens: Column, pages: Column, content: Column) -> Column:
-    """Prompt of the fact extraction for one chunk."""
+    """Prompt of the fact extraction for one chunk. The wording is fixed text."""
     quoted = F.array_join(F.transform(pages, lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", ")
     return F.concat(
         F.lit("chunk_index="), index.cast("string"), F.lit(" / total_chunks="), total.cast("string"),
@@ -34,7 +34,7 @@ def _or_unknown(c: Column) -> Column:
 
 
 def discovery_prompt(trade: Column, legal: Column, key: Column, city: Column, results: Column) -> Column:
-    """Prompt that asks which search hit is the official site."""
+    """Prompt that asks which search hit is the official site. The wording is fixed text."""
     return F.concat(
         F.lit("\nDados da Empresa:\n- Nome Fantasia: "), _or_unknown(trade),
         F.lit("\n- Razão Social: "), _or_unknown(legal),

@@ -111,6 +111,7 @@ def test_joining_texts():
     assert V.join_texts("um dois", "tres quatro") == "um dois. tres quatro"
     assert V.join_texts("um dois", "um dois tres") == "um dois tres"
     assert V.join_texts("um dois tres", "dois um") == "um dois tres"
+    assert V.join_texts("um dois", "dez mil") == "um dois. dez mil"
 
 
 def test_flat_names(spark):
