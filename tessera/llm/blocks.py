@@ -126,30 +126,41 @@ def split_payload(payload: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def answer(asked: DataFrame, kinds: tuple, reply: Callable[..., np.ndarray], pack: bool) -> DataFrame:
-    """block, answers: what each block is told, one (bucket, payload) for each question.
+#: Block number of the rows in which a bucket says something about all its keys.
+SUMMARY = -1
 
-    ``reply(block, *columns)`` gets all keys of a bucket, with the number of the asking
+
+def answer(asked: DataFrame, kinds: tuple, reply: Callable[..., np.ndarray], pack: bool, summary: Callable[..., bytes] | None = None) -> DataFrame:
+    """block, bucket, payload: what each block is told for each question.
+
+    ``reply(own, *columns)`` gets all keys of a bucket, with the number of the asking
     block within the bucket, and returns one value for each; with ``pack`` as one bit.
+    ``summary(*columns)`` makes one more row a bucket, for block ``SUMMARY``. Written, as
+    the answers are read more than once.
     """
 
     def run(table: pa.Table) -> pa.Table:
         columns = [split_payload(p.as_buffer().to_pybytes(), *kinds) for p in table.column("payload")]
         sizes = [len(c[0]) for c in columns]
         own = np.repeat(np.arange(len(sizes)), sizes)
-        values = reply(own, *(np.concatenate([c[k] for c in columns]) for k in range(len(kinds))))
-        parts = np.split(values, np.cumsum(sizes)[:-1])
+        joined = [np.concatenate([c[k] for c in columns]) for k in range(len(kinds))]
+        parts = np.split(reply(own, *joined), np.cumsum(sizes)[:-1])
         payload = [(np.packbits(v) if pack else v).tobytes() for v in parts]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(payload, pa.binary())})
+        numbers, buckets = table.column("block").to_pylist(), table.column("bucket").to_pylist()
+        if summary:
+            payload.append(summary(*joined))
+            numbers.append(SUMMARY)
+            buckets.append(buckets[0])
+        return pa.table({"block": pa.array(numbers, pa.int64()), "bucket": pa.array(buckets, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
-    told = asked.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, payload binary")
-    return staged(told.groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers")), "answers")
+    return staged(asked.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, payload binary"), "answers")
 
 
 def with_answers(found: DataFrame, **answers: DataFrame) -> DataFrame:
     """Blocks with one more column for each set of answers; null where nothing was asked."""
     for name, told in answers.items():
-        found = found.join(told.withColumnRenamed("answers", name).hint("merge"), "block", "left")
+        own = told.filter(F.col("block") != SUMMARY).groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+        found = found.join(own.hint("merge"), "block", "left")
     return found
 
 
