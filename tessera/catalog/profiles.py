@@ -49,8 +49,8 @@ def profile_of(**given: Column) -> Column:
 # that both engines read; the check SQL uses the same texts.
 PARTS = {
     "company_name": "CASE doc_id % 3 WHEN 0 THEN concat('Company ', source, repeat('x', CAST(doc_id % 5 AS INT))) END",
-    "tagline": "substr(text, 1, 20)",
-    "description": "substr(text, 1, 60)",
+    "tagline": "concat(lang, ' ', length(text) % 7)",
+    "description": "concat(lang, ' ', length(text), ' ', md5(text))",
     "founding_year": "CAST(1950 + doc_id % 70 AS STRING)",
     "staff": "concat(doc_id % 50, '-', doc_id % 50 + 40)",
     "business_model": "CASE WHEN doc_id % 2 = 0 THEN 'B2B' END",
@@ -59,6 +59,9 @@ PARTS = {
 }
 
 
+SERVICE_DESCRIPTION = "concat(md5(text), ' ', lang, ' ', length(text) % 5)"
+
+
 def partial_profiles(t: Tables):
     e = {k: F.expr(v) for k, v in PARTS.items()}
     docs = t.documents.withColumn("w", split_words(F.col("text")))
@@ -69,7 +72,7 @@ def partial_profiles(t: Tables):
 
     service = F.struct(
         F.expr("concat('svc ', doc_id % 5)").alias("name"),
-        F.expr("substr(text, 1, 80)").alias("description"),
+        F.expr(SERVICE_DESCRIPTION).alias("description"),
         F.col("lang").alias("methodology"),
         word.alias("deliverables"),
         F.expr("concat('ideal ', doc_id % 11)").alias("ideal_client_profile"),
@@ -165,7 +168,7 @@ def merge_scalars(t: Tables):
 SQL_FOLD = f"""
 src AS (SELECT source, turn, 'description' AS field, '' AS item, description AS v FROM turned
   UNION ALL SELECT source, turn, 'tagline', '', tagline FROM turned
-  UNION ALL SELECT source, turn, 'service_description', 'svc ' || doc_id % 5, substr(text, 1, 80) FROM turned
+  UNION ALL SELECT source, turn, 'service_description', 'svc ' || doc_id % 5, {SERVICE_DESCRIPTION} FROM turned
   UNION ALL SELECT source, turn, 'service_methodology', 'svc ' || doc_id % 5, lang FROM turned),
 num AS (SELECT *, row_number() OVER (PARTITION BY source, field, item ORDER BY turn) AS rn FROM src WHERE v <> ''),
 fold AS (
