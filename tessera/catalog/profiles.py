@@ -274,28 +274,96 @@ def merge_sources(t: Tables):
 
 
 def merged_sql(partials: str) -> str:
-    return f"""WITH {partials}, {SQL_UNION},
-    n AS (SELECT cnpj_basico, field, count(*) AS n FROM listed GROUP BY ALL)
-    SELECT source AS cnpj_basico, {_longest_sql('company_name')} AS company_name, {_longest_sql('geo')} AS geo,
-      CAST((SELECT n FROM n WHERE field = 'offerings.products' AND cnpj_basico = source) AS BIGINT) AS products,
-      CAST((SELECT n FROM n WHERE field = 'reputation.client_list' AND cnpj_basico = source) AS BIGINT) AS clients,
-      CAST(count(DISTINCT doc_id % 500) AS BIGINT) AS sources FROM turned GROUP BY source"""
+    """The whole merged profile: every text, list and record that the partials hold."""
+
+    def listed(field: str, name: str) -> str:
+        return f"coalesce((SELECT string_agg(value, '|' ORDER BY pos) FROM listed l WHERE l.field = '{field}' AND l.cnpj_basico = source), '') AS {name}"
+
+    def joined(field: str) -> str:
+        return f"coalesce((SELECT value FROM joined j WHERE j.source = t.source AND j.field = '{field}' AND j.item = ''), '') AS {field}"
+
+    return f"""WITH RECURSIVE {partials}, {SQL_FOLD}, {SQL_UNION},
+    cc AS (SELECT source, turn, category, w FROM turned WHERE lower(trim(category)) <> 'geral'),
+    cplace AS (SELECT source, category, min(turn) AS place FROM cc GROUP BY ALL),
+    citem AS (SELECT source, category, value, min(turn * 10000000 + pos) AS place FROM (SELECT source, category, turn, unnest(w) AS value, unnest(range(len(w))) AS pos FROM cc) GROUP BY ALL),
+    cat AS (SELECT p.source, p.category, p.place, coalesce(string_agg(i.value, '|' ORDER BY i.place), '') AS items FROM cplace p LEFT JOIN citem i USING (source, category) GROUP BY ALL),
+    cats AS (SELECT source, md5(string_agg(category || '=' || items, ';' ORDER BY place)) AS digest FROM cat GROUP BY source),
+    ss AS (SELECT source, turn, 'svc ' || doc_id % 5 AS name, 'ideal ' || doc_id % 11 AS ideal, w FROM turned),
+    sitem AS (SELECT source, name, value, min(turn * 10000000 + pos) AS place FROM (SELECT source, name, turn, unnest(w) AS value, unnest(range(len(w))) AS pos FROM ss) GROUP BY ALL),
+    slist AS (SELECT source, name, string_agg(value, '|' ORDER BY place) AS items FROM sitem GROUP BY ALL),
+    sone AS (SELECT source, name, min(turn) AS place, {_longest_sql('ideal')} AS ideal FROM ss GROUP BY source, name),
+    svc AS (SELECT o.source, o.name, o.place, o.ideal, coalesce(l.items, '') AS items, d.value AS description, m.value AS methodology FROM sone o
+      LEFT JOIN slist l ON l.source = o.source AND l.name = o.name
+      LEFT JOIN joined d ON d.source = o.source AND d.item = o.name AND d.field = 'service_description'
+      LEFT JOIN joined m ON m.source = o.source AND m.item = o.name AND m.field = 'service_methodology'),
+    svcs AS (SELECT source, md5(string_agg(concat_ws('=', name, description, methodology, items, ideal), ';' ORDER BY place)) AS digest FROM svc GROUP BY source),
+    kk AS (SELECT source, turn, 'case ' || doc_id % 4 AS title, lang, text AS challenge, 'o' || doc_id % 13 AS outcome FROM turned),
+    kone AS (SELECT source, title, min(turn) AS place, {_longest_sql('lang')} AS client, {_longest_sql('challenge')} AS challenge, {_longest_sql('outcome')} AS outcome FROM kk GROUP BY source, title),
+    cases AS (SELECT source, md5(string_agg(concat_ws('=', title, client, challenge, outcome), ';' ORDER BY place)) AS digest FROM kone GROUP BY source),
+    place AS (SELECT source, 'https://d' || doc_id % 500 || '.example.com' AS url, min(turn) AS place FROM turned GROUP BY ALL),
+    urls AS (SELECT source, string_agg(url, '|' ORDER BY place) AS sources FROM place GROUP BY source)
+    SELECT source AS cnpj_basico, {_longest_sql('company_name')} AS company_name, {joined('tagline')}, {joined('description')},
+      {_longest_sql('founding_year')} AS founding_year, {_longest_sql('staff')} AS staff, {_longest_sql('lang')} AS industry,
+      {_longest_sql('business_model')} AS business_model, {_longest_sql('geo')} AS geo,
+      arg_min('role ' || doc_id % 5, turn) AS roles, arg_min('m' || doc_id % 12 || '@e.example.com', turn) AS emails, arg_min('Loc ' || doc_id % 30, turn) AS locations,
+      'https://' || source || '.example.com' AS website,
+      {listed('offerings.products', 'products')}, {listed('offerings.services', 'services')}, {listed('offerings.key_differentiators', 'differentiators')},
+      {listed('reputation.certifications', 'certifications')}, {listed('reputation.partnerships', 'partnerships')}, {listed('reputation.client_list', 'clients')},
+      (SELECT digest FROM cats c WHERE c.source = t.source) AS categories, (SELECT digest FROM svcs s WHERE s.source = t.source) AS service_details,
+      (SELECT digest FROM cases k WHERE k.source = t.source) AS cases, (SELECT sources FROM urls u WHERE u.source = t.source) AS sources
+    FROM turned t GROUP BY source"""
+
+
+def merged_whole(merged):
+    """Every part of a merged profile that the partials hold, lists joined and records digested."""
+
+    def text(path: str, name: str) -> Column:
+        return F.coalesce(F.col(f"profile.{path}"), F.lit("")).alias(name)
+
+    def listed(path: str, name: str) -> Column:
+        return F.array_join(f"profile.{path}", "|").alias(name)
+
+    def records(path: str, show, name: str) -> Column:
+        return F.md5(F.array_join(F.transform(f"profile.{path}", show), ";")).alias(name)
 
-
-def merged_summary(merged):
     return merged.select(
         "cnpj_basico",
-        F.coalesce("profile.identity.company_name", F.lit("")).alias("company_name"),
-        F.coalesce("profile.classification.geographic_coverage", F.lit("")).alias("geo"),
-        F.size("profile.offerings.products").cast("long").alias("products"),
-        F.size("profile.reputation.client_list").cast("long").alias("clients"),
-        F.size("profile.sources").cast("long").alias("sources"),
+        text("identity.company_name", "company_name"),
+        text("identity.tagline", "tagline"),
+        text("identity.description", "description"),
+        text("identity.founding_year", "founding_year"),
+        text("identity.employee_count_range", "staff"),
+        text("classification.industry", "industry"),
+        text("classification.business_model", "business_model"),
+        text("classification.geographic_coverage", "geo"),
+        listed("team.key_roles", "roles"),
+        listed("contact.emails", "emails"),
+        listed("contact.locations", "locations"),
+        text("contact.website_url", "website"),
+        listed("offerings.products", "products"),
+        listed("offerings.services", "services"),
+        listed("offerings.key_differentiators", "differentiators"),
+        listed("reputation.certifications", "certifications"),
+        listed("reputation.partnerships", "partnerships"),
+        listed("reputation.client_list", "clients"),
+        records("offerings.product_categories", lambda c: F.concat_ws("=", c["category_name"], F.array_join(c["items"], "|")), "categories"),
+        records(
+            "offerings.service_details",
+            lambda x: F.concat_ws("=", x["name"], x["description"], x["methodology"], F.array_join(x["deliverables"], "|"), x["ideal_client_profile"]),
+            "service_details",
+        ),
+        records(
+            "reputation.case_studies",
+            lambda k: F.concat_ws("=", k["title"], k["client_name"], k["challenge"], k["outcome"]),
+            "cases",
+        ),
+        listed("sources", "sources"),
     )
 
 
 @query("merge_profiles", merged_sql(SQL_PARTIALS))
 def merge_profiles(t: Tables):
-    return merged_summary(P.merge_profiles(partial_profiles(t)))
+    return merged_whole(P.merge_profiles(partial_profiles(t)))
 
 
 SQL_TOLD = SQL_PARTIALS.replace(
@@ -308,21 +376,29 @@ def multi_chunk_profile(t: Tables):
     # A chunk whose answer names neither the company nor its model counts as failed.
     told = F.col("profile.identity.company_name").isNotNull() | F.col("profile.classification.business_model").isNotNull()
     partials = partial_profiles(t).withColumn("profile", F.when(told, F.col("profile")))
-    return merged_summary(M.multi_chunk_profile(partials))
+    return merged_whole(M.multi_chunk_profile(partials))
 
 
 @query(
     "clean_profile",
-    f"""WITH {SQL_PARTIALS} SELECT doc_id AS ord, CAST(CASE WHEN lower(trim(category)) = 'geral' THEN 0 ELSE 1 END AS BIGINT) AS categories,
-      CAST(1 AS BIGINT) AS clients, CAST(1 AS BIGINT) AS cases FROM docs""",
+    f"""WITH {SQL_PARTIALS} SELECT doc_id AS ord, CASE WHEN lower(trim(category)) = 'geral' THEN '' ELSE md5(category || '=' || array_to_string(w, '|')) END AS categories,
+      'C' || doc_id % 100 AS clients, md5(concat_ws('=', 'case ' || doc_id % 4, lang, text, '', 'o' || doc_id % 13)) AS cases, md5(array_to_string(w, '|')) AS products,
+      md5(concat_ws('=', 'svc ' || doc_id % 5, array_to_string(w, '|'))) AS service_details FROM docs""",
 )
 def clean_profile(t: Tables):
     cleaned = partial_profiles(t).select("ord", P.clean_profile(F.col("profile")).alias("p"))
+
+    def digest(path: str, show) -> Column:
+        shown = F.array_join(F.transform(path, show), ";")
+        return F.when(F.size(path) > 0, F.md5(shown)).otherwise("")
+
     return cleaned.select(
         "ord",
-        F.size("p.offerings.product_categories").cast("long").alias("categories"),
-        F.size("p.reputation.client_list").cast("long").alias("clients"),
-        F.size("p.reputation.case_studies").cast("long").alias("cases"),
+        digest("p.offerings.product_categories", lambda c: F.concat_ws("=", c["category_name"], F.array_join(c["items"], "|"))).alias("categories"),
+        F.array_join("p.reputation.client_list", "|").alias("clients"),
+        digest("p.reputation.case_studies", lambda c: F.concat_ws("=", c["title"], c["client_name"], c["challenge"], c["solution"], c["outcome"])).alias("cases"),
+        F.md5(F.array_join("p.offerings.products", "|")).alias("products"),
+        digest("p.offerings.service_details", lambda c: F.concat_ws("=", c["name"], F.array_join(c["deliverables"], "|"))).alias("service_details"),
     )
 
 
@@ -415,12 +491,15 @@ FLAT = {
 
 @query(
     "profile_flatten",
-    f"""WITH f AS (SELECT c_custkey, {", ".join(f"{v} AS {k}" for k, v in FLAT.items())} FROM customer)
+    f"""WITH f AS (SELECT c_custkey, c_mktsegment, c_name, c_nationkey::VARCHAR AS c_phone, {", ".join(f"{v} AS {k}" for k, v in FLAT.items())} FROM customer)
     SELECT c_custkey AS cnpj, CASE WHEN trim(coalesce(name, '')) <> '' THEN name WHEN trim(coalesce(tagline, '')) <> '' THEN substr(trim(tagline), 1, 100)
        WHEN trim(coalesce(description, '')) <> '' THEN CASE WHEN trim(split_part(substr(trim(description), 1, 50), '.', 1)) <> '' THEN trim(split_part(substr(trim(description), 1, 50), '.', 1)) ELSE trim(substr(trim(description), 1, 50)) END
        ELSE 'Empresa CNPJ ' || c_custkey END AS company_name,
       CAST(CASE c_custkey % 3 WHEN 0 THEN 1990 ELSE -1 END AS BIGINT) AS founding_year, CAST(CASE c_custkey % 4 WHEN 0 THEN 10 ELSE -1 END AS BIGINT) AS low,
-      CAST(CASE c_custkey % 4 WHEN 0 THEN 50 ELSE -1 END AS BIGINT) AS high, TRUE AS has_json FROM f""",
+      CAST(CASE c_custkey % 4 WHEN 0 THEN 50 ELSE -1 END AS BIGINT) AS high, coalesce(tagline, '') AS tagline, coalesce(description, '') AS description,
+      c_mktsegment AS industry, '' AS business_model, '' AS target_audience, c_name AS geographic_coverage, coalesce(staff, '') AS employee_count_range,
+      c_name AS headquarters_address, 'a@' || c_custkey || '.example.com|b' AS emails, c_phone AS phones, '' AS linkedin_url, 'https://c' || c_custkey || '.example.com' AS website_url,
+      'https://s' || c_custkey || '.example.com' AS sources, c_mktsegment AS json_industry, c_phone AS json_phone, TRUE AS same FROM f""",
 )
 def profile_flatten(t: Tables):
     e = {k: F.expr(v) for k, v in FLAT.items()}
@@ -430,6 +509,13 @@ def profile_flatten(t: Tables):
         identity__description=e["description"],
         identity__founding_year=e["year"],
         identity__employee_count_range=e["staff"],
+        classification__industry=F.col("c_mktsegment"),
+        classification__geographic_coverage=F.col("c_name"),
+        contact__headquarters_address=F.col("c_name"),
+        contact__emails=F.expr("array(concat('a@', c_custkey, '.example.com'), 'b')"),
+        contact__phones=F.array(F.col("c_nationkey").cast("string")),
+        contact__website_url=F.expr("concat('https://c', c_custkey, '.example.com')"),
+        sources=F.expr("array(concat('https://s', c_custkey, '.example.com'))"),
     )
     flat = P.profile_flatten(t.customer.select(F.col("c_custkey").alias("cnpj_basico"), profile.alias("profile")))
 
@@ -442,7 +528,15 @@ def profile_flatten(t: Tables):
         number("founding_year", "founding_year"),
         number("employee_count_min", "low"),
         number("employee_count_max", "high"),
-        F.col("profile_json").startswith("{").alias("has_json"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("tagline", "description", "industry", "business_model", "target_audience", "geographic_coverage", "employee_count_range", "headquarters_address")],
+        F.array_join("emails", "|").alias("emails"),
+        F.array_join("phones", "|").alias("phones"),
+        F.coalesce("linkedin_url", F.lit("")).alias("linkedin_url"),
+        "website_url",
+        F.array_join("sources", "|").alias("sources"),
+        F.get_json_object("profile_json", "$.classification.industry").alias("json_industry"),
+        F.get_json_object("full_profile", "$.contact.phones[0]").alias("json_phone"),
+        (F.col("profile_json") == F.col("full_profile")).alias("same"),
     )
 
 
@@ -451,7 +545,10 @@ def profile_flatten(t: Tables):
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
     new AS (SELECT doc_id AS company_id, 'company_location' AS tbl, {sql_strip('line')} AS value FROM l WHERE doc_id % 3 <> 0 AND {sql_strip('line')} <> ''
       UNION ALL SELECT doc_id, 'company_award', lang || ' award' FROM documents
-      UNION ALL SELECT doc_id, 'company_service', 'svc ' || source FROM documents)
+      UNION ALL SELECT doc_id, 'company_service', 'svc ' || source || '=["' || lang || '"]' FROM documents
+      UNION ALL SELECT doc_id, 'company_certification', 'ISO ' || doc_id % 40 FROM documents
+      UNION ALL SELECT doc_id, 'company_partnership', 'P' || doc_id % 60 FROM documents
+      UNION ALL SELECT doc_id, 'company_product_category', 'Cat ' || doc_id % 4 || '=["' || lang || '","' || source || '"]' FROM documents)
     SELECT * FROM new UNION ALL SELECT doc_id, 'company_location', 'old' FROM documents WHERE doc_id % 3 = 0""",
 )
 def profile_children(t: Tables):
@@ -462,13 +559,17 @@ def profile_children(t: Tables):
         F.concat(F.lit("svc "), F.col("source")).alias("name"),
         blank.alias("description"),
         blank.alias("methodology"),
-        none.alias("deliverables"),
+        F.array("lang").alias("deliverables"),
         blank.alias("ideal_client_profile"),
     )
+    category = F.struct(F.expr("concat('Cat ', doc_id % 4)").alias("category_name"), F.array("lang", "source").alias("items"))
     profile = profile_of(
         contact__locations=lines,
         reputation__awards=F.expr("array(concat(lang, ' award '), ' ')"),
+        reputation__certifications=F.expr("array(concat('ISO ', doc_id % 40), '')"),
+        reputation__partnerships=F.expr("array(' ', concat(' P', doc_id % 60))"),
         offerings__service_details=F.array(service),
+        offerings__product_categories=F.array(category),
     )
     profiles = t.documents.select(F.col("doc_id").alias("company_id"), profile.alias("profile"))
     children = P.profile_children(profiles)
@@ -478,10 +579,17 @@ def profile_children(t: Tables):
     def tagged(df, table: str, column: str):
         return df.select("company_id", F.lit(table).alias("tbl"), F.col(column).alias("value"))
 
+    def pairs(table: str, name: str, listed: str):
+        value = F.concat_ws("=", name, listed).alias("value")
+        return children[table].select("company_id", F.lit(table).alias("tbl"), value)
+
     return (
         tagged(kept, "company_location", "location")
         .unionByName(tagged(children["company_award"], "company_award", "name"))
-        .unionByName(tagged(children["company_service"], "company_service", "name"))
+        .unionByName(tagged(children["company_certification"], "company_certification", "name"))
+        .unionByName(tagged(children["company_partnership"], "company_partnership", "name"))
+        .unionByName(pairs("company_service", "name", "deliverables"))
+        .unionByName(pairs("company_product_category", "category_name", "items"))
     )
 
 
