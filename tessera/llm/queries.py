@@ -36,7 +36,21 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-@query("op1_substring_dedup")
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), rep AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1
+), hit AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM win JOIN rep USING (g))
+), gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id
+), placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM placed ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op1_substring_dedup", REPEATS_SQL)
 def op1(spark, folder):
     found = substring_dedup.duplicate_factors(table(spark, folder, "documents"))
     # Factors may overlap: count the words from each one's start, or from the end reached before it.
