@@ -25,6 +25,8 @@ LATENT = 48
 NEIGHBOURS = 25
 #: Blocks of documents that are compared with the sample at once.
 BLOCK = 512
+#: Bytes of text whose terms are counted at once; every byte takes some 50 of memory.
+RUN = 1 << 20
 THRESHOLD = 0.3
 
 _codes = np.arange(256)
@@ -127,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in slices(batch, "text"):
+            for rows, data, bounds in slices(batch, "text", RUN):
                 row, term, count = term_counts(data, bounds)
                 cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
@@ -159,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for rows, data, bounds in slices(batch, "text"):
+            for rows, data, bounds in slices(batch, "text", RUN):
                 score = model.value.scores(rows.num_rows, *term_counts(data, bounds))
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score)], ["doc_id", "score"])
 
@@ -178,7 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for batch in batches:
             plain = pa.RecordBatch.from_arrays([batch.column(at)], ["text"])
             done = 0
-            for rows, data, bounds in slices(plain, "text"):
+            for rows, data, bounds in slices(plain, "text", RUN):
                 score = model.value.scores(rows.num_rows, *term_counts(data, bounds))
                 yield batch.slice(done, rows.num_rows).filter(pa.array(score >= threshold))
                 done += rows.num_rows

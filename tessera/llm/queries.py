@@ -12,7 +12,6 @@ from tessera.llm import decontaminate, exact_dedup, language, language_model, pa
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 FOLDED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -94,8 +93,7 @@ def op5(spark, folder):
 
 DECONTAMINATION_SQL = f"""
 WITH doc_words AS (
-  SELECT doc_id, list_transform(range(1, len(w) + 1), i -> {{'p': i, 'w': w[i]}}) AS ws, w
-  FROM (SELECT doc_id, regexp_extract_all({FOLDED_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)
+  SELECT doc_id, regexp_extract_all({FOLDED_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
 ), item_words AS (
   SELECT item_id, regexp_extract_all({FOLDED_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
 ), wins AS (

@@ -30,20 +30,30 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; grown when a longer block comes."""
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i up to a block's size."""
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 4096)
+    if _powers is None:
         tables = []
         for base in (_BASE, pow(_BASE, -1, 2**64)):
-            steps = np.full(size, base, np.uint64)
+            steps = np.full(BLOCK_BYTES + 1, base, np.uint64)
             steps[0] = 1
             tables.append(np.cumprod(steps, dtype=np.uint64))
         _powers = tables[0], tables[1]
     return _powers
 
 
+def _long_word(data: np.ndarray) -> np.uint64:
+    """The weighted sum of a word longer than a block, block by block."""
+    forth, _ = _power_tables()
+    total = 0
+    for k in range(0, len(data), BLOCK_BYTES):
+        piece = data[k : k + BLOCK_BYTES]
+        own = int((_BYTE_WEIGHT[piece] * forth[: len(piece)]).sum(dtype=np.uint64))
+        total += own * pow(_BASE, k, 2**64)
+    return np.uint64(total % 2**64)
+
+
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = h + np.uint64((0x632BE59BD9B4E019 * (salt + 1)) % 2**64)
@@ -109,12 +119,16 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same in every task."""
         out = np.empty(len(self), np.uint64)
+        forth, back = _power_tables()
         at = 0
         while at < len(self):
             origin = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, origin + BLOCK_BYTES, "right")))
+            to = int(np.searchsorted(self.ends, origin + BLOCK_BYTES, "right"))
+            if to <= at:
+                out[at] = _long_word(self.data[origin : self.ends[at]])
+                at += 1
+                continue
             stop = self.ends[to - 1]
-            forth, back = _power_tables(int(stop - origin))
             sums = np.zeros(stop - origin + 1, np.uint64)
             np.cumsum(_BYTE_WEIGHT[self.data[origin:stop]] * forth[: stop - origin], out=sums[1:])
             begin = self.starts[at:to] - origin
