@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.catalog.registry import Tables, query
 from tessera.catalog.text import SQL_WS
-from tessera.catalog.web import SQL_BLOCK, SQL_SITE_PAGES, site_pages
-from tessera.functions import tokens as K
-from tessera.operators import chunking as C, sites as S
+from tessera.catalog.web import SQL_BLOCK, SQL_SITE, SQL_SITE_PAGES, site_pages
+from tessera.functions import tokens as K, urls as U
+from tessera.operators import chunking as C, discovery as D, sites as S
+from tessera.plans.company_profile import discoveries_from_searches, profiles_from_chunks
 from tessera.plans.site_chunks import site_chunks
 from tessera.session import scratch_folder, staged
 from tessera.sources import stores
@@ -104,9 +105,7 @@ def _digest(chunks):
 
 # The SQL packs whole pages. It says the same as long as no page and no joined chunk
 # is over the limit and has to be split; the tests cover splitting.
-@query(
-    "site_chunk_stats",
-    f"""WITH RECURSIVE {SQL_SITE_PAGES},
+SQL_CHUNK_STATS = f"""WITH RECURSIVE {SQL_SITE_PAGES},
     ln AS (SELECT site, page_ord, unnest(ls) AS raw, generate_subscripts(ls, 1) AS line_no
       FROM (SELECT site, page_ord, string_split({SQL_BLOCK}, chr(10)) AS ls FROM ok)),
     tr AS (SELECT site, page_ord, line_no, regexp_replace(raw, '{SQL_WS}+$', '') AS line FROM ln),
@@ -119,8 +118,10 @@ def _digest(chunks):
     ch AS (SELECT n.site, w.grp, length(string_agg(n.text, chr(10) || chr(10) ORDER BY n.rn)) AS chars
        FROM n JOIN walk w USING (site, rn) GROUP BY n.site, w.grp)
     SELECT site, CAST(count(*) AS BIGINT) AS n_chunks, round(avg(chars // 3), 6) AS avg_tokens, CAST(max(chars // 3) AS BIGINT) AS max_tokens,
-      CAST(sum(chars // 3) AS BIGINT) AS total_tokens FROM ch GROUP BY site""",
-)
+      CAST(sum(chars // 3) AS BIGINT) AS total_tokens FROM ch GROUP BY site"""
+
+
+@query("site_chunk_stats", SQL_CHUNK_STATS)
 def site_chunk_stats(t: Tables):
     chunks = site_chunks(S.successful_pages(site_pages(t)))
     stats = C.chunk_stats(chunks)
@@ -129,6 +130,50 @@ def site_chunk_stats(t: Tables):
     )
 
 
+@query(
+    "company_chain",
+    f"""WITH found AS (SELECT {SQL_SITE} AS cnpj_basico, arg_max(url, page_id) AS website_url FROM pages GROUP BY 1),
+    stats AS ({SQL_CHUNK_STATS})
+    SELECT cnpj_basico, website_url, 'found' AS discovery_status, coalesce(n_chunks, 0) AS n_chunks, coalesce(total_tokens, 0) AS total_tokens,
+      n_chunks IS NOT NULL AS has_profile FROM found LEFT JOIN stats ON site = cnpj_basico""",
+)
+def company_chain(t: Tables):
+    """Searches to sites, sites to pages, pages to chunks, chunks to profiles.
+
+    A host is a company; each of its pages was a search that brought a blocked link and
+    the page, and the newest search counts.
+    """
+    searches = t.pages.select(
+        U.url_domain(F.col("url")).alias("cnpj_basico"),
+        F.concat(F.lit("q"), F.col("page_id")).alias("query_used"),
+        F.array(
+            F.struct(F.lit("f").alias("title"), F.lit("https://www.facebook.com/x").alias("link"), F.lit("").alias("snippet")),
+            F.struct(F.lit("p").alias("title"), F.col("url").alias("link"), F.lit("").alias("snippet")),
+        ).alias("results"),
+        F.col("page_id").alias("created_at"),
+        D.domain_label(F.col("url")).alias("name"),
+    )
+    requests = searches.select("cnpj_basico").distinct()
+    names = searches.groupBy("cnpj_basico").agg(F.min("name").alias("name"))
+    found = discoveries_from_searches(requests, searches.drop("name"), names)
+    chunks = staged(site_chunks(S.successful_pages(site_pages(t))), "chunks")
+    stats = C.chunk_stats(chunks).select(F.col("site").alias("cnpj_basico"), "n_chunks", "total_tokens")
+    profiles = profiles_from_chunks(
+        chunks.select(
+            F.col("site").alias("cnpj_basico"), "chunk_index", F.col("content").alias("chunk_content"), F.col("pages_included").alias("page_source")
+        )
+    ).select("cnpj_basico", F.lit(True).alias("has_profile"))
+    chain = found.join(stats, "cnpj_basico", "left").join(profiles, "cnpj_basico", "left")
+    return chain.select(
+        "cnpj_basico",
+        "website_url",
+        "discovery_status",
+        F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+        F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
+        F.coalesce("has_profile", F.lit(False)).alias("has_profile"),
+    )
+
+
 # Documents stand for chunks; some lose their text and some are doubled.
 CHUNK_TEXT = "CASE doc_id % 10 WHEN 1 THEN '   ' WHEN 2 THEN text || text ELSE text END"
 
