@@ -115,17 +115,18 @@ def _repeats_over(items: Column, times: int) -> Column:
 def has_repeated_ngram(c: Column, n: int = 4, times: int = 20) -> Column:
     """Some run of ``n`` words occurs more than ``times`` times."""
     words = F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-    grams = let(
-        words,
-        lambda w: F.when(
-            F.size(w) >= n,
-            F.transform(
-                F.sequence(F.lit(0), F.size(w) - n),
-                lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]),
-            ),
-        ).otherwise(F.array().cast("array<string>")),
-    )
-    return _repeats_over(grams, times)
+
+    def grams(w: Column, make, kind: str) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: make(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, runs).otherwise(F.array().cast(f"array<{kind}>"))
+
+    def test(w: Column) -> Column:
+        # Sorting numbers is cheap; texts are compared only where their hashes repeat.
+        likely = _repeats_over(grams(w, F.xxhash64, "bigint"), times)
+        exact = _repeats_over(grams(w, lambda *g: F.concat_ws(" ", *g), "string"), times)
+        return F.when(likely, exact).otherwise(F.lit(False))
+
+    return let(words, test)
 
 
 def has_repeated_slice(c: Column, width: int = 30, step: int = 10, times: int = 15) -> Column:
@@ -147,9 +148,11 @@ def has_repeated_slice(c: Column, width: int = 30, step: int = 10, times: int =
             lambda s: F.length(s) >= 20,
         )
 
-    return F.when(
-        F.length(c) > width, let(pieces, lambda p: _repeats_over(stretches(p), times))
-    ).otherwise(F.lit(False))
+    def test(cuts: Column) -> Column:
+        likely = _repeats_over(F.transform(cuts, lambda x: F.xxhash64(x)), times)
+        return F.when(likely, _repeats_over(cuts, times)).otherwise(F.lit(False))
+
+    return F.when(F.length(c) > width, let(let(pieces, stretches), test)).otherwise(F.lit(False))
 
 
 def repetition_loop(c: Column) -> Column:
