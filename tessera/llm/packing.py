@@ -30,8 +30,10 @@ SENTENCE_CUT = 4
 FORCED_CUT = 16
 FORCED_GAP = 16
 #: Ids over which one run of the dynamic programme looks; its last window is carried on.
-STRETCH = 1 << 19
-CACHED_WORDS = 2_000_000
+STRETCH = 1 << 17
+CACHED_WORDS = 1_000_000
+#: Bytes of text that are encoded at once.
+RUN = 1 << 20
 
 _codes = np.arange(256)
 #: Punctuation that never joins the letter or digit before it, nor a special token.
@@ -261,7 +263,7 @@ def _packer(path: str, stretch: int):
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            for part, data, bounds in slices(batch, "text"):
+            for part, data, bounds in slices(batch, "text", RUN):
                 ids, row_to, sentences = tokenizer.encode(data, bounds)
                 row_from = np.concatenate([[0], row_to[:-1]])
                 from_s = np.searchsorted(sentences, row_from, "right")
