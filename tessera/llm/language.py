@@ -19,8 +19,6 @@ from tessera.llm.words import FOLD, slices
 from tessera.session import staged
 
 DIMENSIONS = 512
-#: Documents to learn from.
-SAMPLE = 20_000
 #: Languages a model may have; they are collected with their prototypes.
 MOST_LANGUAGES = 4096
 
@@ -101,17 +99,13 @@ def _has_letter(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and unit prototypes of at most about ``sample`` learning documents.
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and unit prototypes of all learning documents.
 
-    Learning documents have a language and crc32(doc_id) mod 4 not 2. They are thinned
-    by a hash of the id to the share that gives ``sample`` rows, and never to none.
+    Learning documents have a language and crc32(doc_id) mod 4 not 2. A task sums the
+    profiles of its own, so what is sent is one vector a task and language.
     """
     learn = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~in_part(F.col("doc_id"), 4, 2))
-    total = only(learn, "doc_id").count()
-    if total > sample:
-        step = -(-total // sample)
-        learn = learn.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0)
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -141,7 +135,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     return languages, np.divide(prototypes, size, out=np.zeros_like(prototypes), where=size > 0).astype(np.float32)
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, lang_pred, score.
 
     held_out is crc32(doc_id as text) mod 4 = 2 (false for a null id, which is not
@@ -150,7 +144,7 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     the winning prototype, at least 0; ties go to the language that sorts first. Repeated
     rows give repeated rows, no documents none.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -99,6 +99,17 @@ def test_languages_of_odd_rows(documents):
     assert language.identify(documents([])).count() == 0
 
 
+def test_a_rare_language_is_learned_from_a_large_table(spark):
+    """Three documents of a language among 21,000, none of them in a thinned share of the ids."""
+    rare = [d for d in range(30_000, 31_000) if zlib.crc32(str(d).encode()) % 4 != 2]
+    thin = {r[0] for r in spark.range(30_000, 31_000).filter("pmod(xxhash64(id, 3), 2) = 0").collect()}
+    rare = [d for d in rare if d not in thin][:3]
+    common = spark.range(29_000).selectExpr("id as doc_id", "'the quick brown fox' as text", "'en' as lang")
+    docs = common.unionByName(spark.createDataFrame([(d, "zxq qzx xqz zzx", "xx") for d in rare], "doc_id long, text string, lang string"))
+    assert language.fit(docs)[0] == ["en", "xx"]
+    assert {r["lang_pred"] for r in language.identify(docs).filter(F.col("doc_id").isin(rare)).collect()} == {"xx"}
+
+
 def test_automaton_equals_edit_distance():
     import random
 
