@@ -12,7 +12,7 @@ regression on a few sums gives the score.
 
 from __future__ import annotations
 
-
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -27,8 +27,7 @@ from tessera.llm.words import FOLD, Words, slices
 
 #: Labelled documents to learn from, half of each label.
 SAMPLE = 8000
-#: Size of the lexicon, and the support and odds an entry needs.
-ENTRIES = 160
+#: Support and odds an entry of the lexicon needs; all that have them are in it.
 LEAST_DOCUMENTS = 5
 LEAST_ODDS = 2.5
 PREFIXES = range(3, 9)
@@ -39,22 +38,54 @@ CONTEXT = 6
 MOST_LETTERS = 40
 
 _codes = np.arange(256)
-#: One code a character up to U+00FF: 0xC3 and its follower become the Latin-1 code.
+#: One code a character up to U+00FF: 0xC2 or 0xC3 and its follower become the Latin-1 code.
 _LOWER_LATIN = np.where((_codes >= 0xC0) & (_codes <= 0xDE) & (_codes != 0xD7), _codes + 32, FOLD).astype(np.uint8)
 _LETTER = ((_codes >= 0x61) & (_codes <= 0x7A)) | ((_codes >= 0x30) & (_codes <= 0x39)) | (_codes >= 0x80) | np.isin(_codes, list(b"@$"))
-_QUOTE = np.isin(_codes, list(b"\"")) | np.isin(_codes, [0xAB, 0xBB])
+_QUOTE = _codes == 0x22
 SAYING = ("said", "says", "called", "quote", "quoted", "word", "sagte", "wort", "dit", "mot", "dijo", "palabra")
 
 
+#: Single quotation marks are apostrophes as well: like the ASCII one they only separate words.
+_QUOTATION = "«»“”„‟‹›「」『』〝〞〟＂"
+
+
+def _mark_of(code: int) -> int:
+    """0 for a character of words, else the ASCII one that stands for it: a quotation mark or a space."""
+    c = chr(code)
+    if c in _QUOTATION:
+        return 0x22
+    kind = unicodedata.category(c)
+    return 0x20 if kind[0] in "PSZ" or kind == "Cc" or code in (0x200B, 0xFEFF) else 0
+
+
+_MARKS = np.array([0] * 0x80 + [_mark_of(c) for c in range(0x80, 0x20000)], np.uint8)
+
+
 def latin(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased text with one code for each character up to U+00FF, and its row bounds."""
-    lead = np.zeros(len(data), bool)
-    if len(data):
-        lead[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF)
-    value = data.copy()
-    value[1:][lead[:-1]] |= 0x40
-    kept = np.concatenate([[0], np.cumsum(~lead)])
-    return _LOWER_LATIN[value[~lead]], kept[rows]
+    """Lower-cased text with one code for each character up to U+00FF, and its row bounds.
+
+    Quotation marks, other punctuation, symbols and spaces beyond ASCII become one ASCII
+    quotation mark or space each; other characters keep their bytes.
+    """
+    value, gone = data.copy(), np.zeros(len(data), bool)
+    for length, low, high in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + length <= len(data)]
+        code = data[at].astype(np.int64) & (0x7F >> length)
+        whole = np.ones(len(at), bool)
+        for k in range(1, length):
+            whole &= (data[at + k] & 0xC0) == 0x80
+            code = code << 6 | (data[at + k] & 0x3F)
+        mark = np.where(whole & (code < len(_MARKS)), _MARKS[np.minimum(code, len(_MARKS) - 1)], 0)
+        is_mark = mark > 0
+        value[at[is_mark]] = mark[is_mark]
+        for k in range(1, length):
+            gone[at[is_mark] + k] = True
+        short = at[whole & ~is_mark & (code < 0x100)]
+        value[short + 1] = value[short + 1] | (data[short] & 1) << 6
+        gone[short] = True
+    kept = np.concatenate([[0], np.cumsum(~gone)])
+    return _LOWER_LATIN[value[~gone]], kept[rows]
 
 
 def _features_of_word(word: bytes):
@@ -84,8 +115,8 @@ def _document_entries(batches):
         )
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> list[tuple[bytes, float]]:
-    """The ``entries`` best (entry, log odds): ``=word`` or ``^beginning``.
+def learn_lexicon(sample: DataFrame) -> list[tuple[bytes, float]]:
+    """Every (entry, log odds) with support and odds: ``=word`` or ``^beginning``, best first.
 
     ``sample`` is a bounded table (text, label), so what is counted is bounded too.
     """
@@ -104,7 +135,6 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES) -> list[tuple[bytes
         .withColumn("odds", odds)
         .filter(F.col("odds") >= LEAST_ODDS)
         .orderBy((F.col("odds") * F.col("a")).desc(), "entry")
-        .limit(entries)
     )
     return [(bytes(r["entry"]), float(r["odds"])) for r in best.select("entry", "odds").collect()]
 

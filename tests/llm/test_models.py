@@ -152,3 +152,27 @@ def test_quotation_is_kept_apart():
     assert x[1, 0] == 0 and x[1, 1] > 0
     assert x[2, 2] > 0 and x[2, 0] == 0
     assert not x[3, :6].any()
+
+
+def test_every_term_with_support_is_in_the_lexicon(spark):
+    terms = [f"{a}{b}{c}zug" for a in "abcdefg" for b in "hijklmn" for c in "opqrstu"][:300]
+    rows = [(" ".join(terms), 1)] * 10 + [("fine words only", 0)] * 100
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert {b"=" + t.encode() for t in terms} <= {e for e, _ in lexicon}
+
+
+def test_marks_beyond_ascii_separate_words():
+    import numpy as np
+
+    automaton = toxicity.LexiconAutomaton([(b"=idiot", 3.0), ("=crétin".encode("latin-1"), 3.0)])
+    quoted = ["the word\u2014 “idiot” was used", "un «crétin» ici", "a 「idiot」 x"]
+    plain = ["so —idiot today", "it’s…idiot!", "был idiot был", "Żaba idiot Żaba", "an idiot😀", "IDIOT\u00a0x", "quel CRÉTIN"]
+    none = ["", "idiotł idiotжж", "\u200d é"]
+    texts = [t.replace("word", "term") for t in quoted] + plain + none
+    raw = [t.encode() for t in texts]
+    x = toxicity.features(automaton, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    for text, row in zip(texts, x):
+        kind = "quoted" if text in texts[: len(quoted)] else "plain" if text in plain else "none"
+        assert (row[0] > 0, row[1] > 0) == (kind == "plain", kind == "quoted"), text
+    assert len(toxicity.latin(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]) == 0
+    assert [int(b) for b in toxicity.latin(np.frombuffer(b"\xc3\xe2\x80", np.uint8), np.array([0, 1, 3]))[1]] == [0, 1, 3]
