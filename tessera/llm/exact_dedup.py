@@ -122,6 +122,30 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return found
 
 
+def batched_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``exact_duplicates``, with ``docs`` added in two batches, larger ids first.
+
+    The second batch, of the ids up to about the median and the null ones, meets a filled
+    index. The index keeps the first document of a text, which is then the one with the
+    largest id; ``group_size`` is summed over both batches. Ids are numbers.
+    """
+    rows = only(docs, "doc_id", "text")
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    later = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(True))
+    index = scratch_index(docs.sparkSession)
+    parts = [staged(index.add(rows.filter(part)), "exact") for part in (~later, later)]
+    docs.sparkSession.sql(f"DROP TABLE {index.table}")
+    found = parts[0].unionByName(parts[1]).drop("group_size")
+    sizes = [p.groupBy("text_sha256").agg(F.max("group_size").alias("group_size")) for p in parts]
+    groups = staged(sizes[0].unionByName(sizes[1]).groupBy("text_sha256").agg(F.sum("group_size").alias("group_size")), "sizes")
+    is_hot = F.col("group_size") * HOT_SHARE >= F.lit(found.count())
+    hot = groups.filter(is_hot).withColumnRenamed("group_size", "hot_size")
+    asked = found.join(F.broadcast(hot), "text_sha256", "left")
+    common = asked.filter("hot_size is not null").withColumnRenamed("hot_size", "group_size")
+    rest = asked.filter("hot_size is null").drop("hot_size").join(groups.filter(~is_hot).hint("merge"), "text_sha256")
+    return common.unionByName(rest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of repeated rows one.
 

@@ -135,7 +135,7 @@ FROM (SELECT doc_id, sha256({FOLDED_SQL}) AS h FROM documents)
 
 @query("op8_exact_dedup", EXACT_SQL)
 def op8(spark, folder):
-    return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
+    return exact_dedup.batched_duplicates(table(spark, folder, "documents"))
 
 
 #: Fixed values of the contract: host, path, verdict.

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, exact_dedup, packing, simhash, url_filter
-from tessera.llm.queries import RULES, tokenizer_path
+from tessera.llm.queries import QUERIES, RULES, tokenizer_path
 
 ODD = [(None, "a b c d"), (7, None), (8, ""), (9, "  \t\n"), (10, "one"), (11, "Same Text"), (11, "Same Text"), (12, "same text"), (13, "SAME TEXT"), (14, "É x"), (15, "é x"), (16, "w " * 30_000)]
 
@@ -55,6 +55,23 @@ def test_exact_index_over_two_batches(spark, documents):
     assert index.add(documents([])).count() == 0
 
 
+def test_exact_query_meets_a_filled_index(spark, documents, monkeypatch):
+    add, held = exact_dedup.DigestIndex.add, []
+
+    def counted(self, batch):
+        held.append(self.rows().count() if self.spark.catalog.tableExists(self.table) else 0)
+        return add(self, batch)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", counted)
+    folder = "/root/testdata/sf0.001"
+    got = sorted(map(str, QUERIES["op8_exact_dedup"](spark, folder).collect()))
+    assert len(held) > 1 and held[-1] > 0
+    assert got == sorted(map(str, exact_dedup.exact_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).collect()))
+    for rows in (ODD + [(1, "same text"), (None, "same text"), (20, "")], [(None, "x"), (None, "x")], []):
+        want = sorted(map(str, exact_dedup.exact_duplicates(documents(rows)).collect()))
+        assert sorted(map(str, exact_dedup.batched_duplicates(documents(rows)).collect())) == want
+
+
 def test_exact_drop(documents):
     left = exact_dedup.drop_duplicates(documents(ODD + [(20, "a"), (20, "a")]))
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["None", "8", "9", "10", "13", "14", "15", "16", "20"])
