@@ -102,12 +102,19 @@ EXTRA_ANCHORS = (
 SQL_EXTRA = EXTRA_ANCHORS.replace("'", "''")
 
 
+# The check takes an anchor apart into attribute names and values and picks the first href.
+SQL_ATTRIBUTE = r"""regexp_extract_all(tag, '(?i)\s([^\s"''>=/]+)\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', {part})"""
+
+
 def sql_links() -> str:
     """Resolved links by page, with the kind of each."""
     return f"""
 src AS (SELECT page_id, url, html || '{SQL_EXTRA}' AS html FROM pages),
-raw AS (SELECT page_id, url, unnest(regexp_extract_all({sql_clean('html', "' '")},
-   '(?is)<a(?:\\s+[a-z-]+(?:=(?:"[^"]*"|''[^'']*''|[^\\s"''>]+))?)*?\\s+href=("[^"]*"|''[^'']*''|[^\\s>]+)', 1)) AS h FROM src),
+tags AS (SELECT page_id, url, unnest(regexp_extract_all({sql_clean('html', "' '")},
+   '(?i)<a\\s(?:"[^"]*"|''[^'']*''|[^>"''])*>')) AS tag FROM src),
+attrs AS (SELECT page_id, url, tag, {SQL_ATTRIBUTE.format(part=1)} AS names, {SQL_ATTRIBUTE.format(part=2)} AS texts FROM tags),
+raw AS (SELECT page_id, url, texts[list_position(list_transform(names, lambda x: lower(x)), 'href')] AS h FROM attrs
+   WHERE list_contains(list_transform(names, lambda x: lower(x)), 'href')),
 hr AS (SELECT DISTINCT page_id, url, regexp_replace(trim(replace(regexp_replace(regexp_replace(h, '^["'']', ''), '["'']$', ''), '&amp;', '&')), ',+$', '') AS h FROM raw),
 parts AS (SELECT *, regexp_extract(url, '^([a-z]+)://', 1) AS sch, {SQL_NETLOC} AS host,
     {sql_path('url')} AS bpath FROM hr WHERE NOT starts_with(h, '#') AND NOT starts_with(lower(h), 'javascript:')),

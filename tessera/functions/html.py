@@ -14,14 +14,17 @@ DROPPED_ELEMENTS = (
     "script", "style", "noscript", "iframe", "svg", "path", "defs", "symbol", "use",
 )
 
-#: A comment, and a tag in which a quoted attribute value may hold ``>``.
-COMMENT = r"(?s)<!--.*?-->"
-TAG = r"(?s)<[/!?a-zA-Z](?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*?>"
+# Pages may hold tags of any length, so no pattern backtracks into a repeated group: every
+# repetition of one is possessive, which Java runs as a loop and not as a recursion.
+#: A comment, and a tag in which a quoted attribute value may hold ``>``. What is never
+#: closed runs to the end of the page.
+COMMENT = r"(?s)<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+TAG = r"<[/!?a-zA-Z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+(?:>|\z)"
 #: An anchor up to its first ``href``: whole attributes, so that neither a name that ends
 #: in href nor text inside a quoted value is taken for one.
 HREF = (
-    r"(?is)<a(?:\s+[^\s\"'>=/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*?"
-    r"\s+href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
+    r"(?i)<a(?:\s++(?!href\s*+=)[^\s\"'>=/<]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'><]++))?+)*+"
+    r"\s++href\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)"
 )
 
 # All entity names of HTML, and those that are also known without a semicolon.
@@ -78,9 +81,14 @@ def decode_entities(c: Column, attribute: bool = False) -> Column:
 
 
 def drop_elements(html: Column, names: tuple[str, ...] = DROPPED_ELEMENTS) -> Column:
-    """Remove elements with their content, in one pass for all names."""
+    """Remove elements with their content, in one pass for all names.
+
+    A script or style that is never closed takes the rest of the page, as in a browser.
+    """
     either = "|".join(names)
-    return F.regexp_replace(html, rf"(?is)<({either})(?:\s[^>]*)?>.*?</\1\s*>", "\n")
+    return F.regexp_replace(
+        html, rf"(?is)<({either})(?:\s[^>]*+)?+>.*?</\1\s*+>|<(?:script|style)(?:\s[^>]*+)?+>.*+", "\n"
+    )
 
 
 def html_text(html: Column) -> Column:

@@ -26,6 +26,9 @@ TEMPLATE_REPEATS = 5
 TEMPLATE_WORDS = 3
 SECTIONS = ["identity", "contact", "offerings", "reputation"]
 
+#: An address starts where its run of characters starts, so a long word is read once.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+
 
 def extract_facts(chunks: DataFrame) -> DataFrame:
     """Facts found by rule in each chunk, one row each.
@@ -57,7 +60,7 @@ def extract_facts(chunks: DataFrame) -> DataFrame:
 
     values = F.concat(
         whole_line("identity", ["cnpj", "ltda", "eireli", "fundada", "desde"]),
-        found("contact", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+        found("contact", MAIL),
         found("contact", r"\d{8,}"),
         found("contact", r"https?://[^\s<>\"']+"),
         found("offerings", r"\b[A-Z]{1,5}-?\d{2,}[A-Z0-9]*\b"),

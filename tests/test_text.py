@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import values
 from tessera.functions import html as H, text as T, tokens as K
 from tessera.operators import lines as L
+from tessera.operators.facts import MAIL
 
 ODD = "ab é\n\r\t\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0     　 xyz"
 
@@ -202,3 +203,32 @@ def test_html_text_cases(spark):
 def test_lines_with_ends_give_the_text_back(spark):
     texts = samples(seed=11)
     assert values(spark, texts, lambda c: F.array_join(T.lines_with_ends(c), "")) == texts
+
+
+def test_pages_with_endless_tags(spark):
+    """Tags, attributes, comments and quotes of any length cost neither stack nor quadratic time."""
+    size = 1_000_000
+    head, link = "<p>head</p><a href='/first'>x</a>", ["/first"]
+    many = "".join(f" a{i}=v{i}" for i in range(5000))
+    cases = [
+        (head + "a <b " + "y " * (size // 2), "head\nx\na", link),
+        (head + f"<b{many}>in</b><a{many} href='/last'>z</a>", "head\nx\nin\nz", link + ["/last"]),
+        (head + "t<!-- " + "c - -- > " * (size // 9), "head\nx\nt", link),
+        (head + "<!-" + "- " * (size // 2) + "--><p>end", "head\nx\nend", link),
+        (head + "<p title='" + ">" * size + "'>end", "head\nx\nend", link),
+        (head + "<b x=" * (size // 5), "head\nx", link),
+        (head + "<a " * (size // 3), "head\nx", link),
+        (head + "<a b=\"" + "=\"=" * (size // 3) + "\"", "head\nx", link),
+        (head + "u<script>" + "<script>x " * (size // 10), "head\nx\nu", link),
+        (head + "<!--" * (size // 4), "head\nx", link),
+    ]
+    pages = [c[0] for c in cases]
+    assert values(spark, pages, H.html_text) == [c[1] for c in cases]
+    assert values(spark, pages, H.hrefs) == [c[2] for c in cases]
+    assert values(spark, pages, lambda c: H.visible_length(c) > 0) == [True] * len(cases)
+
+
+def test_mail_addresses_in_endless_words(spark):
+    texts = ["x" * 1_000_000, "a@b" + ".c" * 100_000, "a" * 500_000 + "@" + "b" * 500_000]
+    found = values(spark, texts, lambda c: F.size(F.regexp_extract_all(c, F.lit(MAIL), F.lit(0))))
+    assert found == [0, 1, 0]
