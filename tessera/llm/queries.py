@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, exact_dedup, language, language_model, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from tessera.llm import decontaminate, exact_dedup, fill_in_middle, language, language_model, line_rules, packing, quality, simhash
+from tessera.llm import substring_dedup, toxicity, url_filter, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,3 +177,85 @@ def op9(spark, folder):
 @query("op10_quality_classifier")
 def op10(spark, folder):
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+_PHRASES = "|".join(line_rules.PHRASES)
+_SEPARATORS = ", ".join(f"'{x}'" for x in line_rules.SEPARATORS)
+QUALITY_RULES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), rep AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win JOIN rep USING (doc_id, g)) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, pos, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d)
+), counted AS (
+  SELECT doc_id, pos, line, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
+         len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS symbols,
+         len(list_filter(w, lambda x: regexp_matches(x, '(!!|[?][?])$'))) AS shouted,
+         len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2 AND NOT regexp_matches(x, '[a-z]'))) AS capitals,
+         len(list_filter(w, lambda x: x IN ({_SEPARATORS}))) AS separators,
+         regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_PHRASES}') AS phrase
+  FROM lines WHERE len(w) > 0
+), judged AS (
+  SELECT *, again OR phrase OR 100 * symbols > 20 * n OR 100 * shouted > 20 * n OR (100 * capitals > 60 * n AND n >= 4)
+            OR (100 * separators > 15 * n AND separators >= 2) AS fails FROM counted
+), summed AS (
+  SELECT doc_id, count(*) FILTER (again) AS n_dup, count(*) FILTER (fails) AS n_removed, coalesce(sum(n) FILTER (fails), 0) AS lost,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT fails), '') AS cleaned
+  FROM judged GROUP BY doc_id
+), base AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+         coalesce(n_repeat, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_lines_removed, CAST(coalesce(lost, 0) AS BIGINT) AS n_words_removed,
+         sha256(coalesce(cleaned, '')) AS cleaned_sha256
+  FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN summed USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_removed <= 50 * n_words AS kept
+FROM base
+"""
+
+
+@query("op12_quality_rules", QUALITY_RULES_SQL)
+def op12(spark, folder):
+    found = line_rules.clean_lines(table(spark, folder, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "n_words_removed"]
+    return found.select("doc_id", *counts, F.sha2(F.col("cleaned").cast("binary"), 256).alias("cleaned_sha256"))
+
+
+MIDDLE_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), draws AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d
+), cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws
+), parts AS (
+  SELECT *, coalesce(array_to_string(u[1:x], ''), '') AS p, coalesce(array_to_string(u[x + 1:y], ''), '') AS m,
+         coalesce(array_to_string(u[y + 1:], ''), '') AS s FROM cuts
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", MIDDLE_SQL)
+def op13(spark, folder):
+    found = fill_in_middle.restored(fill_in_middle.fill_in_middle(table(spark, folder, "documents")))
+    digest = lambda name: F.sha2(F.col(name).cast("binary"), 256).alias(f"{name}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
