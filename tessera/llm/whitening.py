@@ -73,7 +73,7 @@ def _totals(vectors: DataFrame) -> DataFrame:
         rows: dict[int, int] = {}
         sums: dict[int, list] = {}
         for batch in batches:
-            for d, (_, x) in whole_numbers(batch.column(0), None).items():
+            for d, (_, x) in whole_numbers(batch.column(1), None).items():
                 rows[d] = rows.get(d, 0) + len(x)
                 # Python's integers, so that no sum is ever too large.
                 sums[d] = [a + b for a, b in zip(sums.get(d, [0] * d), x.sum(axis=0).tolist())]
@@ -155,7 +155,7 @@ def _filled(plan: Plan, vectors: bool):
         if size:
             yield from block()
         if seen != plan.counts.get(task, 0):
-            raise RuntimeError(f"task {task} read {seen} vectors, {plan.counts.get(task, 0)} when they were counted: the input changed")
+            raise RuntimeError(f"task {task} read {seen} vectors, {plan.counts.get(task, 0)} when counted: pass copy=True")
 
     return run
 
@@ -278,7 +278,7 @@ def identity_error(projected: DataFrame, k: int) -> float:
     return float(np.abs(cov - np.eye(k)).max())
 
 
-def whiten(vectors: DataFrame, name: str = "vec_id", column: str = "embedding", most: int = COMPONENTS) -> DataFrame:
+def whiten(vectors: DataFrame, name: str = "vec_id", column: str = "embedding", most: int = COMPONENTS, copy: bool = False) -> DataFrame:
     """Per usable vector and component: id, component, n, deviation, whitened, explained, identity_error.
 
     Left out are null and empty vectors, vectors with null, NaN, infinite or huge entries
@@ -287,7 +287,10 @@ def whiten(vectors: DataFrame, name: str = "vec_id", column: str = "embedding",
     vectors than dimensions, have a null ``whitened`` and do not count for identity_error,
     which is null if no component has variance. deviation is null where no long holds it.
     Repeated rows are rows of their own, null ids stay; no vectors give no rows. Only the
-    id and the vector are read; the id's column is called vec_id in the result. The driver
+    id and the vector are read; the id's column is called vec_id in the result. The table is
+    read several times and must give every task the same rows each time, as files do; a
+    task that finds another number of them ends with an error. ``copy`` writes the two
+    columns first, for inputs that are computed in no fixed order. The driver
     holds the scatter matrix (dimensions squared, at most 4,096 of them), a number for each
     task and one for each block of 8 MB.
     """
@@ -296,7 +299,9 @@ def whiten(vectors: DataFrame, name: str = "vec_id", column: str = "embedding",
     spark = vectors.sparkSession
     rows = only(vectors, name, column)
     rows = rows.select(F.col(name).alias("vec_id"), F.col(column).cast("array<double>").alias("embedding"))
-    plan = measure(rows.select("embedding"))
+    if copy:
+        rows = staged(rows, "vectors")
+    plan = measure(rows)
     if plan is None:
         return spark.createDataFrame([], f"vec_id {kind}, {schema}")
     centred = block_matrix(rows, plan)
