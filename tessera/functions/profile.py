@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, functions as F
 
 from tessera import schemas as S
@@ -64,6 +66,72 @@ def join_texts(*texts: str) -> str:
     return max(given, key=len, default="")
 
 
+class JoinedText:
+    """``join_texts`` over one text after the other, at the cost of the new text only.
+
+    Kept are the text, its lower-cased form as bytes that can be searched and added to, and
+    how often each of its words occurs. A text of three words or more can only lie inside the
+    held one if all words between its first and last are words of it, so most are never
+    searched for.
+    """
+
+    def __init__(self, text: str = ""):
+        self._hold(text)
+
+    def _hold(self, text: str) -> None:
+        low = text.strip().lower()
+        self.parts, self.size = [text], len(text)
+        self.low, self.low_size = bytearray(low.encode()), len(low)
+        words = low.split()
+        self.words = Counter(words)
+        self.last = words[-1] if words else ""
+
+    @property
+    def text(self) -> str:
+        if len(self.parts) > 1:
+            self.parts = ["".join(self.parts)]
+        return self.parts[0]
+
+    def _overlap(self, low: str, words: list[str]) -> float:
+        if len(low) < self.low_size:
+            known = all(w in self.words for w in words[1:-1])
+            if known and low.encode() in self.low:
+                return 1.0
+        elif self.low.decode() in low:
+            return 1.0
+        distinct = set(words)
+        return sum(w in self.words for w in distinct) / max(len(distinct), len(self.words))
+
+    def add(self, text: str) -> "JoinedText":
+        if not text:
+            return self
+        if not self.size:
+            self._hold(text)
+            return self
+        low = text.strip().lower()
+        words = low.split()
+        if self._overlap(low, words) < SIMILAR_FROM:
+            self._append(text.strip(), low, words)
+        elif len(text) > self.size:
+            self._hold(text)
+        return self
+
+    def _append(self, text: str, low: str, words: list[str]) -> None:
+        if len(self.parts) == 1:
+            self.parts = [self.parts[0].strip()]
+            self.size = len(self.parts[0])
+        self.parts.append(". " + text)
+        self.size += 2 + len(text)
+        self.low += b". " + low.encode()
+        self.low_size += 2 + len(low)
+        # The last word so far ends in a dot now.
+        self.words[self.last] -= 1
+        if not self.words[self.last]:
+            del self.words[self.last]
+        self.words.update([self.last + ".", *words])
+        self.last = words[-1]
+
+
 def _texts(section: str, names: list[str]) -> list[str]:
     return [f"{section}.{n}" for n in names]
 

@@ -12,6 +12,9 @@ when one key holds a third of a large table. Here rows are range-partitioned by
   until the states agree. Then all rows are labelled in one pass. The result
   equals one sequential pass per key.
 
+* ``ordered_fold``: one value per key. Values of keys that span partitions pass from
+  stretch to stretch as rows of written tables.
+
 The sorted rows are checkpointed: range bounds come from a sample, and a lost
 executor must not lead to other bounds halfway through.
 """
@@ -25,8 +28,9 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
-from tessera.session import input_width, pinned
+from tessera.session import input_width, pinned, scratch_folder, staged
 
 PART = "_part"
 
@@ -248,50 +252,133 @@ def ordered_scan(
     return ordered.mapInPandas(run, f"{schema}, {outputs}")
 
 
+def _same(value):
+    return value
+
+
+def _segments(bounds: dict) -> list[tuple]:
+    """Stretches of the keys that span partitions: (key, place in its chain, partition, is the last)."""
+    out: list[tuple] = []
+    parts = sorted(bounds)
+    for before, part in zip(parts, parts[1:]):
+        first, last = bounds[part]
+        if bounds[before][1] != first:
+            continue
+        if not out or out[-1][2] != before or out[-1][3]:
+            out.append((first, 0, before, False))
+        out.append((first, out[-1][1] + 1, part, first != last))
+    # A chain also ends where the next partition starts with another key.
+    return [
+        (key, at, part, last or i + 1 == len(out) or out[i + 1][1] == 0) for i, (key, at, part, last) in enumerate(out)
+    ]
+
+
 def ordered_fold(
     ordered: DataFrame,
     keys: Sequence[str],
+    order: Sequence[str],
     inputs: Sequence[str],
     step: Callable[..., Any],
     start: Any,
     output: str,
+    enter: Callable[[Any], Any] = _same,
+    leave: Callable[[Any], Any] = _same,
 ) -> DataFrame:
-    """The state each key ends in: one row per key.
-
-    ``step(state, *inputs) -> state``. ``output`` names and types the state.
+    """The value each key's fold ends in: one row per key.
+
+    ``step(state, *inputs) -> state`` runs over the rows of a key in order, from
+    ``enter(start)``; ``leave(state)`` is the value, and ``output`` names and types it.
+    A key inside one partition is folded there. A key that spans partitions is a chain of
+    stretches: the first ones of all keys are folded at once, then the second ones from
+    the values of the first, and so on. Values pass from one step to the next as rows of a
+    written table, next to the rows of the stretch that needs them, never through the
+    driver. Each stretch is read once, so the work is linear whatever the machine does;
+    the number of steps is the number of partitions of the longest key.
     """
-    keys, inputs = list(keys), list(inputs)
-
-    def with_output(state, *values):
-        state = step(state, *values)
-        return state, (state,)
-
-    bounds, arrivals = settled(ordered, keys, inputs, with_output, start)
-    parts = sorted(bounds)
-    # Keys that go on in the next partition are reported there.
-    goes_on = {a for a, b in zip(parts, parts[1:]) if bounds[a][1] == bounds[b][0]}
+    keys, order, inputs = list(keys), list(order), list(inputs)
+    spark = ordered.sparkSession
+    bounds = _key_bounds(ordered, keys)
+    chains = _segments(bounds)
+    comes_in = {part for _, at, part, _ in chains if at > 0}
+    goes_on = {part for _, _, part, last in chains if not last}
     name = output.split(" ")[0]
+    types = ", ".join(f"`{k}` {ordered.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(batches):
-        held: tuple | None = None
-        part = None
-        for pdf, rows in _walk(
-            batches, keys, inputs, with_output, start, arrivals, lambda p, o: (p, o)
-        ):
+    def frame(done):
+        columns = {k: [d[0][i] for d in done] for i, k in enumerate(keys)}
+        return pd.DataFrame({**columns, name: [leave(d[1]) for d in done]})
+
+    def inside(batches):
+        """Keys that begin and end in the partition."""
+        held, part, first = None, None, True
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            done = []
             part = int(pdf[PART].iloc[0])
-            done: list[tuple] = []
-            for row_key, (state,) in zip(zip(*[_values(pdf[k]) for k in keys]), rows):
-                if held is not None and held[0] != row_key:
-                    done.append(held)
-                held = (row_key, state)
+            for row_key, values in zip(zip(*[_values(pdf[k]) for k in keys]), zip(*[_values(pdf[c]) for c in inputs])):
+                if held is None or held[0] != row_key:
+                    if held is not None:
+                        if not (first and part in comes_in):
+                            done.append(held)
+                        first = False
+                    held = (row_key, enter(start))
+                if first and part in comes_in:
+                    continue
+                held = (row_key, step(held[1], *values))
             if done:
-                yield _frame(done)
-        if held is not None and part not in goes_on:
-            yield _frame([held])
+                yield frame(done)
+        if held is not None and part not in goes_on and not (first and part in comes_in):
+            yield frame([held])
 
-    def _frame(done):
-        columns = {k: [d[0][i] for d in done] for i, k in enumerate(keys)}
-        return pd.DataFrame({**columns, name: [d[1] for d in done]})
+    whole = ordered.mapInPandas(inside, f"{types}, {output}")
+    if not chains:
+        return whole
 
-    schema = ", ".join(f"`{k}` {ordered.schema[k].dataType.simpleString()}" for k in keys)
-    return ordered.mapInPandas(run, f"{schema}, {output}")
+    places = spark.createDataFrame(
+        [(*key, at, part, last) for key, at, part, last in chains],
+        f"{types}, _at int, {PART} int, _ends boolean",
+    )
+    folder = scratch_folder(spark, "stretches")
+    spanning = _join_stretches(ordered, places, keys)
+    spanning.select(*dict.fromkeys([*keys, *order, *inputs]), "_at", "_ends").write.partitionBy("_at").parquet(folder)
+
+    def stretch(batches):
+        """Stretches of one step, each after the value that it starts from."""
+        held, ends = None, None
+        for pdf in batches:
+            done = []
+            rows = zip(*[_values(pdf[k]) for k in keys])
+            values = zip(*[_values(pdf[c]) for c in inputs])
+            for row_key, taken, is_value, value, last in zip(rows, values, pdf["_is_value"].tolist(), pdf["_value"].tolist(), pdf["_ends"].tolist()):
+                if held is None or held[0] != row_key:
+                    if held is not None:
+                        done.append((*held, ends))
+                    held = (row_key, enter(value if is_value else start))
+                if not is_value:
+                    held, ends = (row_key, step(held[1], *taken)), last
+            if done:
+                yield frame(done).assign(_ends=[d[2] for d in done])
+        if held is not None:
+            yield frame([held]).assign(_ends=[ends])
+
+    value_type = output.split(" ", 1)[1]
+    found, carried = [whole], None
+    for at in range(1 + max(at for _, at, _, _ in chains)):
+        rows = spark.read.parquet(f"{folder}/_at={at}").withColumns({"_is_value": F.lit(False), "_value": F.lit(start).cast(value_type)})
+        if carried is not None:
+            rows = rows.unionByName(carried, allowMissingColumns=True)
+        rows = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("_is_value"), *order)
+        folded = staged(rows.mapInPandas(stretch, f"{types}, {output}, _ends boolean"), f"folded-{at}")
+        found.append(folded.where("_ends").drop("_ends"))
+        # Numbers stay whole numbers in pandas only where none is missing.
+        unused = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in inputs if isinstance(rows.schema[c].dataType, NumericType)]
+        carried = folded.where("not _ends").select(
+            *keys, *unused, F.lit(True).alias("_is_value"), F.col(name).alias("_value"), F.lit(False).alias("_ends")
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
+def _join_stretches(ordered: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of spanning keys with their place in the chain; the other side has two rows a partition at most."""
+    return _join_same(ordered, F.broadcast(places), [PART, *keys], "inner")

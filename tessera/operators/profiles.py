@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera import schemas as S
 from tessera.functions import profile as P
@@ -155,27 +156,43 @@ def joined_texts(ranked: DataFrame) -> DataFrame:
     rows = own.unionByName(services).select(
         "cnpj_basico", "x.field", "x.item", "turn.later", "turn.ord", "pos", "x.value"
     ).where(F.col("value") != "")
-    keys = ["cnpj_basico", "field", "item"]
-    ordered = range_sorted(rows, keys, ["later", "ord", "pos"])
-    return ordered_fold(ordered, keys, ["value"], P.join_texts, "", "value string")
+    keys, order = ["cnpj_basico", "field", "item"], ["later", "ord", "pos"]
+    return ordered_fold(
+        range_sorted(rows, keys, order), keys, order, ["value"], P.JoinedText.add, "", "value string",
+        enter=P.JoinedText, leave=lambda joined: joined.text,
+    )
+
+
+def _place(pos: Column, at: Column) -> Column:
+    """One number that sorts like (later, ord, pos, at): 64 bits of ord, 31 each of the others.
+
+    The smallest struct of a group needs a sort of all rows; the smallest number is kept in
+    a hash table, so repeats go before the shuffle.
+    """
+    whole = lambda n: F.lit(Decimal(n))
+    number = (F.col("turn.ord").cast("decimal(20,0)") + whole(2**63)) * whole(2**62) + (pos.cast("long") * 2**31 + at)
+    return F.when(F.col("turn.later"), number).otherwise(number - whole(2**126))
+
+
+def _own_values(items: Column) -> Column:
+    """Trimmed values of one list, each once."""
+    return F.array_distinct(F.transform(items, strip))
 
 
 def _first_seen(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All distinct trimmed values per key in first-seen order.
+    """All distinct values per key in first-seen order.
 
-    ``rows`` holds (*keys, value, place). Grouping by value spreads a large key.
+    ``rows`` holds (*keys, value, place), place a number. Grouping by value spreads a large
+    key; only its distinct values, which its list holds anyway, meet in one row.
     """
     distinct = (
-        rows.withColumn("value", strip(F.col("value")))
-        .where(F.col("value") != "")
+        rows.where(F.col("value") != "")
         .groupBy(*keys, "value")
         .agg(F.min("place").alias("place"))
     )
-    top = Window.partitionBy(*keys).orderBy("place")
     return (
-        distinct.withColumn("rn", F.row_number().over(top))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "value"))).alias("vs"))
+        distinct.groupBy(*keys)
+        .agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("vs"))
         .select(*keys, F.transform("vs", lambda v: v["value"]).alias("items"))
     )
 
@@ -190,8 +207,8 @@ def merge_lists(ranked: DataFrame) -> DataFrame:
     )
     rows = (
         ranked.select("cnpj_basico", "turn", F.explode(entries).alias("e"))
-        .select("cnpj_basico", "turn", "e.field", F.posexplode("e.items").alias("pos", "value"))
-        .withColumn("place", F.struct("turn", "pos"))
+        .select("cnpj_basico", "turn", "e.field", F.posexplode(_own_values(F.col("e.items"))).alias("pos", "value"))
+        .withColumn("place", _place(F.lit(0), F.col("pos")))
     )
     return _first_seen(rows, ["cnpj_basico", "field"])
 
@@ -205,11 +222,9 @@ def merge_sources(ranked: DataFrame) -> DataFrame:
 
 
 def _collect_by_place(rows: DataFrame, record: Column, name: str) -> DataFrame:
-    top = Window.partitionBy("cnpj_basico").orderBy("place")
     return (
-        rows.withColumn("rn", F.row_number().over(top))
-        .groupBy("cnpj_basico")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", record.alias("r")))).alias("rs"))
+        rows.groupBy("cnpj_basico")
+        .agg(F.sort_array(F.collect_list(F.struct("place", record.alias("r")))).alias("rs"))
         .select("cnpj_basico", F.transform("rs", lambda x: x["r"]).alias(name))
     )
 
@@ -218,14 +233,14 @@ def merge_categories(ranked: DataFrame) -> DataFrame:
     """Product categories by name with the union of their items; generic names go."""
     rows = ranked.select(
         "cnpj_basico", "turn", F.posexplode("profile.offerings.product_categories").alias("pos", "c")
-    ).select("cnpj_basico", F.struct("turn", "pos").alias("place"), "c.category_name", "c.items")
+    ).select("cnpj_basico", "turn", "pos", "c.category_name", "c.items")
     named = rows.where(
         (F.col("category_name") != "") & ~F.lower(strip(F.col("category_name"))).isin(GENERIC_CATEGORIES)
     )
     keys = ["cnpj_basico", "category_name"]
-    firsts = named.groupBy(*keys).agg(F.min("place").alias("place"))
-    items = named.select(*keys, "place", F.posexplode("items").alias("at", "value")).withColumn(
-        "place", F.struct("place", "at")
+    firsts = named.groupBy(*keys).agg(F.min(_place(F.col("pos"), F.lit(0))).alias("place"))
+    items = named.select(*keys, "turn", "pos", F.posexplode(_own_values(F.col("items"))).alias("at", "value")).withColumn(
+        "place", _place(F.col("pos"), F.col("at"))
     )
     merged = firsts.join(_first_seen(items, keys), keys, "left").withColumn(
         "items", F.coalesce("items", _no_items())
@@ -246,8 +261,8 @@ def merge_services(ranked: DataFrame, texts: DataFrame) -> DataFrame:
         F.min("place").alias("place"),
         _longest(F.col("ideal_client_profile"), F.col("place")).alias("ideal_client_profile"),
     )
-    items = rows.select(*keys, "place", F.posexplode("deliverables").alias("at", "value")).withColumn(
-        "place", F.struct("place", "at")
+    items = rows.select(*keys, "place.*", F.posexplode(_own_values(F.col("deliverables"))).alias("at", "value")).withColumn(
+        "place", _place(F.col("pos"), F.col("at"))
     )
     delivered = _first_seen(items, keys).withColumnRenamed(
         "items", "deliverables"
@@ -298,12 +313,10 @@ def merge_profiles(partials: DataFrame) -> DataFrame:
     lists = merge_lists(several).groupBy("cnpj_basico").agg(
         *[F.max(F.when(F.col("field") == p, F.col("items"))).alias(p.replace(".", "__")) for p in UNION_FIELDS]
     )
-    top = Window.partitionBy("cnpj_basico").orderBy("place")
     sources = (
         merge_sources(several)
-        .withColumn("rn", F.row_number().over(top))
         .groupBy("cnpj_basico")
-        .agg(F.sort_array(F.collect_list(F.struct("rn", "source"))).alias("ss"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("ss"))
         .select("cnpj_basico", F.transform("ss", lambda s: s["source"]).alias("sources"))
     )
     parts = [

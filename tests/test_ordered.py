@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C, monitoring as M
-from tessera.operators.ordered import PART, ordered_fold, ordered_scan, range_sorted, running_totals
+from tessera.operators.ordered import PART, _segments, ordered_fold, ordered_scan, range_sorted, running_totals
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -76,7 +76,7 @@ def test_scan_that_never_settles(spark):
 
 def test_fold_gives_one_row_per_key(spark):
     rows = skewed_rows()
-    out = ordered_fold(table(spark, rows), ["k"], ["v"], lambda s, v: drifting(s, v)[0], 7, "s long").collect()
+    out = ordered_fold(table(spark, rows), ["k"], ["o"], ["v"], lambda s, v: drifting(s, v)[0], 7, "s long").collect()
     groups = by_key(rows)
     assert len(out) == len(groups)
     for r in out:
@@ -194,7 +194,7 @@ def test_missing_keys_are_a_key(spark):
     assert ordered.where("k is null").select(PART).distinct().count() > 1
     totals = running_totals(ordered, ["k"], ["o"], {"n": F.lit(1)}, {"all": F.lit(1)}).collect()
     scanned = {(r.k, r.o): r.s for r in ordered_scan(ordered, ["k"], ["v"], drifting, 7, "s long").collect()}
-    folded = {r.k: r.s for r in ordered_fold(ordered, ["k"], ["v"], lambda s, v: drifting(s, v)[0], 7, "s long").collect()}
+    folded = {r.k: r.s for r in ordered_fold(ordered, ["k"], ["o"], ["v"], lambda s, v: drifting(s, v)[0], 7, "s long").collect()}
     counted = {(r.k, r.o): (r.n, r["all"]) for r in totals}
     for key, group in by_key(rows).items():
         state = 7
@@ -207,7 +207,7 @@ def test_missing_keys_are_a_key(spark):
 def test_nothing_in_nothing_out(spark):
     ordered = range_sorted(spark.createDataFrame([], "k string, o long, v long"), ["k"], ["o"])
     assert ordered_scan(ordered, ["k"], ["v"], drifting, 7, "s long").count() == 0
-    assert ordered_fold(ordered, ["k"], ["v"], lambda s, v: s, 7, "s long").count() == 0
+    assert ordered_fold(ordered, ["k"], ["o"], ["v"], lambda s, v: s, 7, "s long").count() == 0
     assert running_totals(ordered, ["k"], ["o"], {"n": F.lit(1)}).count() == 0
 
 
@@ -231,3 +231,24 @@ def test_moving_mean_over_tiny_stretches(spark):
             recent.append(latency)
             window = recent[-n:]
             assert abs(got[call] - sum(window) / len(window)) < 1e-9
+
+
+def test_stretches_of_spanning_keys():
+    bounds = {0: ("a", "b"), 1: ("b", "b"), 3: ("b", "c"), 4: ("c", "c"), 5: ("d", "e"), 6: ("e", "e")}
+    assert _segments({p: ((a,), (b,)) for p, (a, b) in bounds.items()}) == [
+        (("b",), 0, 0, False), (("b",), 1, 1, False), (("b",), 2, 3, True),
+        (("c",), 0, 3, False), (("c",), 1, 4, True),
+        (("e",), 0, 5, False), (("e",), 1, 6, True),
+    ]
+    assert _segments({0: (("a",), ("b",)), 1: (("c",), ("c",))}) == []
+
+
+def test_fold_over_many_tiny_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        rows = skewed_rows(n=200, seed=9)
+        out = ordered_fold(table(spark, rows), ["k"], ["o"], ["v"], lambda s, v: f"{s},{v}", "", "s string").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.k: r.s for r in out} == {k: "".join(f",{v}" for *_, v in g) for k, g in by_key(rows).items()}

@@ -1,6 +1,8 @@
 """Facts, merging, answers and decoding on worked cases."""
 
+import hashlib
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -264,3 +266,36 @@ def test_no_response(spark):
     rows = spark.createDataFrame([(None, None, None), ("x", None, 404)], "c string, e string, s int")
     got = [r[0] for r in rows.select(A.fetch_diagnosis(F.col("c"), F.col("e"), F.col("s"))).collect()]
     assert {(g.diagnosis, g.failure_type) for g in got} == {("no_response", "connection_error"), ("not_found", "empty_content")}
+
+
+def test_joined_text_equals_joining_two_at_a_time():
+    rng = random.Random(6)
+    words = ["alpha", "Beta", "gamma", "delta", "Épsilon", "ΣΑΣ", "eta", "a", "x.", "İota"]
+    for _ in range(400):
+        held, plain = V.JoinedText(), ""
+        for _ in range(rng.randrange(12)):
+            text = rng.choice(["", " ", "  "]) + " ".join(rng.choice(words) + rng.choice(["", "", str(rng.randrange(30))]) for _ in range(rng.randrange(7))) + rng.choice(["", " "])
+            if rng.random() < 0.2 and plain:
+                at = rng.randrange(len(plain))
+                text = plain[at : at + rng.randrange(1, 30)]
+            held, plain = held.add(text), V.join_texts(plain, text)
+            assert held.text == plain
+
+
+def test_one_company_of_many_texts(spark):
+    """A hundred thousand texts of one company: no text passes through the driver."""
+    n = 100_000
+    profile = F.from_json(
+        F.concat(F.lit('{"identity": {"description": "'), F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id")) for w in "abcd"]), F.lit('"}}')), S.PROFILE
+    )
+    ranked = spark.range(n, numPartitions=8).select(
+        F.lit("1").alias("cnpj_basico"), F.struct(F.lit(True).alias("later"), F.col("id").alias("ord")).alias("turn"), F.lit(n).alias("n_partials"), profile.alias("profile")
+    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    try:
+        row = P.joined_texts(ranked).where("field = 'description'").select(F.length("value").alias("n"), F.md5("value").alias("h")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    whole = ". ".join(" ".join(f"{w}{i}" for w in "abcd") for i in range(n))
+    assert (row.n, row.h) == (len(whole), hashlib.md5(whole.encode()).hexdigest())
