@@ -105,68 +105,29 @@ def last_n_latency(t: Tables):
     return moving.select("provider", "call_id", F.round("avg_latency", 4).alias("avg_latency"))
 
 
-# The machines again as recursive walks over the numbered calls of each key.
-SQL_ATTEMPTS = """
-a AS (SELECT user_id % 40 AS k, event_id AS call_id, epoch_us(ts) // 100 AS t_us, event_type NOT IN ('error', 'signup', 'click') AS ok, event_type = 'click' AS prot,
-  row_number() OVER (PARTITION BY user_id % 40 ORDER BY epoch_us(ts) // 100, event_id) AS rn FROM events)
+SQL_RATES = """
+SELECT user_id || ':' || event_type AS key, epoch_us(ts) // 30 // 3600000000 AS hour, count(*) AS requests, count(*) - 1 AS repeats, (count(*) - 1) / count(*) AS repeat_rate
+FROM events GROUP BY ALL
 """
-SQL_CIRCUIT = f"""
-WITH RECURSIVE {SQL_ATTEMPTS},
-w AS (
-  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, 'closed' AS mode, 0 AS fails, CAST(0 AS BIGINT) AS opened, 'closed' AS met FROM (SELECT DISTINCT k FROM a)
-  UNION ALL
-  SELECT k, rn, call_id,
-    CASE WHEN met = 'open' THEN 'open' WHEN met = 'half_open' AND ok THEN 'closed' WHEN met = 'half_open' AND NOT prot THEN 'open'
-      WHEN met = 'closed' AND NOT ok AND NOT prot AND fails + 1 >= 5 THEN 'open' ELSE met END,
-    CASE WHEN met <> 'closed' OR ok THEN 0 WHEN prot THEN fails ELSE fails + 1 END,
-    CASE WHEN met = 'open' THEN opened WHEN NOT ok AND NOT prot THEN t_us ELSE opened END, met
-  FROM (SELECT a.*, w.fails, w.opened, CASE WHEN w.mode = 'open' AND a.t_us - w.opened >= 60000000 THEN 'half_open' ELSE w.mode END AS met
-        FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1))
-SELECT k AS domain, call_id, met AS mode, met <> 'open' AS allowed FROM w WHERE rn > 0
-"""
-SQL_QUARANTINE = f"""
-WITH RECURSIVE {SQL_ATTEMPTS},
-w AS (
-  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, 0 AS fails, CAST(0 AS BIGINT) AS until_us, FALSE AS held FROM (SELECT DISTINCT k FROM a)
-  UNION ALL
-  SELECT a.k, a.rn, a.call_id, CASE WHEN a.ok THEN 0 ELSE w.fails + 1 END,
-    CASE WHEN a.ok THEN 0 WHEN w.fails + 1 >= 3 THEN a.t_us + 120000000 ELSE w.until_us END, a.t_us < w.until_us
-  FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1)
-SELECT k AS proxy, call_id, held AS quarantined FROM w WHERE rn > 0
-"""
-SQL_SHARED = """
-WITH RECURSIVE a AS (SELECT user_id || ':' || event_type AS k, event_id AS call_id, epoch_us(ts) // 30 AS t_us, value > 10 AS has,
-  row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 30, event_id) AS rn FROM events),
-w AS (
-  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, CAST(-1 AS BIGINT) AS made, FALSE AS is_hit, CAST(0 AS BIGINT) AS answered FROM (SELECT DISTINCT k FROM a)
-  UNION ALL
-  SELECT k, rn, call_id, CASE WHEN hit THEN made WHEN has THEN t_us ELSE -1 END, hit, CASE WHEN hit THEN made ELSE t_us END
-  FROM (SELECT a.*, w.made, w.made >= 0 AND a.t_us - w.made <= 3600000000 AS hit FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1))
-SELECT k AS key, call_id, is_hit, answered AS answered_by_us FROM w WHERE rn > 0
-"""
-
 
-@query("domain_circuit", SQL_CIRCUIT)
-def domain_circuit(t: Tables):
-    return M.domain_circuit(attempts(t.events, "domain")).select("domain", "call_id", "mode", "allowed")
 
-
-@query("quarantine", SQL_QUARANTINE)
-def quarantine(t: Tables):
-    return M.quarantine(attempts(t.events, "proxy")).select("proxy", "call_id", "quarantined")
+@query("cache_hit_rate", f"SELECT CAST(sum(repeats) AS BIGINT) AS hits, count(*) AS misses, sum(repeats) / sum(requests) AS hit_rate FROM ({SQL_RATES})")
+def cache_hit_rate(t: Tables):
+    return M.cache_hit_rate(M.repeat_request_rate(requests(t.events)))
 
 
-@query("request_coalesce", SQL_SHARED)
-def request_coalesce(t: Tables):
-    return M.request_coalesce(requests(t.events)).select("key", "call_id", "is_hit", "answered_by_us")
+# Outages as islands between gaps.
+SQL_OUTAGES = f"""
+WITH f AS (SELECT user_id % 40 AS domain, epoch_us(ts) // 100 AS t FROM events WHERE event_type IN ('error', 'signup', 'click')),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY domain ORDER BY t) > {M.OUTAGE_GAP_US} THEN 1 ELSE 0 END AS opens FROM f),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY domain ORDER BY t ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT domain, min(t) AS from_us, max(t) AS to_us, count(*) AS failures FROM i GROUP BY domain, island
+"""
 
 
-@query(
-    "cache_hit_rate",
-    f"SELECT count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, count(*) FILTER (is_hit) / count(*) AS hit_rate FROM ({SQL_SHARED})",
-)
-def cache_hit_rate(t: Tables):
-    return M.cache_hit_rate(M.request_coalesce(requests(t.events)))
+@query("outage_sessions", SQL_OUTAGES)
+def outage_sessions(t: Tables):
+    return M.outage_sessions(attempts(t.events, "domain"))
 
 
 @query(
@@ -180,11 +141,7 @@ def outage_episodes(t: Tables):
     return M.outage_episodes(attempts(t.events, "domain"), 2)
 
 
-@query(
-    "repeat_request_rate",
-    """SELECT user_id || ':' || event_type AS key, epoch_us(ts) // 30 // 3600000000 AS hour, count(*) AS requests, count(*) - 1 AS repeats, (count(*) - 1) / count(*) AS repeat_rate
-    FROM events GROUP BY ALL""",
-)
+@query("repeat_request_rate", SQL_RATES)
 def repeat_request_rate(t: Tables):
     return M.repeat_request_rate(requests(t.events))
 
@@ -268,20 +225,33 @@ def model_name(t: Tables):
 # --- streams --------------------------------------------------------------
 
 
-STREAM_FILES = 3
+#: Ranges of time, and the files each is written in; a stream takes one range a micro-batch.
+SLOTS = 5
+SLOT_FILES = 4
+
+
+def write_slots(rows, ts: str, folder: str, backwards: bool = False, only=None) -> None:
+    """``rows`` as files, one range of time after the other, each range by several tasks."""
+    low, high = rows.agg(F.min(ts), F.max(ts)).first()
+    if low is None:
+        return
+    share = (M.micros(F.col(ts)) - M.micros(F.lit(low))) / (M.micros(F.lit(high)) - M.micros(F.lit(low)) + 1)
+    slot = F.floor(share * SLOTS)
+    for i in only or (reversed(range(SLOTS)) if backwards else range(SLOTS)):
+        rows.where(slot == i).repartition(SLOT_FILES).write.mode("append").parquet(folder)
 
 
 def event_stream(t: Tables, name: str):
     """The events table as a file stream in order of time, with new work folders.
 
-    The files are written one after the other, and a stream takes one a micro-batch.
+    The log ends with a heartbeat long after the last event, which lets the watermark pass
+    whatever is still open.
     """
     source = scratch_folder(t.spark, f"{name}-in")
-    low, high = t.events.agg(F.min("ts"), F.max("ts")).first()
-    share = (M.micros(F.col("ts")) - M.micros(F.lit(low))) / (M.micros(F.lit(high)) - M.micros(F.lit(low)) + 1)
-    slot = F.floor(share * STREAM_FILES)
-    for i in range(STREAM_FILES):
-        t.events.where(slot == i).coalesce(1).write.mode("append").parquet(source)
+    write_slots(t.events, "ts", source)
+    beat = {"event_type": F.lit("heartbeat"), "ts": F.max("ts") + F.expr("INTERVAL 100 DAYS")}
+    columns = [beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in t.events.schema]
+    t.events.agg(*columns).write.mode("append").parquet(source)
     out, mark = scratch_folder(t.spark, f"{name}-out"), scratch_folder(t.spark, f"{name}-mark")
     return source, out, mark
 
@@ -293,27 +263,27 @@ def _finish(running, t: Tables, out: str):
     return t.spark.read.parquet(out)
 
 
-@query("circuit_stream", SQL_CIRCUIT)
-def circuit_stream(t: Tables):
-    source, out, mark = event_stream(t, "circuit")
-    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
-    labelled = keyed.circuit_stream(attempts(stream, "domain"))
-    return _finish(stages.append_stream(labelled, out, mark), t, out)
+@query("outage_stream", SQL_OUTAGES)
+def outage_stream(t: Tables):
+    source, out, mark = event_stream(t, "outage")
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=SLOT_FILES)
+    sessions = M.outage_sessions(attempts(stream, "domain"))
+    return _finish(stages.append_stream(sessions, out, mark), t, out)
 
 
-@query("request_coalesce_ttl", SQL_SHARED)
-def request_coalesce_ttl(t: Tables):
-    source, out, mark = event_stream(t, "coalesce")
-    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
-    labelled = keyed.request_coalesce_stream(requests(stream))
-    return _finish(stages.append_stream(labelled, out, mark), t, out)
+@query("first_requests_stream", f"SELECT key, hour FROM ({SQL_RATES})")
+def first_requests_stream(t: Tables):
+    source, out, mark = event_stream(t, "requests")
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=SLOT_FILES)
+    asked = requests(stream.where("event_type <> 'heartbeat'"))
+    return _finish(stages.append_stream(M.first_requests(asked), out, mark), t, out)
 
 
 @query("health_stream", f"WITH {SQL_HEALTH} SELECT {', '.join(HEALTH_OUT)} FROM labelled")
 def health_stream(t: Tables):
     source, out, mark = event_stream(t, "health")
-    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=1)
-    running = keyed.health_stream(calls(stream), out, mark)
+    stream = stages.file_stream(t.spark, source, t.events.schema, per_trigger=SLOT_FILES)
+    running = keyed.health_stream(calls(stream.where("event_type <> 'heartbeat'")), out, mark)
     _finish(running, t, out)
     return keyed.score_now(keyed.latest_health(t.spark, out), AS_OF_US).select(*HEALTH_OUT)
 
@@ -333,7 +303,9 @@ def stage_stream(t: Tables):
             "o_orderdate",
         )
 
-    table, mark = scratch_folder(t.spark, "requests"), scratch_folder(t.spark, "requests-mark")
-    stream = stages.file_stream(t.spark, t.folder, t.orders.schema, "orders.parquet")
+    # The newest range of time comes first, so later micro-batches bring older rows.
+    source, table, mark = (scratch_folder(t.spark, f"requests-{n}") for n in ("in", "table", "mark"))
+    write_slots(t.orders, "o_orderdate", source, backwards=True)
+    stream = stages.file_stream(t.spark, source, t.orders.schema, per_trigger=SLOT_FILES)
     running = stages.stage_stream(stream, stage, table, mark, "cnpj_basico", "o_orderdate", "o_orderkey")
     return _finish(running, t, table).select("cnpj_basico", "query_used", "o_orderkey")

@@ -1,7 +1,7 @@
-"""Call logs: provider health, call statistics, circuits, quarantine, shared fetches.
+"""Call logs: provider health, call statistics, outages, repeated requests.
 
 A call log holds one row per call. Times are epoch microseconds (``t_us``), so
-that the state machines below are plain integer arithmetic.
+that the rules below are plain integer arithmetic.
 """
 
 from __future__ import annotations
@@ -20,13 +20,11 @@ LATENCY_MAX_MS = 25000.0
 UNHEALTHY = 30
 DEGRADED = 60
 RECENT_CALLS = 50
-# Circuit, quarantine and shared-fetch rules (microseconds).
+# Failures that make an outage, and how long an answer is kept (microseconds).
 OPEN_AFTER = 5
-RECOVERY_US = 60_000_000
-HALF_OPEN_TESTS = 2
-QUARANTINE_AFTER = 3
-QUARANTINE_US = 120_000_000
 FETCH_TTL_US = 3_600_000_000
+#: Failures further apart belong to different outages (microseconds).
+OUTAGE_GAP_US = 120_000_000
 
 
 def micros(ts: Column) -> Column:
@@ -169,66 +167,6 @@ def last_n_latency(calls: DataFrame, n: int = RECENT_CALLS) -> DataFrame:
     )
 
 
-# --- state machines -------------------------------------------------------
-
-CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
-CIRCUIT_START = (CLOSED, 0, 0, 0)
-
-
-def circuit_step(state, t_us, ok, is_protection):
-    """One attempt against a domain: is it let through, and what follows from it.
-
-    State: (mode, failures in a row, opened at, tests). A blocked attempt has no
-    outcome. A test counts when it starts and when it succeeds, so one success
-    closes the circuit.
-    """
-    mode, failures, opened, tests = state
-    if mode == OPEN and t_us - opened >= RECOVERY_US:
-        mode, tests = HALF_OPEN, 0
-    if mode == OPEN:
-        return (OPEN, 0, opened, 0), (OPEN, False)
-    seen = mode
-    if mode == HALF_OPEN:
-        tests += 1
-        if ok and tests + 1 >= HALF_OPEN_TESTS:
-            mode, failures = CLOSED, 0
-        elif ok:
-            tests += 1
-        elif not is_protection:
-            mode, opened = OPEN, t_us
-    elif ok:
-        failures = 0
-    elif not is_protection:
-        failures += 1
-        if failures >= OPEN_AFTER:
-            mode, opened = OPEN, t_us
-    after = {
-        CLOSED: (CLOSED, failures, 0, 0),
-        OPEN: (OPEN, 0, opened, 0),
-        HALF_OPEN: (HALF_OPEN, 0, opened, tests),
-    }[mode]
-    return after, (seen, True)
-
-
-def domain_circuit(attempts: DataFrame) -> DataFrame:
-    """Label each attempt with the circuit mode it met and whether it was let through.
-
-    ``attempts`` holds (domain, t_us, call_id, ok, is_protection).
-    """
-    order = ["t_us", "call_id"]
-    ordered = range_sorted(
-        attempts.select("domain", *order, "ok", "is_protection"), ["domain"], order
-    )
-    return ordered_scan(
-        ordered,
-        ["domain"],
-        ["t_us", "ok", "is_protection"],
-        circuit_step,
-        CIRCUIT_START,
-        "mode string, allowed boolean",
-    ).drop(PART)
-
-
 def outage_episodes(attempts: DataFrame, at_least: int = OPEN_AFTER) -> DataFrame:
     """Runs of failures without a success between: domain, episode, from, to, failures.
 
@@ -256,66 +194,47 @@ def repeat_request_rate(requests: DataFrame, window_us: int = FETCH_TTL_US) -> D
     return counted.withColumn("repeats", F.col("requests") - 1).withColumn("repeat_rate", F.col("repeats") / F.col("requests"))
 
 
-QUARANTINE_START = (0, 0)
-
+def outage_sessions(attempts: DataFrame, gap_us: int = OUTAGE_GAP_US, delay_us: int = OUTAGE_GAP_US) -> DataFrame:
+    """Failures of a domain that are at most ``gap_us`` apart, as one outage each.
 
-def quarantine_step(state, t_us, ok):
-    """State: (failures in a row up to the limit, quarantined until)."""
-    failures, until = state
-    held = t_us < until
-    if ok:
-        return QUARANTINE_START, (held,)
-    failures = min(failures + 1, QUARANTINE_AFTER)
-    if failures >= QUARANTINE_AFTER:
-        until = t_us + QUARANTINE_US
-    return (failures, until), (held,)
-
-
-def quarantine(attempts: DataFrame) -> DataFrame:
-    """Whether each proxy was in quarantine when an attempt was made.
-
-    ``attempts`` holds (proxy, t_us, call_id, ok).
+    Returns (domain, from_us, to_us, failures). ``attempts`` holds (domain, t_us, ok); a table
+    or a stream. Sessions are merged in every task before the shuffle, so of a domain that
+    fails without end one row a task is moved. In a stream an outage is given out once the
+    watermark, ``delay_us`` behind the newest attempt, has passed its end, and its state goes.
     """
-    order = ["t_us", "call_id"]
-    ordered = range_sorted(attempts.select("proxy", *order, "ok"), ["proxy"], order)
-    return ordered_scan(
-        ordered, ["proxy"], ["t_us", "ok"], quarantine_step, QUARANTINE_START, "quarantined boolean"
-    ).drop(PART)
-
-
-FETCH_START = -1
-
-
-def fetch_step(state, t_us, has_results):
-    """State: when the stored answer was made, or -1. A hit does not extend it."""
-    if state >= 0 and t_us - state <= FETCH_TTL_US:
-        return state, (True, state)
-    return (t_us if has_results else FETCH_START), (False, t_us)
+    failed = attempts.withColumn("at", F.timestamp_micros("t_us"))
+    if attempts.isStreaming:
+        failed = failed.withWatermark("at", f"{delay_us} microseconds")
+    # A plain test of ``ok`` would be done before the watermark, which then stood still
+    # while a domain succeeds.
+    return (
+        failed.where(F.when(~F.col("ok"), F.col("at")).isNotNull())
+        .groupBy("domain", F.session_window("at", f"{gap_us} microseconds"))
+        .agg(F.min("t_us").alias("from_us"), F.max("t_us").alias("to_us"), F.count("*").alias("failures"))
+        .drop("session_window")
+    )
 
 
-def request_coalesce(requests: DataFrame) -> DataFrame:
-    """Which requests are answered by an earlier fetch of the same key.
+def first_requests(requests: DataFrame, window_us: int = FETCH_TTL_US) -> DataFrame:
+    """The windows of time in which each key was asked for at all: (key, hour).
 
-    ``requests`` holds (key, t_us, call_id, has_results): what a fetch at that
-    time would bring. Empty answers are not kept.
+    One row is one fetch; all later requests of the window are answered by it, and a repeat
+    does not extend the window. ``requests`` holds (key, t_us); a table or a stream. In a
+    stream a key is held until the watermark is a window past its first request.
     """
-    order = ["t_us", "call_id"]
-    ordered = range_sorted(requests.select("key", *order, "has_results"), ["key"], order)
-    return ordered_scan(
-        ordered,
-        ["key"],
-        ["t_us", "has_results"],
-        fetch_step,
-        FETCH_START,
-        "is_hit boolean, answered_by_us long",
-    ).drop(PART)
-
-
-def cache_hit_rate(coalesced: DataFrame) -> DataFrame:
-    return coalesced.agg(
-        F.count_if("is_hit").alias("hits"),
-        F.count_if(~F.col("is_hit")).alias("misses"),
-        (F.count_if("is_hit") / F.count("*")).alias("hit_rate"),
+    timed = requests.select("key", F.floor(F.col("t_us") / window_us).cast("long").alias("hour"), F.timestamp_micros("t_us").alias("at"))
+    if requests.isStreaming:
+        timed = timed.withWatermark("at", f"{window_us} microseconds").dropDuplicatesWithinWatermark(["key", "hour"])
+        return timed.select("key", "hour")
+    return timed.select("key", "hour").distinct()
+
+
+def cache_hit_rate(rates: DataFrame) -> DataFrame:
+    """Totals over ``repeat_request_rate``: a repeat is a hit, the first request of a window a miss."""
+    return rates.agg(
+        F.sum("repeats").alias("hits"),
+        F.count("*").alias("misses"),
+        (F.sum("repeats") / F.sum("requests")).alias("hit_rate"),
     )
 
 

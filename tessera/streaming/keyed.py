@@ -1,103 +1,15 @@
-"""The state machines of the call logs, online.
+"""Call logs online: a snapshot of each provider's numbers per micro-batch.
 
-Each machine is the step function its batch form uses, kept per key by
-``transformWithStateInPandas``. Rows of a key arrive as an iterator; how many
-come in one micro-batch is bounded by the source's rate options.
+Outages and first requests need no code of their own here: ``monitoring.outage_sessions``
+and ``monitoring.first_requests`` take a stream as they take a table.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from tessera.operators import monitoring as M
 
-STORE_CONF = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-_STATE = StructType([StructField("value", StringType())])
-
-
-def use_keyed_state(spark) -> None:
-    """Keyed state needs the RocksDB store; set it where the cluster has not."""
-    if spark.conf.get(STORE_CONF, "") != ROCKSDB:
-        spark.conf.set(STORE_CONF, ROCKSDB)
-
-
-def _as_tuple(value):
-    return tuple(_as_tuple(v) for v in value) if isinstance(value, list) else value
-
-
-class StepProcessor(StatefulProcessor):
-    """Runs a batch step function over each key, the state kept as JSON."""
-
-    def __init__(self, step: Callable, start, key: str, inputs: list[str], outputs: list[str]):
-        self.step, self.start, self.key = step, start, key
-        self.inputs, self.outputs = inputs, outputs
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = _as_tuple(json.loads(self.state.get()[0])) if self.state.exists() else self.start
-        batch = pd.concat(list(rows)).sort_values(["t_us", "call_id"])
-        results = []
-        for values in zip(*[batch[c].tolist() for c in self.inputs]):
-            current, out = self.step(current, *values)
-            results.append(out)
-        self.state.update((json.dumps(current),))
-        labels = dict(zip(self.outputs, [list(c) for c in zip(*results)]))
-        yield pd.DataFrame({self.key: key[0], "call_id": batch["call_id"].tolist(), **labels})
-
-    def close(self) -> None:
-        pass
-
-
-def _run(stream: DataFrame, step, start, key: str, inputs: list[str], outputs: str) -> DataFrame:
-    use_keyed_state(stream.sparkSession)
-    key_type = stream.schema[key].dataType.simpleString()
-    schema = _parse_datatype_string(f"{key} {key_type}, call_id long, {outputs}")
-    names = [part.strip().split(" ")[0] for part in outputs.split(",")]
-    return (
-        stream.select(key, "call_id", *dict.fromkeys(["t_us", *inputs]))
-        .groupBy(key)
-        .transformWithStateInPandas(
-            statefulProcessor=StepProcessor(step, start, key, inputs, names),
-            outputStructType=schema,
-            outputMode="append",
-            timeMode="none",
-        )
-    )
-
-
-def circuit_stream(attempts: DataFrame) -> DataFrame:
-    """``monitoring.domain_circuit`` over a stream of attempts."""
-    return _run(
-        attempts,
-        M.circuit_step,
-        M.CIRCUIT_START,
-        "domain",
-        ["t_us", "ok", "is_protection"],
-        "mode string, allowed boolean",
-    )
-
-
-def request_coalesce_stream(requests: DataFrame) -> DataFrame:
-    """``monitoring.request_coalesce`` over a stream of requests."""
-    return _run(
-        requests,
-        M.fetch_step,
-        M.FETCH_START,
-        "key",
-        ["t_us", "has_results"],
-        "is_hit boolean, answered_by_us long",
-    )
-
 
 def health_partials(calls: DataFrame) -> DataFrame:
     """Per provider the counts, the last failure and the last latencies of some calls.

@@ -111,60 +111,6 @@ def test_packing_golden(spark):
     assert [r.chunk_no for r in got] == [1, 1, 2, 3, 3]
 
 
-def calls(n=2500, seed=2):
-    rng = random.Random(seed)
-    rows, now = [], 0
-    for i in range(n):
-        now += rng.choice([1, 5, 20, 90]) * 1_000_000
-        kind = rng.choices(["ok", "bad", "protection"], [3, 5, 1])[0]
-        rows.append(("hot" if rng.random() < 0.7 else f"d{rng.randrange(5)}", now, i, kind == "ok", kind == "protection"))
-    return rows
-
-
-def circuit(attempts):
-    """The circuit rule in plain Python, with a class per domain."""
-    labels, domains = {}, {}
-    for domain, now, call, ok, protection in attempts:
-        c = domains.setdefault(domain, {"state": "closed", "failures": 0, "opened": 0, "tests": 0})
-        if c["state"] == "open" and now - c["opened"] >= 60_000_000:
-            c.update(state="half_open", tests=0)
-        labels[call] = c["state"]
-        if c["state"] == "open":
-            continue
-        if c["state"] == "half_open":
-            c["tests"] += 1
-        if ok:
-            if c["state"] == "half_open":
-                c["tests"] += 1
-                if c["tests"] >= 2:
-                    c.update(state="closed", failures=0)
-            else:
-                c["failures"] = 0
-        elif not protection:
-            c["failures"] += 1
-            if c["state"] == "half_open" or c["failures"] >= 5:
-                c.update(state="open", opened=now)
-    return labels
-
-
-def test_circuit_equals_one_pass(spark):
-    rows = calls()
-    df = spark.createDataFrame(rows, "domain string, t_us long, call_id long, ok boolean, is_protection boolean")
-    got = {r.call_id: (r.mode, r.allowed) for r in M.domain_circuit(df).collect()}
-    want = {c: (s, s != "open") for c, s in circuit(rows).items()}
-    assert got == want
-    assert {"closed", "open", "half_open"} == {s for s, _ in want.values()}
-
-
-def test_one_success_closes_a_half_open_circuit():
-    state = M.CIRCUIT_START
-    for i in range(5):
-        state, _ = M.circuit_step(state, i, False, False)
-    assert state[0] == "open"
-    state, label = M.circuit_step(state, 60_000_010, True, False)
-    assert label == ("half_open", True) and state == M.CIRCUIT_START
-
-
 def test_last_latencies(spark):
     rng = random.Random(4)
     rows = [("hot" if rng.random() < 0.8 else "p", i * 10, i, float(rng.randrange(100))) for i in range(1500)]
@@ -177,16 +123,6 @@ def test_last_latencies(spark):
         assert abs(got[call] - sum(window[-50:]) / len(window[-50:])) < 1e-9
 
 
-def test_fetch_expiry():
-    start = M.FETCH_START
-    state, out = M.fetch_step(start, 0, True)
-    assert (state, out) == (0, (False, 0))
-    state, out = M.fetch_step(state, 3_600_000_000, True)
-    assert (state, out) == (0, (True, 0))  # a hit does not extend the time
-    state, out = M.fetch_step(state, 3_600_000_001, False)
-    assert (state, out) == (M.FETCH_START, (False, 3_600_000_001))  # empty answers are not kept
-
-
 def test_missing_keys_are_a_key(spark):
     rows = [(None if i % 2 else i % 5, i, i % 7) for i in range(1200)]
     shape = "k long, o long, v long"
