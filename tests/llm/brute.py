@@ -84,3 +84,34 @@ def repeats(docs, width=35):
                 gone |= set(range(i, i + width))
         out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
     return out
+
+
+def near_groups(docs, width=5, similarity=0.8):
+    """Smallest id of each document's group of texts whose word shingles are that similar."""
+    sets = {}
+    for d, t in docs:
+        words = SPACED.findall(fold(t))
+        grams = [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+        sets[d] = frozenset(grams)
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by_gram = {}
+    for d, grams in sets.items():
+        for g in grams or [None]:
+            by_gram.setdefault(g, []).append(d)
+    seen = set()
+    for members in by_gram.values():
+        for i, a in enumerate(members):
+            for b in members[i + 1 :]:
+                if (a, b) not in seen:
+                    seen.add((a, b))
+                    shared = len(sets[a] & sets[b])
+                    if shared >= similarity * (len(sets[a]) + len(sets[b]) - shared):
+                        x, y = sorted((find(a), find(b)))
+                        parent[y] = x
+    return {d: find(d) for d in sets}

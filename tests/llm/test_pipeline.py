@@ -13,7 +13,7 @@ FOLDERS = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
 
 
 def _kept(spark, folder):
-    """Ids that each stage keeps: scores from the operator, all later decisions by brute force."""
+    """Ids that the first two stages keep, and the texts: scores from the operator, the rest by brute force."""
     labels = table(spark, folder, "labels")
     docs = {r["doc_id"]: r["text"] for r in table(spark, folder, "documents").select("doc_id", "text").collect()}
     good = {r["doc_id"] for r in quality.quality_scores(table(spark, folder, "documents"), labels).filter("score >= 0.3").collect()}
@@ -21,24 +21,37 @@ def _kept(spark, folder):
     for d in good:
         key = brute.fold(docs[d])
         latest[key] = max(latest.get(key, d), d)
-    unique = set(latest.values())
-    prints = [(d, brute.simhash(docs[d])) for d in unique]
-    least = brute.roots(prints)
-    single = {d for d, f in prints if least[f] == d}
+    return [good, set(latest.values())], docs
+
+
+def _clean(spark, folder, docs, ids):
     items = [tuple(r) for r in table(spark, folder, "benchmark").select("item_id", "text").collect()]
-    found = brute.contaminated([(d, docs[d]) for d in single], items)
-    return [good, unique, single, {d for d in single if not found[d][1]}], docs
+    found = brute.contaminated([(d, docs[d]) for d in ids], items)
+    return {d for d in ids if not found[d][1]}
+
+
+def _is_single(docs, unique, kept):
+    """Nothing goes that has no near copy, and nearly every near copy goes."""
+    least = brute.near_groups([(d, docs[d]) for d in unique])
+    single = {d for d in unique if least[d] == d}
+    assert single <= kept
+    assert len(kept - single) <= 0.05 * len(unique - single)
 
 
 @pytest.mark.parametrize("folder", FOLDERS)
 def test_stages_equal_brute_force(spark, folder):
     want, texts = _kept(spark, folder)
     docs = table(spark, folder, "documents")
-    columns = docs.columns
-    for (name, stage), ids in zip(corpus_pipeline.STAGES[:-1], want):
+    columns, kept = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = staged(stage(spark, docs, folder), "test-stage")
         assert docs.columns == columns, name
-        assert sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(ids), name
+        ids = [r[0] for r in docs.select("doc_id").collect()]
+        assert len(ids) == len({*ids}), name
+        kept.append({*ids})
+    assert kept[:2] == want
+    _is_single(texts, want[1], kept[2])
+    assert kept[3] == _clean(spark, folder, texts, kept[2])
     name, last = corpus_pipeline.STAGES[-1]
     pieces = last(spark, docs, folder).select("doc_id", "start", "length", "doc_tokens").collect()
     sizes = {}
@@ -48,13 +61,16 @@ def test_stages_equal_brute_force(spark, folder):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    assert {d: sum(n) for d, n in sizes.items()} == {d: len(tokenizer.encode(texts[d], add_special_tokens=False).ids) + 1 for d in want[-1]}
+    assert {d: sum(n) for d, n in sizes.items()} == {d: len(tokenizer.encode(texts[d], add_special_tokens=False).ids) + 1 for d in kept[3]}
 
 
 def test_run_is_all_stages(spark):
     folder = FOLDERS[0]
-    want, _ = _kept(spark, folder)
-    assert {r[0] for r in corpus_pipeline.run(spark, folder).select("doc_id").distinct().collect()} == want[-1]
+    docs = table(spark, folder, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, folder), "test-run")
+    ids = lambda df: {r[0] for r in df.select("doc_id").distinct().collect()}
+    assert ids(corpus_pipeline.run(spark, folder)) == ids(docs)
 
 
 def test_odd_rows_go_through(spark, documents):
