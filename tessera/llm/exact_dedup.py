@@ -1,14 +1,19 @@
 """Exact deduplication through a persistent digest index.
 
 The index is a table with one row for each distinct text: its SHA-256 digest, the
-document that stands for it, and how many equal rows the batch held that brought it.
-It is bucketed and sorted by digest, so that a new batch meets it by a sort-merge
-anti-join in which the index is neither shuffled nor sorted again; only digests the
-index lacks are appended.
+document that stands for it, how many equal rows the batch held that brought it, and that
+batch's name. It is bucketed and sorted by digest, so that a new batch meets it by a
+sort-merge anti-join for which the index is not shuffled; only digests the index lacks are
+appended. As every append adds a file to each bucket, Spark sorts the buckets of an index of
+several batches again. A batch that is added a second time, as after a failure, gets the
+answers it got before and adds nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +50,13 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def add(self, batch: DataFrame, name: str | None = None) -> DataFrame:
         """Deduplicate ``batch`` (doc_id, text) against itself and the index, and append.
 
+        ``name`` tells batches apart; without one it follows from the ids and texts, so that
+        the same rows are the same batch. Texts that the index holds from the batch itself
+        count as new.
+
         Returns one row per input row: doc_id, keep_id, group_size, kept, text_sha256.
         Of equal new texts the row with the largest doc_id stays; a text that the index
         already held stays with its earlier document, and no row of it is kept.
@@ -62,16 +71,20 @@ class DigestIndex:
         )
         if not self.spark.catalog.tableExists(self.table):
             self._append(
-                self.spark.createDataFrame([], f"digest binary, keep_id {batch.schema['doc_id'].dataType.simpleString()}, group_size bigint")
+                self.spark.createDataFrame([], f"digest binary, keep_id {batch.schema['doc_id'].dataType.simpleString()}, group_size bigint, batch string")
             )
         groups = staged(
             digests.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups"
         )
-        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        total, *marks = digests.agg(
+            F.count("*"), F.bit_xor(F.xxhash64("doc_id", "digest")), F.sum(F.xxhash64("digest", "doc_id").cast("decimal(38,0)"))
+        ).first()
+        name = name or "-".join(map(str, (total, *marks)))
+        new = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(name))
         # Which texts were new is settled before the index takes them up.
         settled = staged(
             groups.join(
-                self.rows().select("digest", F.col("keep_id").alias("had_id"), F.lit(True).alias("had")).hint("merge"),
+                self.rows().select("digest", F.col("keep_id").alias("had_id"), (F.col("batch") != name).alias("had")).hint("merge"),
                 "digest",
                 "left",
             ).select(
@@ -83,7 +96,6 @@ class DigestIndex:
             "settled",
         )
         self._append(new)
-        total = digests.count()
         is_hot = F.col("group_size") * HOT_SHARE >= F.lit(total)
         hot = settled.filter(is_hot)
         cold = settled.filter(~is_hot)
@@ -108,18 +120,21 @@ class DigestIndex:
         )
 
 
-def scratch_index(spark: SparkSession) -> DigestIndex:
-    """An empty index in the shared folder, for one run."""
+@contextmanager
+def scratch_index(spark: SparkSession) -> Iterator[DigestIndex]:
+    """An empty index in the shared folder, whose table goes with the block, failed or not."""
     folder = scratch_folder(spark, "digest-index")
-    return DigestIndex(spark, "digest_index_" + folder.rpartition("-")[2], folder)
+    index = DigestIndex(spark, "digest_index_" + folder.rpartition("-")[2], folder)
+    try:
+        yield index
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {index.table}")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """``DigestIndex.add`` of all of ``docs`` to an empty index."""
-    index = scratch_index(docs.sparkSession)
-    found = staged(index.add(docs), "exact")
-    docs.sparkSession.sql(f"DROP TABLE {index.table}")
-    return found
+    with scratch_index(docs.sparkSession) as index:
+        return staged(index.add(docs), "exact")
 
 
 def batched_duplicates(docs: DataFrame) -> DataFrame:
@@ -127,14 +142,16 @@ def batched_duplicates(docs: DataFrame) -> DataFrame:
 
     The second batch, of the ids up to about the median and the null ones, meets a filled
     index. The index keeps the first document of a text, which is then the one with the
-    largest id; ``group_size`` is summed over both batches. Ids are numbers.
+    largest id; ``group_size`` is summed over both batches. Ids are of any type with an
+    order; the median is that of a thousand of them, and only says where the batches part.
+    Null counts as empty, no documents give no rows, repeated rows the same answer.
     """
     rows = only(docs, "doc_id", "text")
-    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    some = sorted(r[0] for r in rows.filter("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(1001).collect())
+    middle = some[len(some) // 2] if some else None
     later = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(True))
-    index = scratch_index(docs.sparkSession)
-    parts = [staged(index.add(rows.filter(part)), "exact") for part in (~later, later)]
-    docs.sparkSession.sql(f"DROP TABLE {index.table}")
+    with scratch_index(docs.sparkSession) as index:
+        parts = [staged(index.add(rows.filter(part)), "exact") for part in (~later, later)]
     found = parts[0].unionByName(parts[1]).drop("group_size")
     sizes = [p.groupBy("text_sha256").agg(F.max("group_size").alias("group_size")) for p in parts]
     groups = staged(sizes[0].unionByName(sizes[1]).groupBy("text_sha256").agg(F.sum("group_size").alias("group_size")), "sizes")
@@ -149,6 +166,7 @@ def batched_duplicates(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of repeated rows one.
 
+    Null counts as empty, a null id stays only where its text has no other; no rows give none.
     Rows of a hot digest that go are dropped by a bounded broadcast, before texts move.
     """
     found = index.add(docs) if index else exact_duplicates(docs)

@@ -44,23 +44,23 @@ def test_near_duplicates_drop_leaves_one(documents):
 
 
 def test_exact_index_over_two_batches(spark, documents):
-    index = exact_dedup.scratch_index(spark)
-    first = {(r["doc_id"], r["kept"], r["group_size"], r["keep_id"]) for r in index.add(documents(ODD)).collect()}
-    assert (13, True, 4, 13) in first and (12, False, 4, 13) in first and (11, False, 4, 13) in first
-    assert (8, True, 2, 8) in first and (7, False, 2, 8) in first
-    assert (14, True, 1, 14) in first and (15, True, 1, 15) in first
-    assert (None, True, 1, None) in first
-    second = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in index.add(documents([(99, "SAME text"), (100, "new")])).collect()}
-    assert second == {99: (False, 13), 100: (True, 100)}
-    assert index.add(documents([])).count() == 0
+    with exact_dedup.scratch_index(spark) as index:
+        first = {(r["doc_id"], r["kept"], r["group_size"], r["keep_id"]) for r in index.add(documents(ODD)).collect()}
+        assert (13, True, 4, 13) in first and (12, False, 4, 13) in first and (11, False, 4, 13) in first
+        assert (8, True, 2, 8) in first and (7, False, 2, 8) in first
+        assert (14, True, 1, 14) in first and (15, True, 1, 15) in first
+        assert (None, True, 1, None) in first
+        second = {r["doc_id"]: (r["kept"], r["keep_id"]) for r in index.add(documents([(99, "SAME text"), (100, "new")])).collect()}
+        assert second == {99: (False, 13), 100: (True, 100)}
+        assert index.add(documents([])).count() == 0
 
 
 def test_exact_query_meets_a_filled_index(spark, documents, monkeypatch):
     add, held = exact_dedup.DigestIndex.add, []
 
-    def counted(self, batch):
+    def counted(self, batch, name=None):
         held.append(self.rows().count() if self.spark.catalog.tableExists(self.table) else 0)
-        return add(self, batch)
+        return add(self, batch, name)
 
     monkeypatch.setattr(exact_dedup.DigestIndex, "add", counted)
     folder = "/root/testdata/sf0.001"
