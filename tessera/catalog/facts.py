@@ -310,3 +310,28 @@ def texts_complementary(t: Tables):
     return docs.join(after, "doc_id").select(
         "doc_id", test(F.col("text"), F.col("next_text")).alias("complementary")
     )
+
+
+# Facts of every confidence, from pages of every rank.
+PATHS = ["/sobre-nos", "/contato", "/", "/servicos", "/blog/x", "/quem-somos"]
+
+
+def rated_facts(t: Tables):
+    path = F.element_at(F.array(*[F.lit(p) for p in PATHS]), (F.col("chunk_index") % len(PATHS) + 1).cast("int"))
+    url = F.concat(F.lit("https://d"), F.col("chunk_index"), F.lit(".example.com"), path)
+    return good_facts(t).withColumns(
+        {"confidence": F.lit(0.5) + (F.col("chunk_index") + F.col("ord")) % 5 / F.lit(10.0), "page_source": F.array(url)}
+    )
+
+
+@query(
+    "best_supported",
+    f"""WITH {SQL_ROUTES},
+    rated AS (SELECT *, 0.5 + ((chunk + ord) % 5) / 10 AS conf, [1, 2, 3, 4, 5, 1][chunk % 6 + 1] AS rank FROM good),
+    support AS (SELECT cnpj, field, key, max(conf) AS conf, count(DISTINCT chunk) AS chunks, min(rank) AS rank, min((chunk, ord)) AS place, arg_min(value, (chunk, ord)) AS value
+      FROM rated GROUP BY cnpj, field, key)
+    SELECT cnpj AS cnpj_basico, field, value, conf::DOUBLE AS confidence, chunks, rank AS page_rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY cnpj, field ORDER BY conf DESC, chunks DESC, rank, place) AS rn FROM support) WHERE rn = 1""",
+)
+def best_supported(t: Tables):
+    return O.best_supported(O.routed(rated_facts(t)))

@@ -26,6 +26,14 @@ TEMPLATE_REPEATS = 5
 TEMPLATE_WORDS = 3
 SECTIONS = ["identity", "contact", "offerings", "reputation"]
 
+# Which pages are trusted on a company, by words of their path.
+PAGE_RANKS = [
+    (1, ("sobre", "quem-somos", "institucional", "/empresa")),
+    (2, ("/contato", "/footer")),
+    (4, ("servico", "serviço", "solucoes")),
+]
+HOME_RANK, OTHER_RANK = 3, 5
+
 #: An address starts where its run of characters starts, so a long word is read once.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 
@@ -143,6 +151,7 @@ def routed(facts: DataFrame) -> DataFrame:
             .otherwise(url)
             .alias("url"),
             F.col("evidence_quote").alias("quote"),
+            "confidence",
         )
     )
 
@@ -170,6 +179,52 @@ def merge_identity(routes: DataFrame) -> DataFrame:
     )
 
 
+def page_rank(url: Column) -> Column:
+    """How far a page is trusted on its company: 1 most, 5 least."""
+    path = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1))
+    by_words = F.lit(None).cast("int")
+    for rank, words in reversed(PAGE_RANKS):
+        by_words = F.when(contains_any(path, words), rank).otherwise(by_words)
+    return F.coalesce(by_words, F.when(path.isin("", "/"), HOME_RANK).otherwise(OTHER_RANK))
+
+
+def supported_values(routes: DataFrame) -> DataFrame:
+    """What speaks for each value of each field of a company.
+
+    Returns (cnpj_basico, field, key, value, confidence, chunks, page_rank, place): the
+    highest confidence, in how many chunks it was found, the best page it stands on, and
+    where it comes first; ``value`` is as written there. Facts are counted per chunk first,
+    so a value that a company repeats without end is small before it is moved.
+    """
+    by_chunk = routes.groupBy("cnpj_basico", "field", "key", F.col("place.chunk_index").alias("chunk_index")).agg(
+        F.max("confidence").alias("confidence"),
+        F.min(page_rank(F.col("url"))).alias("page_rank"),
+        F.min(F.struct("place", "value")).alias("first"),
+    )
+    return (
+        by_chunk.groupBy("cnpj_basico", "field", "key")
+        .agg(
+            F.max("confidence").alias("confidence"),
+            F.count("*").alias("chunks"),
+            F.min("page_rank").alias("page_rank"),
+            F.min("first").alias("first"),
+        )
+        .select("cnpj_basico", "field", "key", "first.value", "confidence", "chunks", "page_rank", "first.place")
+    )
+
+
+def best_supported(routes: DataFrame) -> DataFrame:
+    """The value of each field that most speaks for: one row per company and field.
+
+    Highest confidence, then most chunks, then the better page, then the first place. It
+    stands beside the merge in which the first value wins.
+    """
+    order = F.struct(-F.col("confidence"), -F.col("chunks"), F.col("page_rank"), F.col("place"))
+    values = F.struct("value", "confidence", "chunks", "page_rank")
+    best = supported_values(routes).groupBy("cnpj_basico", "field").agg(F.min_by(values, order).alias("b"))
+    return best.select("cnpj_basico", "field", "b.*")
+
+
 def first_values(routes: DataFrame) -> DataFrame:
     """First occurrence of each distinct value of each list field.
 

@@ -299,3 +299,25 @@ def test_one_company_of_many_texts(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     whole = ". ".join(" ".join(f"{w}{i}" for w in "abcd") for i in range(n))
     assert (row.n, row.h) == (len(whole), hashlib.md5(whole.encode()).hexdigest())
+
+
+def test_best_supported_value(spark):
+    """Confidence first, then chunks, then the page, then the first place."""
+    def fact(chunk, ord_, value, confidence, path):
+        return ("c", chunk, ord_, "identity", value, f"{value} quote", confidence, [f"https://x.example.com{path}"])
+
+    shape = "cnpj_basico string, chunk_index long, ord long, section string, value string, evidence_quote string, confidence double, page_source array<string>"
+
+    def best(*facts):
+        row = O.best_supported(O.routed(spark.createDataFrame(list(facts), shape))).first()
+        return row.value, row.confidence, row.chunks, row.page_rank
+
+    assert best(fact(1, 0, "A Ltda", 0.7, "/sobre"), fact(2, 0, "B Ltda", 0.9, "/x")) == ("B Ltda", 0.9, 1, 5)
+    assert best(fact(1, 0, "A Ltda", 0.9, "/sobre"), fact(2, 0, "B Ltda", 0.9, "/x"), fact(3, 0, "b ltda", 0.1, "/y")) == ("B Ltda", 0.9, 2, 5)
+    assert best(fact(1, 0, "A Ltda", 0.9, ""), fact(1, 1, "a ltda", 0.9, "/servicos"), fact(2, 0, "B Ltda", 0.9, "/contato")) == ("B Ltda", 0.9, 1, 2)
+    assert best(fact(2, 0, "A Ltda", 0.9, "/a"), fact(1, 5, "B Ltda", 0.9, "/b")) == ("B Ltda", 0.9, 1, 5)
+
+
+def test_page_ranks(spark):
+    urls = ["https://x/quem-somos", "https://x/fale/contato?sobre", "https://x", "https://x/#sobre", "https://x/Servicos/a", "https://x/blog", None]
+    assert values(spark, urls, lambda c: F.coalesce(O.page_rank(c), F.lit(0))) == [1, 2, 3, 3, 4, 5, 5]
