@@ -12,6 +12,7 @@ when one key holds a third of a large table. Here rows are range-partitioned by
   until the states agree. Then all rows are labelled in one pass. The result
   equals one sequential pass per key.
 
+* ``last_values``: the newest value up to each row, carried the same way.
 * ``ordered_fold``: one value per key. Values of keys that span partitions pass from
   stretch to stretch as rows of written tables.
 
@@ -97,6 +98,24 @@ def running_totals(
     ).drop(*[f"_before_{n}" for n in totals])
 
 
+def last_values(ordered: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the last value that is not null of the row's key, up to and including the row.
+
+    Each partition gives the last value of each of its keys; only the first key of a
+    partition can have one in an earlier partition, so the side that is joined has at most
+    one row a partition.
+    """
+    keys, on = list(keys), [PART, *keys]
+    within = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ordered.withColumn(name, F.last(value, ignorenulls=True).over(within))
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    parts = ordered.groupBy(*on).agg(F.max_by(value, known).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select(*on, F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    joined = _join_same(local, F.broadcast(carried.where(F.col("_before").isNotNull())), on, "left")
+    return joined.withColumn(name, F.coalesce(name, "_before")).drop("_before")
+
+
 def earlier_values(ordered: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, name: str) -> DataFrame:
     """Add the last up to ``n`` values of the row's key from before the row's partition.
 

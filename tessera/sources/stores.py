@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tessera.operators.ordered import last_values, range_sorted
 from tessera.session import staged
 
 # Key length and statuses of a discovery.
@@ -195,28 +196,40 @@ def scan_chunks(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
 # --- profiles -------------------------------------------------------------
 
 
-def prefix_join(lookups: DataFrame, table: DataFrame, prefix: str, key: str) -> DataFrame:
-    """Rows whose key starts with the looked-up prefix, as an equi-join.
+def nested_prefixes(asked: DataFrame, prefix: str) -> DataFrame:
+    """Each distinct prefix with all asked prefixes it starts with, itself included."""
+    distinct = asked.select(prefix).distinct()
+    shorter = distinct.select(
+        F.col(prefix).alias("_own"),
+        F.explode(F.sequence(F.lit(1), F.length(prefix))).alias("_len"),
+    ).select("_own", F.substring(F.col("_own"), F.lit(1), F.col("_len")).alias(prefix))
+    return shorter.join(distinct, prefix).groupBy("_own").agg(F.collect_list(prefix).alias("_chain"))
+
 
-    A row's key is expanded to its prefixes of every length that is asked for and joined
-    on equality instead of testing all pairs. Prefixes longer than ``KEY_LENGTH`` are
-    looked up in the row's own expansion up to the longest one. An empty prefix asks for
-    nothing and finds nothing.
+def prefix_join(lookups: DataFrame, table: DataFrame, prefix: str, key: str) -> DataFrame:
+    """Rows whose key starts with the looked-up prefix, by merging both in one order.
+
+    Prefixes and keys are range-partitioned together and sorted. Every asked prefix of a
+    key is also one of the last prefix at or before it, so each row meets that prefix
+    only, with the chain of prefixes nested in it. A row of the table is shuffled once
+    whatever the lengths asked for, and rows of a key found very often spread over
+    partitions. An empty or missing prefix asks for nothing, and an empty or missing key
+    is never found. Repeated lookups give repeated rows.
     """
-    asked = lookups.where(F.length(prefix) > 0).withColumn("_len", F.length(prefix))
-    longest = asked.agg(F.max("_len")).first()[0]
-    if not longest:
-        return lookups.join(table, F.lit(False), "inner")
-    cuts = F.sequence(F.lit(1), F.least(F.length(key), F.lit(longest)))
-    expanded = table.where(F.length(key) > 0).withColumn("_len", F.explode(cuts)).withColumn(
-        "_prefix", F.substring(F.col(key), F.lit(1), F.col("_len"))
+    asked = lookups.where(F.length(prefix) > 0)
+    chains = nested_prefixes(asked, prefix).select(
+        F.col("_own").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), "_chain"
     )
-    return (
-        asked.withColumnRenamed(prefix, "_prefix")
-        .join(expanded, ["_len", "_prefix"])
-        .withColumnRenamed("_prefix", prefix)
-        .drop("_len")
+    row = F.struct(*table.columns)
+    rows = table.where(F.length(key) > 0).select(
+        F.col(key).alias("_at"), F.lit(1).alias("_kind"), F.monotonically_increasing_id().alias("_tie"), row.alias("_row")
     )
+    order = ["_at", "_kind", "_tie"]
+    merged = range_sorted(rows.unionByName(chains, allowMissingColumns=True), [], order)
+    met = last_values(merged, [], order, "_chain", "_met").where("_kind = 1")
+    fitting = F.filter("_met", lambda p: F.col("_at").startswith(p))
+    found = met.select(F.explode(fitting).alias(prefix), "_row").select(prefix, "_row.*")
+    return asked.join(found, prefix)
 
 
 def profile_prefix_lookup(lookups: DataFrame, profiles: DataFrame, prefix: str, key: str, ts: str) -> DataFrame:

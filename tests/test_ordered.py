@@ -7,7 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C, monitoring as M
-from tessera.operators.ordered import PART, _segments, ordered_fold, ordered_scan, range_sorted, running_totals
+from tessera.operators.ordered import PART, _segments, last_values, ordered_fold, ordered_scan, range_sorted, running_totals
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,6 +57,18 @@ def test_running_totals_without_key_totals(spark):
         assert [got[key, o] for _, o, _ in group] == list(range(1, len(group) + 1))
 
 
+def test_last_values_cross_partitions(spark):
+    rows = [(k, o, v if o % 997 == 5 else None) for k, o, v in skewed_rows()] + [(None, 1, 7), (None, 2, None)]
+    out = last_values(table(spark, rows), ["k"], ["o"], "v", "seen").collect()
+    got = {(r.k, r.o): r.seen for r in out}
+    assert len(out) == len(rows)
+    for key, group in by_key(rows).items():
+        seen = None
+        for _, o, v in group:
+            seen = v if v is not None else seen
+            assert got[key, o] == seen
+
+
 def drifting(state, v):
     """A machine that never forgets: every partition depends on all before it."""
     state = (state * 31 + v) % 1_000_003

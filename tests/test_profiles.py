@@ -262,6 +262,18 @@ def test_prefixes(spark):
     assert got == [("ab", 1), ("ab", 2), ("abcdefgh", 1)]
 
 
+def test_nested_prefixes_over_partitions(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 9))) for _ in range(1500)] + ["abab" + "b" * 300] * 700 + [None]
+    asked = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 6))) for _ in range(60)] + ["abab" + "b" * 290, "abab", None, "z"]
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, n int").repartition(5)
+    lookups = spark.createDataFrame([(p, j) for j, p in enumerate(asked)], "p string, j int").repartition(3)
+    got = sorted((r.p, r.j, r.n) for r in R.prefix_join(lookups, table, "p", "key").collect())
+    assert got == sorted((p, j, i) for j, p in enumerate(asked) if p for i, k in enumerate(keys) if k and k.startswith(p))
+    assert R.prefix_join(lookups.where("j < 0"), table, "p", "key").count() == 0
+    assert R.prefix_join(lookups, table.where("n < 0"), "p", "key").columns == ["p", "j", "key", "n"]
+
+
 def test_no_response(spark):
     rows = spark.createDataFrame([(None, None, None), ("x", None, 404)], "c string, e string, s int")
     got = [r[0] for r in rows.select(A.fetch_diagnosis(F.col("c"), F.col("e"), F.col("s"))).collect()]
