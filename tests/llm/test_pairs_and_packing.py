@@ -1,8 +1,11 @@
 import hashlib
 import random
+import time
+import tracemalloc
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +100,40 @@ def test_contamination_equals_brute_force(spark, documents, sample):
     assert match == {(1, 1, 11)}
 
 
+def test_contamination_with_windows_that_items_share():
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 25)))) for i in range(8)]
+        items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(0, 9)))) for i in range(12)]
+        needles = decontaminate.Needles(items, 4)
+        data, rows = decontaminate.text_bytes(pa.array([t for _, t in texts], pa.large_string()))
+        out = decontaminate._shard(data, rows, needles, pa.array(range(8)), True).to_pylist()
+        want = brute.contaminated(texts, items, 4)
+        for r in out:
+            n, h, found = want[r["doc_id"]]
+            words = texts[r["doc_id"]][1].split()
+            assert (r["n_words"], sum(s["to"] - s["from"] for s in r["spans"])) == (n, h)
+            assert sorted(map(str, r["items"])) == sorted({str(m["item_id"]) for m in r["matches"]}) == list(found)
+            for m in r["matches"]:
+                piece = words[m["at"] : m["at"] + m["words"]]
+                its = items[m["item_id"]][1].split()
+                assert any(its[k : k + len(piece)] == piece for k in range(len(its)))
+
+
+def test_contamination_is_linear_in_shared_windows():
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, f"{shared} tail{i}") for i in range(4000)]
+    needles = decontaminate.Needles(items)
+    data, rows = decontaminate.text_bytes(pa.array([f"{shared} x " * 4000], pa.large_string()))
+    tracemalloc.start()
+    begin = time.monotonic()
+    out = decontaminate._shard(data, rows, needles, pa.array([1]), False)
+    took, peak = time.monotonic() - begin, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out.column("items")[0]) == 4000 and out.column("n_words")[0].as_py() == 44000
+    assert took < 10 and peak < 300 << 20
+
+
 def test_contamination_in_blocks(spark, documents, sample, monkeypatch):
     items = [(i, t) for i, t in ITEMS]
     table = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
