@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -133,11 +134,30 @@ def split_large(c: Column, limit: int, strict: bool = False) -> Column:
 
 
 def _pack_step(limit: int):
-    def step(state, tokens):
-        used = state + tokens if state >= 0 else tokens
-        opens = state < 0 or used > limit
-        used = tokens if opens else used
-        return used, (1 if opens else 0,)
+    """Next fit over a batch: one step of the loop for each chunk, not for each piece.
+
+    The state is the token sum of the open chunk, negative before a site's first piece.
+    """
+
+    def step(state, new, tokens):
+        tokens = tokens.to_numpy().astype(np.int64)
+        n = len(tokens)
+        if new[0]:
+            state = -1
+        sums = np.concatenate([[0], np.cumsum(tokens)])
+        begins = np.append(np.flatnonzero(new), n)
+        end = begins[np.searchsorted(begins, np.arange(n), side="right")]
+        # First piece over the limit counted from each piece on; a new site opens a chunk anyway.
+        over = np.searchsorted(sums[1:], sums[:-1] + limit, side="right")
+        following = np.minimum(np.maximum(over, np.arange(n) + 1), end)
+        at = 0 if state < 0 else min(int(np.searchsorted(sums[1:], limit - state, side="right")), int(end[0]))
+        opens = np.zeros(n, np.int64)
+        last = -1
+        while at < n:
+            opens[at] = 1
+            last, at = at, following[at]
+        used = int(sums[n] - sums[last]) if last >= 0 else state + int(sums[n])
+        return used, [opens]
 
     return step
 
@@ -149,7 +169,7 @@ def page_packing(pieces: DataFrame, limit: int, order: tuple[str, ...] = ("page_
     piece would take its token sum over the limit.
     """
     ordered = range_sorted(pieces.select("site", *order, "tokens"), ["site"], list(order))
-    opened = ordered_scan(ordered, ["site"], ["tokens"], _pack_step(limit), -1, "opens int")
+    opened = ordered_scan(ordered, ["site"], ["tokens"], _pack_step(limit), -1, "opens int", batched=True)
     numbered = running_totals(opened, ["site"], list(order), {"chunk_no": F.col("opens")})
     return numbered.select("site", *order, "tokens", F.col("chunk_no").cast("long"))
 

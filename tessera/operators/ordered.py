@@ -27,6 +27,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
@@ -140,6 +141,7 @@ def earlier_values(ordered: DataFrame, keys: Sequence[str], order: Sequence[str]
 
 
 Step = Callable[..., tuple[Any, tuple]]
+BatchStep = Callable[..., tuple[Any, list]]
 
 
 def _values(column: pd.Series) -> list:
@@ -149,6 +151,34 @@ def _values(column: pd.Series) -> list:
     return column.tolist()
 
 
+def _key_changes(pdf: pd.DataFrame, keys, before) -> np.ndarray:
+    """Whether a key begins at each row; ``before`` is the key of the last row before, None at the start."""
+    new = np.zeros(len(pdf), bool)
+    for k in keys:
+        values, missing = pdf[k].to_numpy(), pdf[k].isna().to_numpy()
+        differ = values[1:] != values[:-1]
+        new[1:] |= (differ | missing[1:] | missing[:-1]) & ~(missing[1:] & missing[:-1])
+    new[0] = before is not None and before != _row_key(pdf, keys, 0)
+    return new
+
+
+def _row_key(pdf: pd.DataFrame, keys, at: int) -> tuple:
+    return tuple(_values(pdf[k].iloc[[at]])[0] for k in keys)
+
+
+def _each_row(step: Step, start: Any) -> BatchStep:
+    """A step for one row at a time as a step for a batch."""
+
+    def run(state, new, *columns):
+        outputs = []
+        for begins, values in zip(new.tolist(), zip(*[_values(c) for c in columns])):
+            state, out = step(start if begins else state, *values)
+            outputs.append(out)
+        return state, list(zip(*outputs))
+
+    return run
+
+
 def _walk(batches, keys, inputs, step, start, entries, on_batch):
     """Fold the rows of one partition; ends with (part, entered, state).
 
@@ -161,18 +191,10 @@ def _walk(batches, keys, inputs, step, start, entries, on_batch):
             continue
         if part is None:
             part = int(pdf[PART].iloc[0])
-        row_keys = zip(*[_values(pdf[k]) for k in keys])
-        row_inputs = zip(*[_values(pdf[c]) for c in inputs])
-        outputs = []
-        for row_key, values in zip(row_keys, row_inputs):
-            if row_key != key:
-                if key is None:
-                    state = entered = entries.get(part, start)
-                else:
-                    state = start
-                key = row_key
-            state, out = step(state, *values)
-            outputs.append(out)
+            state = entered = entries.get(part, start)
+        new = _key_changes(pdf, keys, key)
+        key = _row_key(pdf, keys, -1)
+        state, outputs = step(state, new, *[pdf[c] for c in inputs])
         if on_batch is not None:
             yield on_batch(pdf, outputs)
     if part is not None and on_batch is None:
@@ -249,20 +271,24 @@ def ordered_scan(
     step: Step,
     start: Any,
     outputs: str,
+    batched: bool = False,
 ) -> DataFrame:
     """Add the outputs of a state machine that runs over each key in order.
 
     ``step(state, *inputs) -> (state, outputs)`` must be a plain function of its
     arguments; states are compared with ``==``. ``outputs`` is a DDL string.
-    What reaches the driver is one small row per partition.
+    A ``batched`` step takes many rows at once, ``step(state, new, *columns) -> (state,
+    output columns)``: ``state`` is that of the key of the first row, and ``new`` says where
+    later keys begin, each from ``start``. What reaches the driver is one small row per
+    partition.
     """
     keys, inputs = list(keys), list(inputs)
+    step = step if batched else _each_row(step, start)
     _, arrivals = settled(ordered, keys, inputs, step, start)
     names = [field.strip().split(" ")[0] for field in outputs.split(",")]
 
     def label(pdf, rows):
-        added = list(zip(*rows))
-        return pdf.assign(**{n: list(v) for n, v in zip(names, added)})
+        return pdf.assign(**{n: list(v) for n, v in zip(names, rows)})
 
     def run(batches):
         yield from _walk(batches, keys, inputs, step, start, arrivals, label)

@@ -3,6 +3,8 @@
 import random
 import sys
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -200,3 +202,41 @@ def test_fold_over_many_tiny_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert {r.k: r.s for r in out} == {k: "".join(f",{v}" for *_, v in g) for k, g in by_key(rows).items()}
+
+
+def test_packing_batches_equal_one_row_at_a_time():
+    rng = random.Random(12)
+    for _ in range(300):
+        limit = rng.choice([0, 3, 10, 40])
+        rows = [(rng.choice("ab"), rng.choice([0, 0, 1, 5, 11, 60])) for _ in range(rng.randrange(1, 40))]
+        rows.sort(key=lambda r: r[0])
+        want, used, before = [], -1, None
+        for site, tokens in rows:
+            opens = site != before or used + tokens > limit
+            used, before = (tokens if opens else used + tokens), site
+            want.append(int(opens))
+        step, state, got, at, before = C._pack_step(limit), -1, [], 0, None
+        while at < len(rows):
+            batch = rows[at : at + rng.randrange(1, 9)]
+            new = [before is not None and batch[0][0] != before] + [a[0] != b[0] for a, b in zip(batch, batch[1:])]
+            state, (opens,) = step(state, np.array(new), pd.Series([t for _, t in batch]))
+            got += opens.tolist()
+            at, before = at + len(batch), batch[-1][0]
+        assert got == want and state == used
+
+
+def test_packing_of_missing_sites_and_small_batches(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice([None, "hot", "hot", "hot", "x"]), i, rng.choice([0, 3, 7, 30])) for i in range(900)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pieces = spark.createDataFrame(rows, "site string, page_ord long, tokens long")
+        got = {r.page_ord: r.chunk_no for r in C.page_packing(pieces, 25).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    for _, group in by_key(rows).items():
+        used, chunk = 99, 0
+        for _, place, tokens in group:
+            used, chunk = (tokens, chunk + 1) if used + tokens > 25 else (used + tokens, chunk)
+            assert got[place] == chunk
