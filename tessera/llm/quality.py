@@ -1,9 +1,11 @@
 """Quality by votes of the nearest labelled documents in a latent semantic space.
 
-A document is a bag of shape terms: triples of character kinds (lower, upper, digit,
+A document is a bag of shape terms, triples of character kinds (lower, upper, digit,
 space, line end, letter beyond ASCII, and every punctuation mark for itself) and counts
-of repeated neighbours. The terms of a bounded labelled sample are weighted and
-decomposed; the leading right singular vectors are the latent space. The sample's
+of repeated neighbours, and of word terms, its words and pairs of words hashed into a
+fixed number of buckets. The terms of a bounded labelled sample are weighted, each of the
+two bags to its share of the length, and decomposed; the leading right singular vectors
+are the latent space. The sample's
 vectors are broadcast, every document's cosine to all of them is computed exactly, a
 block of documents at a time, and the nearest vote with their similarity as weight.
 """
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import in_part, only
 from tessera.llm.samples import labelled
-from tessera.llm.words import Words, slices
+from tessera.llm.words import ALPHANUMERIC, Words, gram_hashes, slices
 
 #: Labelled documents to learn from, size of the space, and voters.
 SAMPLE = 4000
@@ -42,11 +44,15 @@ _KIND[_marks] = 7 + np.arange(len(_marks))
 _KINDS = 7 + len(_marks)
 SHAPES = _KINDS**3
 LAGS = 4
-TERMS = SHAPES + LAGS
+#: Words and pairs of words go into 2**WORD_BITS buckets each; their bag has this length beside the shapes' one.
+WORD_BITS = 12
+WORD_SHARE = 0.6
+FIRST_WORD = SHAPES + LAGS
+TERMS = FIRST_WORD + 2 * (1 << WORD_BITS)
 
 
 def term_counts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shape terms of each row: row, term and count, ordered by row."""
+    """Shape and word terms of each row: row, term and count, ordered by row."""
     n = len(rows) - 1
     kind = _KIND[data]
     shape = (kind[:-2] * _KINDS + kind[1:-1]) * _KINDS + kind[2:] if len(kind) > 2 else kind[:0]
@@ -62,6 +68,15 @@ def term_counts(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
         at = np.flatnonzero(repeats)
         more_keys.append(at * TERMS + SHAPES + lag - 1)
         more_counts.append(repeats[at])
+    plain = Words(data, rows, ALPHANUMERIC)
+    words, of = plain.hashes(), plain.row_of()
+    pairs = gram_hashes(words, 2)
+    inside = of[: len(pairs)] == of[1 : 1 + len(pairs)]
+    for i, (row, hashed) in enumerate([(of, words), (of[: len(pairs)][inside], pairs[inside])]):
+        bucket = (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        keys, counts = np.unique(row * TERMS + FIRST_WORD + (i << WORD_BITS) + bucket, return_counts=True)
+        more_keys.append(keys)
+        more_counts.append(counts)
     keys, counts = np.concatenate(more_keys), np.concatenate(more_counts)
     order = np.argsort(keys, kind="stable")
     return keys[order] // TERMS, keys[order] % TERMS, counts[order]
@@ -76,6 +91,7 @@ class LatentVotes:
         self.prior = float(labels.mean()) if len(labels) else 0.5
         seen = np.concatenate([t for t, _ in docs] + [np.zeros(0, np.int64)]).astype(np.int64)
         self.terms, frequency = np.unique(seen, return_counts=True)
+        self.n_shapes = int(np.searchsorted(self.terms, FIRST_WORD))
         self.place = np.full(TERMS, -1, np.int32)
         self.place[self.terms] = np.arange(len(self.terms))
         self.weight = (np.log((1 + len(docs)) / (1 + frequency)) + 1).astype(np.float32)
@@ -104,6 +120,8 @@ class LatentVotes:
         known = at >= 0
         out = np.zeros((n, len(self.terms)), np.float32)
         out[row[known], at[known]] = np.log1p(count[known]) * self.weight[at[known]]
+        out[:, : self.n_shapes] = self._unit(out[:, : self.n_shapes])
+        out[:, self.n_shapes :] = self._unit(out[:, self.n_shapes :]) * np.float32(WORD_SHARE)
         return self._unit(out)
 
     def scores(self, n: int, row: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -143,7 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 ).select(["label", "terms", "counts"])
 
     found = labelled(docs, labels, label, sample).select("label", "text").mapInArrow(run, "label int, terms array<int>, counts array<bigint>")
-    rows = found.collect()
+    # Whatever order the rows come in, equal similarities are settled the same way.
+    rows = sorted(found.collect(), key=tuple)
     return LatentVotes([(np.array(r[1], np.int64), np.array(r[2], np.int64)) for r in rows], np.array([r[0] for r in rows], np.float64))
 
 
@@ -151,10 +170,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted.
 
     held_out is crc32(doc_id as text) mod 5 = 0 (false for a null id). A null or empty
-    text, or one of fewer than three bytes, is near to nothing and scores the share of
+    text, or one without a term of the sample, is near to nothing and scores the share of
     label 1 in the sample; so does everything when no labelled row exists (then 0.5).
-    Repeated rows give repeated rows, no documents none; of ties in similarity any may
-    vote. Only doc_id and text of ``docs`` are read.
+    Repeated rows give repeated rows, no documents none; of ties in similarity the first in
+    the sample vote, which is ordered by label and terms. Only doc_id and text of ``docs`` are read.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -172,7 +191,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with their columns.
+
+    Null and empty texts score the sample's share of label 1; repeated rows are judged each
+    for itself, and no documents give none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 

@@ -1,8 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,36 @@ def test_marks_beyond_ascii_separate_words():
         assert (row[0] > 0, row[1] > 0) == (kind == "plain", kind == "quoted"), text
     assert len(toxicity.latin(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0]) == 0
     assert [int(b) for b in toxicity.latin(np.frombuffer(b"\xc3\xe2\x80", np.uint8), np.array([0, 1, 3]))[1]] == [0, 1, 3]
+
+
+def test_quality_reads_words(spark, documents):
+    """Junk of the same shape as prose, all lower-case words of five letters, is told apart by its words."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(120)]
+    rows = []
+    for i in range(500):
+        vocabulary = words[:70] if i % 2 else words[50:]
+        rows.append((i, ". ".join(" ".join(rng.choice(vocabulary) for _ in range(8)) for _ in range(6))))
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    held = quality.quality_scores(documents(rows), labels).filter("held_out").collect()
+    assert len(held) > 50
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
+
+
+def test_term_counts_equal_a_plain_count():
+    texts = ["", "Ab ab AB", "a", "x y x y, x", "É é  e"]
+    data, rows = quality_bytes(texts)
+    row, term, count = quality.term_counts(data, rows)
+    word = term >= quality.FIRST_WORD
+    pair = term >= quality.FIRST_WORD + (1 << quality.WORD_BITS)
+    for i, text in enumerate(texts):
+        plain = [w for w in brute.ALNUM.findall(text.translate(brute.FOLD))]
+        assert count[(row == i) & word & ~pair].sum() == len(plain)
+        assert sorted(count[(row == i) & word & ~pair]) == sorted(plain.count(w) for w in set(plain))
+        assert count[(row == i) & pair].sum() == max(0, len(plain) - 1)
+        assert count[(row == i) & ~word & (term < quality.SHAPES)].sum() == max(0, len(text.encode()) - 2)
+
+
+def quality_bytes(texts):
+    coded = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
