@@ -89,7 +89,7 @@ class LatentVotes:
         """``docs`` holds terms and counts of each labelled document."""
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
-        seen = np.concatenate([t for t, _ in docs] + [np.zeros(0, np.int64)]).astype(np.int64)
+        seen = np.concatenate([t for t, _ in docs] + [np.zeros(0, np.int32)])
         self.terms, frequency = np.unique(seen, return_counts=True)
         self.n_shapes = int(np.searchsorted(self.terms, FIRST_WORD))
         self.place = np.full(TERMS, -1, np.int32)
@@ -99,16 +99,27 @@ class LatentVotes:
         if not len(docs) or not len(self.terms):
             self.vectors = np.zeros((len(docs), 1), np.float32)
             return
-        row = np.repeat(np.arange(len(docs)), [len(t) for t, _ in docs])
-        matrix = self._matrix(len(docs), row, seen, np.concatenate([c for _, c in docs]))
-        k = min(latent, *matrix.shape)
-        probe = np.random.default_rng(5).standard_normal((matrix.shape[1], min(k + 16, matrix.shape[1]))).astype(np.float32)
-        basis = matrix @ probe
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t, _ in docs])])
+        counts = np.concatenate([c for _, c in docs])
+
+        def parts():
+            """The weighted sample, a block of rows at a time: as a whole it would be hundreds of megabytes."""
+            for first in range(0, len(docs), BLOCK):
+                last = min(len(docs), first + BLOCK)
+                row = np.repeat(np.arange(last - first), np.diff(bounds[first : last + 1]))
+                yield slice(first, last), self._matrix(last - first, row, seen[bounds[first] : bounds[last]], counts[bounds[first] : bounds[last]])
+
+        times = lambda right: np.concatenate([m @ right for _, m in parts()])
+        under = lambda left: sum(m.T @ left[at] for at, m in parts())
+        shape = len(docs), len(self.terms)
+        k = min(latent, *shape)
+        probe = np.random.default_rng(5).standard_normal((shape[1], min(k + 16, shape[1]))).astype(np.float32)
+        basis = times(probe)
         for _ in range(4):
-            basis, _ = np.linalg.qr(matrix @ (matrix.T @ basis))
-        _, _, right = np.linalg.svd(basis.T @ matrix, full_matrices=False)
+            basis, _ = np.linalg.qr(times(under(basis)))
+        _, _, right = np.linalg.svd(under(basis).T, full_matrices=False)
         self.axes = np.ascontiguousarray(right[:k].T)
-        self.vectors = self._unit(matrix @ self.axes)
+        self.vectors = self._unit(times(self.axes))
 
     @staticmethod
     def _unit(m: np.ndarray) -> np.ndarray:
@@ -149,21 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         for batch in batches:
             for rows, data, bounds in slices(batch, "text", RUN):
                 row, term, count = term_counts(data, bounds)
-                cut = np.searchsorted(row, np.arange(rows.num_rows + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(term.astype(np.int32))),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(count.astype(np.int64))),
-                        rows.column(1),
-                    ],
-                    ["label", "terms", "counts", "text"],
-                ).select(["label", "terms", "counts"])
-
-    found = labelled(docs, labels, label, sample).select("label", "text").mapInArrow(run, "label int, terms array<int>, counts array<bigint>")
+                cut = np.searchsorted(row, np.arange(1, rows.num_rows))
+                # Big-endian numbers: their bytes sort as the numbers do.
+                term, count = (pa.array([x.tobytes() for x in np.split(v.astype(">i4"), cut)], pa.binary()) for v in (term, count))
+                yield pa.RecordBatch.from_arrays([rows.column(0), term, count], ["label", "terms", "counts"])
+
+    found = labelled(docs, labels, label, sample).select("label", "text").mapInArrow(run, "label int, terms binary, counts binary")
     # Whatever order the rows come in, equal similarities are settled the same way.
     rows = sorted(found.collect(), key=tuple)
-    return LatentVotes([(np.array(r[1], np.int64), np.array(r[2], np.int64)) for r in rows], np.array([r[0] for r in rows], np.float64))
+    numbers = lambda v: np.frombuffer(v, ">i4").astype(np.int32)
+    return LatentVotes([(numbers(r[1]), numbers(r[2])) for r in rows], np.array([r[0] for r in rows], np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
