@@ -211,3 +211,34 @@ def test_term_counts_equal_a_plain_count():
 def quality_bytes(texts):
     coded = [t.encode() for t in texts]
     return np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+
+
+def test_votes_equal_plain_cosines():
+    """With as many axes as terms the latent cosines are the plain ones; the sample spans several blocks."""
+    rng = np.random.default_rng(3)
+    terms = np.concatenate([np.arange(12), quality.FIRST_WORD + np.arange(10)])
+    docs, labels = [], rng.integers(0, 2, 700).astype(np.float64)
+    for _ in labels:
+        own = np.sort(rng.choice(terms, 9, replace=False)).astype(np.int32)
+        docs.append((own, rng.integers(1, 5000, 9).astype(np.int32)))
+    model = quality.LatentVotes(docs, labels)
+    has = {t: sum(t in own for own, _ in docs) for t in terms.tolist()}
+
+    def vector(own, counts):
+        parts = []
+        for wanted, length in ((terms < quality.FIRST_WORD, 1.0), (terms >= quality.FIRST_WORD, quality.WORD_SHARE)):
+            given = dict(zip(own.tolist(), counts.tolist()))
+            part = np.array([math.log1p(given.get(t, 0)) * (math.log(701 / (1 + has[t])) + 1) for t in terms[wanted].tolist()])
+            parts.append(part / max(np.linalg.norm(part), 1e-12) * length)
+        whole = np.concatenate(parts)
+        return whole / np.linalg.norm(whole)
+
+    plain = np.array([vector(*d) for d in docs])
+    asked = docs[::7]
+    row = np.repeat(np.arange(len(asked)), 9)
+    scores = model.scores(len(asked), row, np.concatenate([t for t, _ in asked]), np.concatenate([c for _, c in asked]))
+    for score, given in zip(scores, asked):
+        near = plain @ vector(*given)
+        best = np.argsort(-near)[: quality.NEIGHBOURS]
+        weight = np.maximum(near[best], 0) ** 8
+        assert abs(score - (weight * labels[best]).sum() / weight.sum()) < 2e-3
