@@ -111,9 +111,25 @@ FROM events GROUP BY ALL
 """
 
 
-@query("cache_hit_rate", f"SELECT CAST(sum(repeats) AS BIGINT) AS hits, count(*) AS misses, sum(repeats) / sum(requests) AS hit_rate FROM ({SQL_RATES})")
+# Shared fetches as a recursive walk over the numbered requests of each key.
+SQL_SHARED = """
+WITH RECURSIVE a AS (SELECT user_id || ':' || event_type AS k, event_id AS call_id, epoch_us(ts) // 30 AS t_us, value > 10 AS has,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 30, event_id) AS rn FROM events),
+w AS (
+  SELECT k, CAST(0 AS BIGINT) AS rn, CAST(-1 AS BIGINT) AS call_id, CAST(-1 AS BIGINT) AS made, FALSE AS is_hit, CAST(0 AS BIGINT) AS answered FROM (SELECT DISTINCT k FROM a)
+  UNION ALL
+  SELECT k, rn, call_id, CASE WHEN hit THEN made WHEN has THEN t_us ELSE -1 END, hit, CASE WHEN hit THEN made ELSE t_us END
+  FROM (SELECT a.*, w.made, w.made >= 0 AND a.t_us - w.made <= 3600000000 AS hit FROM w JOIN a ON a.k = w.k AND a.rn = w.rn + 1))
+SELECT k AS key, call_id, is_hit, answered AS answered_by_us FROM w WHERE rn > 0
+"""
+
+
+@query(
+    "cache_hit_rate",
+    f"SELECT count(*) FILTER (is_hit) AS hits, count(*) FILTER (NOT is_hit) AS misses, count(*) FILTER (is_hit) / count(*) AS hit_rate FROM ({SQL_SHARED})",
+)
 def cache_hit_rate(t: Tables):
-    return M.cache_hit_rate(M.repeat_request_rate(requests(t.events)))
+    return M.cache_hit_rate(M.request_coalesce(requests(t.events)))
 
 
 # Outages as islands between gaps.

@@ -240,3 +240,31 @@ def test_packing_of_missing_sites_and_small_batches(spark):
         for _, place, tokens in group:
             used, chunk = (tokens, chunk + 1) if used + tokens > 25 else (used + tokens, chunk)
             assert got[place] == chunk
+
+
+def test_answers_of_a_hot_key_are_shared_from_their_making(spark):
+    """A repeat just over the full hour is a hit, one over the time is not, and empty answers are not kept."""
+    ttl, hour = M.FETCH_TTL_US, 3_600_000_000
+    state, out = M.fetch_step(M.FETCH_START, 0, True)
+    assert (state, out) == (0, (False, 0))
+    assert M.fetch_step(state, ttl, True) == (0, (True, 0))
+    assert M.fetch_step(state, ttl + 1, False) == (M.FETCH_START, (False, ttl + 1))
+    rng = random.Random(7)
+    rows = [("a", hour - 5, 0, True), ("a", hour + 5, 1, True), ("a", 2 * hour - 5, 2, False), ("a", 2 * hour + 5, 3, False), ("a", 2 * hour + 6, 4, True)]
+    now = 0
+    for i in range(5, 2500):
+        now += rng.choice([1, hour // 9, hour // 2])
+        rows.append(("hot" if rng.random() < 0.7 else f"k{rng.randrange(5)}", now, i, rng.random() < 0.6))
+    want, made = {}, {}
+    for key, t, call, has in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        want[call] = hit = key in made and t - made[key] <= ttl
+        if not hit:
+            made.pop(key, None)
+            if has:
+                made[key] = t
+    assert [want[i] for i in range(5)] == [False, True, True, False, False]
+    df = spark.createDataFrame(rows, "key string, t_us long, call_id long, has_results boolean").repartition(5)
+    assert {r.call_id: r.is_hit for r in M.request_coalesce(df).collect()} == want
+    total = M.cache_hit_rate(M.request_coalesce(df)).first()
+    assert (total.hits, total.misses) == (sum(want.values()), len(want) - sum(want.values()))
+    assert total.hit_rate == sum(want.values()) / len(want)
