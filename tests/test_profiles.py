@@ -333,3 +333,17 @@ def test_best_supported_value(spark):
 def test_page_ranks(spark):
     urls = ["https://x/quem-somos", "https://x/fale/contato?sobre", "https://x", "https://x/#sobre", "https://x/Servicos/a", "https://x/blog", None]
     assert values(spark, urls, lambda c: F.coalesce(O.page_rank(c), F.lit(0))) == [1, 2, 3, 3, 4, 5, 5]
+
+
+def test_texts_that_are_not_held_are_not_searched_for(monkeypatch):
+    """Thousands of texts that share their inner words: a search reads the whole joined text."""
+    searched = []
+    monkeypatch.setattr(V.JoinedText, "_holds", lambda self, low: searched.append(low) or low.encode() in self.low)
+    held = V.JoinedText()
+    texts = [f"{i * 7919:032x} {'pt en es fr'.split()[i % 4]} {i % 5}" for i in range(3000)]
+    for text in texts:
+        held.add(text)
+    assert len(searched) < 300 and len(held.text) > 90_000
+    before = held.text
+    for text in (texts[700], texts[1500][-9:] + ". " + texts[1501][:20]):
+        assert text in before and held.add(text).text == before
