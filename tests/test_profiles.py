@@ -347,3 +347,18 @@ def test_texts_that_are_not_held_are_not_searched_for(monkeypatch):
     before = held.text
     for text in (texts[700], texts[1500][-9:] + ". " + texts[1501][:20]):
         assert text in before and held.add(text).text == before
+
+
+def test_profiles_of_few_companies_are_ranked_where_they_lie(spark):
+    """The bases are few and written, so the planner does not shuffle the profiles to them."""
+    profile = F.from_json(F.concat(F.lit('{"identity": {"description": "'), F.repeat(F.lit("word "), 400), F.col("id"), F.lit('"}}')), S.PROFILE)
+    partials = spark.range(3000, numPartitions=4).select((F.col("id") % 3).cast("string").alias("cnpj_basico"), F.col("id").alias("ord"), profile.alias("profile"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 20_000)
+    try:
+        ranked = P.ranked_profiles(partials)
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert ranked.where("not turn.later").count() == 3 and ranked.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
