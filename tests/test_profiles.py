@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import values
+import __spark_entry__ as entry
 from tessera import schemas as S
 from tessera.functions import answers as N, facts as X, profile as V
 from tessera.operators import access as A, discovery, facts as O, models as M, monitoring as Q, profiles as P
@@ -362,3 +363,9 @@ def test_profiles_of_few_companies_are_ranked_where_they_lie(spark):
         assert ranked.where("not turn.later").count() == 3 and ranked.count() == 3000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_evidence_reads_its_facts_once(spark):
+    """Identity and list fields take the same written routes; the documents are not routed twice."""
+    out = entry.queries()["evidence_map"](spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "documents" in f]
