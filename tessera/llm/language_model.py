@@ -33,12 +33,14 @@ MODULUS, HELD_OUT = 7, 2
 OWN_CLASS = 24
 ENDINGS = 40
 CLASSES = OWN_CLASS + ENDINGS
-#: Rows of the weight table, and features of a history.
+#: Rows of the weight table (at most 16 bits), and features of a history.
 FEATURE_BITS = 14
 FEATURES = 4
 ROUNDS = 3
 BATCH = 8192
 RATE = 0.15
+#: Rows of a feature in a batch up to which they are added with those of the other features.
+SHORT_RUN = 16
 #: The table travels in this many pieces.
 PIECES = 16
 
@@ -107,16 +109,40 @@ class Tokens:
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
+    out = weights.take(rows[:, 0], axis=0)
     for k in range(1, FEATURES):
-        out += weights[rows[:, k]]
+        out += weights.take(rows[:, k], axis=0)
     out += bias
     return out
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Probabilities, in place of the logits."""
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=1, keepdims=True)
+    return logits
+
+
+def _log_softmax_at(logits: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax at one class a row; the logits are used up."""
+    logits -= logits.max(axis=1, keepdims=True)
+    at = logits[np.arange(len(logits)), classes]
+    return at - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
+def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows`` that start at ``begin``; most runs are short, and added row by row for all at once."""
+    sizes = np.diff(begin, append=len(rows))
+    out = rows.take(begin, axis=0)
+    for i in np.flatnonzero(sizes > SHORT_RUN):
+        rows[begin[i] : begin[i] + sizes[i]].sum(axis=0, out=out[i])
+    short = np.flatnonzero((sizes > 1) & (sizes <= SHORT_RUN))
+    short = short[np.argsort(-sizes[short], kind="stable")]
+    for j in range(1, SHORT_RUN):
+        longer = short[: np.searchsorted(-sizes[short], -j)]
+        out[longer] += rows.take(begin[longer] + j, axis=0)
+    return out
 
 
 class ClassModel:
@@ -131,22 +157,22 @@ class ClassModel:
         out = np.empty(len(classes))
         for a in range(0, len(classes), BATCH):
             b = a + BATCH
-            found = _log_softmax(_logits(self.weights, self.bias, rows[a:b]))
-            out[a:b] = found[np.arange(len(found)), classes[a:b]]
+            out[a:b] = _log_softmax_at(_logits(self.weights, self.bias, rows[a:b]), classes[a:b])
         return out
 
     def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
         """One pass of AdaGrad over the tokens of a block."""
         for a in range(0, len(classes), BATCH):
             b = a + BATCH
-            gradient = np.exp(_log_softmax(_logits(self.weights, self.bias, rows[a:b])))
+            gradient = _softmax(_logits(self.weights, self.bias, rows[a:b]))
             gradient[np.arange(len(gradient)), classes[a:b]] -= 1
             for k in range(FEATURES):
-                order = np.argsort(rows[a:b, k], kind="stable")
+                # Numbers of 16 bits are sorted by radix.
+                order = np.argsort(rows[a:b, k].astype(np.uint16), kind="stable")
                 ordered = rows[a:b, k][order]
                 begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
                 where = ordered[begin]
-                total = np.add.reduceat(gradient[order], begin, axis=0)
+                total = _run_sums(gradient.take(order, axis=0), begin)
                 squares[where] += (total * total).mean(axis=1)
                 self.weights[where] -= RATE * total / np.sqrt(squares[where] + 1.0)[:, None]
 

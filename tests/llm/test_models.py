@@ -242,3 +242,32 @@ def test_votes_equal_plain_cosines():
         best = np.argsort(-near)[: quality.NEIGHBOURS]
         weight = np.maximum(near[best], 0) ** 8
         assert abs(score - (weight * labels[best]).sum() / weight.sum()) < 2e-3
+
+
+def test_language_model_learns_by_sums_of_runs():
+    """Runs of all lengths, and one step of AdaGrad, against plain loops."""
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 2, language_model.SHORT_RUN, language_model.SHORT_RUN + 1, 1, 700, 3])
+    rows = rng.normal(size=(sizes.sum(), 5)).astype(np.float32)
+    begin = np.cumsum(sizes) - sizes
+    plain = [rows[b : b + n].astype(float).sum(axis=0) for b, n in zip(begin, sizes)]
+    assert np.allclose(language_model._run_sums(rows, begin), plain, atol=1e-4)
+
+    n = 300
+    features = np.minimum(rng.zipf(1.5, (n, language_model.FEATURES)), (1 << language_model.FEATURE_BITS) - 1).astype(np.int32)
+    classes = rng.integers(0, language_model.CLASSES, n)
+    model, squares = language_model.ClassModel(rng.normal(size=language_model.CLASSES)), np.zeros(1 << language_model.FEATURE_BITS, np.float32)
+    model.learn(features, classes, squares)
+    weights, seen = np.zeros((1 << language_model.FEATURE_BITS, language_model.CLASSES)), np.zeros(1 << language_model.FEATURE_BITS)
+    bias = model.bias.astype(float)
+    error = np.tile(np.exp(bias) / np.exp(bias).sum(), (n, 1))
+    error[np.arange(n), classes] -= 1
+    for k in range(language_model.FEATURES):
+        for f in np.unique(features[:, k]):
+            total = error[features[:, k] == f].sum(axis=0)
+            seen[f] += (total**2).mean()
+            weights[f] -= language_model.RATE * total / np.sqrt(seen[f] + 1)
+    assert np.allclose(model.weights, weights, atol=1e-4) and np.allclose(squares, seen, rtol=1e-3)
+    logits = model.weights[features].sum(axis=1) + model.bias
+    whole = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    assert np.allclose(model.log_probability(features, classes), whole[np.arange(n), classes], atol=1e-4)
