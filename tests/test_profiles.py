@@ -369,3 +369,41 @@ def test_evidence_reads_its_facts_once(spark):
     """Identity and list fields take the same written routes; the documents are not routed twice."""
     out = entry.queries()["evidence_map"](spark, "/root/testdata/sf0.001")
     assert not [f for f in out.inputFiles() if "documents" in f]
+
+
+def test_united_lists_against_a_plain_pass(spark):
+    """Equal names in one profile, blanks, values that differ in white space, and places at the ends of 64 bits."""
+    rng = random.Random(8)
+    values_of = lambda: [rng.choice(["", " "]) + rng.choice(["a", "b", "c d", "", "é"]) + rng.choice(["", "\t", str(rng.randrange(9))]) for _ in range(rng.randrange(6))]
+    rows, plain = [], {}
+    for c in "xy":
+        for at, ord_ in enumerate([-(2**63), -(2**63) + 1, -1, 0, 7, 2**63 - 1]):
+            cats = [{"category_name": rng.choice(["A", "B", "Geral", ""]), "items": values_of()} for _ in range(4)]
+            services = [{"name": rng.choice("NM"), "deliverables": values_of()} for _ in range(4)]
+            products = values_of() + ["filler"] * (50 if at == 3 else 0)
+            rows.append((c, ord_, profile_row(offerings={"products": products, "product_categories": cats, "service_details": services})))
+            plain.setdefault(c, []).append((at != 3, ord_, products, cats, services))
+
+    def united(lists):
+        return list(dict.fromkeys(v.strip() for items in lists for v in items if v.strip()))
+
+    got = {r.cnpj_basico: r.profile.offerings for r in P.merge_profiles(partials(spark, rows)).collect()}
+    for c, parts in plain.items():
+        parts.sort(key=lambda p: p[:2])
+        assert got[c].products == united(p[2] for p in parts)
+        names = list(dict.fromkeys(x["category_name"] for p in parts for x in p[3] if x["category_name"] in "AB" and x["category_name"]))
+        assert [(x.category_name, x["items"]) for x in got[c].product_categories] == [
+            (n, united(x["items"] for p in parts for x in p[3] if x["category_name"] == n)) for n in names
+        ]
+        names = list(dict.fromkeys(x["name"] for p in parts for x in p[4]))
+        assert [(x.name, x.deliverables) for x in got[c].service_details] == [
+            (n, united(x["deliverables"] for p in parts for x in p[4] if x["name"] == n)) for n in names
+        ]
+
+
+def test_places_of_values_are_whole_numbers(spark):
+    """No decimal is built and no text trimmed per value before repeats are gone."""
+    ranked = P.ranked_profiles(partials(spark, [("c", 1, profile_row()), ("c", 2, profile_row())]))
+    plan = P.merge_lists(ranked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan.lower()
+    assert "trim" not in plan[plan.index("Generate") :]

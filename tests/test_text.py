@@ -232,3 +232,8 @@ def test_mail_addresses_in_endless_words(spark):
     texts = ["x" * 1_000_000, "a@b" + ".c" * 100_000, "a" * 500_000 + "@" + "b" * 500_000]
     found = values(spark, texts, lambda c: F.size(F.regexp_extract_all(c, F.lit(MAIL), F.lit(0))))
     assert found == [0, 1, 0]
+
+
+def test_split_words_at_all_white_space(spark):
+    texts = ["", " ", "a", "\u3000a\u2003b ", "a\x1cb\x85c\xa0d", "!~a~!\t\n~", "é\u200bx\u2028y", *[f"{chr(n)}a{chr(n)}{chr(n)}!" for n in (9, 13, 28, 32, 133, 160, 5760, 8192, 8202, 8233, 8239, 8287, 12288, 127, 8203)], None]
+    assert values(spark, texts, T.split_words) == [None if t is None else t.split() for t in texts]
