@@ -41,6 +41,10 @@ BATCH = 8192
 RATE = 0.15
 #: Rows of a feature in a batch up to which they are added with those of the other features.
 SHORT_RUN = 16
+#: Tokens whose logits stay in a core's cache while they are worked on.
+CACHED = 1024
+#: Logits of at most this size need no maximum taken off before the exponential.
+SAFE_LOGIT = 60.0
 #: The table travels in this many pieces.
 PIECES = 16
 
@@ -108,40 +112,56 @@ class Tokens:
         return np.stack([(mix(h, 10 + k) & mask).astype(np.int32) for k, h in enumerate((one, pair, two, three))], axis=1)
 
 
-def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights.take(rows[:, 0], axis=0)
+def _logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = weights.take(rows[:, 0], axis=0, out=out, mode="clip")
     for k in range(1, FEATURES):
         out += weights.take(rows[:, k], axis=0)
     out += bias
     return out
 
 
+def _shares(logits: np.ndarray) -> np.ndarray:
+    """Sums of the exponentials of each row, which are left in place of the logits."""
+    np.exp(logits, out=logits)
+    return np.einsum("ij->i", logits)
+
+
+def _settle(logits: np.ndarray) -> np.ndarray:
+    """The logits, in place, less their row's maximum where some are too large for an exponential."""
+    if logits.size and max(logits.max(), -logits.min()) > SAFE_LOGIT:
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
+
+
 def _softmax(logits: np.ndarray) -> np.ndarray:
     """Probabilities, in place of the logits."""
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
+    total = _shares(_settle(logits))
+    logits *= (1 / total)[:, None]
     return logits
 
 
 def _log_softmax_at(logits: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Logarithm of the softmax at one class a row; the logits are used up."""
-    logits -= logits.max(axis=1, keepdims=True)
-    at = logits[np.arange(len(logits)), classes]
-    return at - np.log(np.exp(logits, out=logits).sum(axis=1))
+    at = _settle(logits)[np.arange(len(logits)), classes]
+    return at - np.log(_shares(logits))
 
 
-def _run_sums(rows: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sums of the runs of ``rows`` that start at ``begin``; most runs are short, and added row by row for all at once."""
-    sizes = np.diff(begin, append=len(rows))
-    out = rows.take(begin, axis=0)
+def _run_sums(rows: np.ndarray, begin: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the runs of ``rows``, taken in ``order``, that start at ``begin``; most runs are short, and added row by row for all at once."""
+    order = np.arange(len(rows)) if order is None else order
+    sizes = np.diff(begin, append=len(order))
+    out = rows.take(order.take(begin), axis=0)
     for i in np.flatnonzero(sizes > SHORT_RUN):
-        rows[begin[i] : begin[i] + sizes[i]].sum(axis=0, out=out[i])
+        np.add.reduce(rows.take(order[begin[i] : begin[i] + sizes[i]], axis=0), axis=0, out=out[i])
     short = np.flatnonzero((sizes > 1) & (sizes <= SHORT_RUN))
     short = short[np.argsort(-sizes[short], kind="stable")]
-    for j in range(1, SHORT_RUN):
-        longer = short[: np.searchsorted(-sizes[short], -j)]
-        out[longer] += rows.take(begin[longer] + j, axis=0)
+    if len(short):
+        # The longest come first, so those that have a row left are the beginning.
+        more, at, left = rows.take(order.take(begin[short] + 1), axis=0), begin[short], sizes[short]
+        for j in range(2, int(left[0])):
+            n = np.searchsorted(-left, -j)
+            more[:n] += rows.take(order.take(at[:n] + j), axis=0)
+        out[short] += more
     return out
 
 
@@ -155,26 +175,32 @@ class ClassModel:
     def log_probability(self, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(class | history)."""
         out = np.empty(len(classes))
-        for a in range(0, len(classes), BATCH):
-            b = a + BATCH
+        for a in range(0, len(classes), CACHED):
+            b = a + CACHED
             out[a:b] = _log_softmax_at(_logits(self.weights, self.bias, rows[a:b]), classes[a:b])
         return out
 
     def learn(self, rows: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
         """One pass of AdaGrad over the tokens of a block."""
         for a in range(0, len(classes), BATCH):
-            b = a + BATCH
-            gradient = _softmax(_logits(self.weights, self.bias, rows[a:b]))
-            gradient[np.arange(len(gradient)), classes[a:b]] -= 1
+            batch, own = rows[a : a + BATCH], classes[a : a + BATCH]
+            gradient = np.empty((len(batch), CLASSES), np.float32)
+            for c in range(0, len(batch), CACHED):
+                _softmax(_logits(self.weights, self.bias, batch[c : c + CACHED], gradient[c : c + CACHED]))
+            gradient[np.arange(len(batch)), own] -= 1
             for k in range(FEATURES):
                 # Numbers of 16 bits are sorted by radix.
-                order = np.argsort(rows[a:b, k].astype(np.uint16), kind="stable")
-                ordered = rows[a:b, k][order]
+                feature = batch[:, k].astype(np.uint16)
+                order = np.argsort(feature, kind="stable")
+                ordered = feature.take(order)
                 begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                where = ordered[begin]
-                total = _run_sums(gradient.take(order, axis=0), begin)
-                squares[where] += (total * total).mean(axis=1)
-                self.weights[where] -= RATE * total / np.sqrt(squares[where] + 1.0)[:, None]
+                where = ordered.take(begin).astype(np.intp)
+                total = _run_sums(gradient, begin, order)
+                squares[where] += np.einsum("ij,ij->i", total, total) / CLASSES
+                total *= (RATE / np.sqrt(squares[where] + 1.0))[:, None]
+                now = self.weights.take(where, axis=0)
+                now -= total
+                self.weights[where] = now
 
 
 def _asked(buckets: int):

@@ -271,3 +271,25 @@ def test_language_model_learns_by_sums_of_runs():
     logits = model.weights[features].sum(axis=1) + model.bias
     whole = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
     assert np.allclose(model.log_probability(features, classes), whole[np.arange(n), classes], atol=1e-4)
+
+
+def test_language_model_works_in_the_cache():
+    """Runs taken in another order, logits no exponential holds, and parts of a batch, against plain sums."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 1, language_model.SHORT_RUN + 5, 2, language_model.SHORT_RUN, 1])
+    begin, order = np.cumsum(sizes) - sizes, rng.permutation(sizes.sum())
+    rows = rng.normal(size=(sizes.sum(), 5)).astype(np.float32)
+    plain = [rows[order[b : b + n]].astype(float).sum(axis=0) for b, n in zip(begin, sizes)]
+    assert np.allclose(language_model._run_sums(rows, begin, order), plain, atol=1e-4)
+
+    n = language_model.CACHED * 2 + 7
+    features = rng.integers(0, 50, (n, language_model.FEATURES)).astype(np.int32)
+    classes = rng.integers(0, language_model.CLASSES, n)
+    for scale in (1, 100):
+        model = language_model.ClassModel(rng.normal(size=language_model.CLASSES))
+        model.weights[:50] = rng.normal(scale=scale, size=(50, language_model.CLASSES))
+        logits = model.weights[features].astype(float).sum(axis=1) + model.bias
+        logits -= logits.max(axis=1, keepdims=True)
+        whole = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        assert np.allclose(model.log_probability(features, classes), whole[np.arange(n), classes], rtol=1e-4, atol=1e-4)
+        assert np.allclose(language_model._softmax(language_model._logits(model.weights, model.bias, features)), np.exp(whole), atol=1e-3)

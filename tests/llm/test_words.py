@@ -40,6 +40,14 @@ def test_hashes_depend_on_the_word_only(monkeypatch):
     monkeypatch.setattr(W, "_powers", None)
 
 
+def test_hashes_are_the_same_in_any_steps(monkeypatch):
+    texts = ["some words and " + "x" * 300, "", "more " * 50, None]
+    whole = _words(texts).hashes()
+    for step in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(W, "HASH_BYTES", step)
+        assert (_words(texts).hashes() == whole).all()
+
+
 def test_windows_and_minima():
     rng = np.random.default_rng(1)
     h = rng.integers(0, 20, 200).astype(np.uint64)
