@@ -13,7 +13,7 @@ from tessera import schemas as S
 from tessera.functions import answers as N, facts as X, profile as V
 from tessera.operators import access as A, discovery, facts as O, models as M, monitoring as Q, profiles as P
 from tessera.plans.company_profile import discoveries_from_searches
-from tessera.session import scratch_folder
+from tessera.session import scratch_folder, staged
 from tessera.sources import decode as D, stores as R
 
 
@@ -190,7 +190,7 @@ def test_model_errors_reach_their_rows(spark):
 
 
 def test_upsert_keeps_the_last_update(spark):
-    from tessera.session import scratch_folder
+    from tessera.session import scratch_folder, staged
 
     folder = scratch_folder(spark, "test-upsert")
     shape = "k long, v string, ts long, tie long"
@@ -407,3 +407,24 @@ def test_places_of_values_are_whole_numbers(spark):
     plan = P.merge_lists(ranked)._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal" not in plan.lower()
     assert "trim" not in plan[plan.index("Generate") :]
+
+
+def test_parts_of_a_merge_read_their_fields_only(spark):
+    """The long lists of categories and services are read where they are united, not for the names beside them."""
+    rows = [
+        ("c", 1, profile_row(offerings={"product_categories": [None, {"category_name": "A", "items": ["x"]}, {"category_name": "B"}], "service_details": [{"name": "N", "deliverables": ["d", "e"]}, None]})),
+        ("c", 2, profile_row(offerings={"product_categories": None, "service_details": [{"name": "N", "methodology": "m", "deliverables": ["f", "d"], "ideal_client_profile": "i"}, {"name": None, "deliverables": ["g"]}]})),
+        ("c", 3, profile_row(offerings={"product_categories": [{"category_name": "B", "items": ["y"]}, {"category_name": "A", "items": ["z", "x"]}], "service_details": None})),
+    ]
+    ranked = P._placed(staged(P._scored(partials(spark, rows)), "scored", dictionary=False))
+
+    def readers(df, field):
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(f'"{field}"' in leaves.apply(i).schema().json() for i in range(leaves.size()))
+
+    categories, services = P.merge_categories(ranked), P.merge_services(ranked, P.joined_texts(ranked))
+    assert readers(categories, "items") == 1 and readers(services, "deliverables") == 1
+    assert readers(P._service_rows(ranked, "description", "methodology"), "deliverables") == 0
+    assert [(c.category_name, c["items"]) for c in categories.first().product_categories] == [("A", ["x", "z"]), ("B", ["y"])]
+    assert [(s.name, s.methodology, s.deliverables, s.ideal_client_profile) for s in services.first().service_details] == [("N", "m", ["d", "e", "f"], "i")]
+    assert {r.field for r in P.merge_lists(ranked).collect()} <= set(P.UNION_FIELDS)
