@@ -428,3 +428,22 @@ def test_parts_of_a_merge_read_their_fields_only(spark):
     assert [(c.category_name, c["items"]) for c in categories.first().product_categories] == [("A", ["x", "z"]), ("B", ["y"])]
     assert [(s.name, s.methodology, s.deliverables, s.ideal_client_profile) for s in services.first().service_details] == [("N", "m", ["d", "e", "f"], "i")]
     assert {r.field for r in P.merge_lists(ranked).collect()} <= set(P.UNION_FIELDS)
+
+
+def test_keyed_structs_of_every_kind(spark):
+    """The query gives categories, services and cases, with texts joined, lists united and the first seen first."""
+    rows = [
+        ("c", 1, profile_row(offerings={"product_categories": [{"category_name": "A", "items": ["x"]}, {"category_name": "geral", "items": ["g"]}], "service_details": [{"name": "N", "description": "one two", "deliverables": ["d"]}]})),
+        ("c", 2, profile_row(offerings={"service_details": [{"name": "M", "methodology": "m"}, {"name": "N", "description": "three four", "deliverables": ["e", "d"]}]}, reputation={"case_studies": [{"title": "T", "challenge": "short"}, {"title": "U"}]})),
+        ("c", 3, profile_row(offerings={"product_categories": [{"category_name": "A", "items": ["y", "x"]}]}, reputation={"case_studies": [{"title": "T", "challenge": "longer", "client_name": "k"}]})),
+        ("d", 1, profile_row(reputation={"case_studies": [{"title": "V", "outcome": "o"}]})),
+    ]
+    got = {r.cnpj_basico: r for r in P.merge_keyed_structs(P.ranked_profiles(partials(spark, rows))).collect()}
+    assert [(c.category_name, sorted(c["items"])) for c in got["c"].product_categories] == [("A", ["x", "y"])]
+    services = {s.name: (s.description, s.methodology, sorted(s.deliverables)) for s in got["c"].service_details}
+    assert services["N"][2] == ["d", "e"] and services["M"][1] == "m"
+    assert services["N"][0] in ("one two. three four", "three four. one two")
+    assert {k.title: (k.client_name, k.challenge) for k in got["c"].case_studies} == {"T": ("k", "longer"), "U": (None, None)}
+    assert got["d"].product_categories is None and [(k.title, k.outcome) for k in got["d"].case_studies] == [("V", "o")]
+    kinds = entry.queries()["merge_keyed_structs"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
+    assert {r.kind for r in kinds} == {"category", "service", "case"}
