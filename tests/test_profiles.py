@@ -5,11 +5,12 @@ import json
 import random
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import values
 import __spark_entry__ as entry
-from tessera import schemas as S
+from tessera import schemas as S, session
 from tessera.functions import answers as N, facts as X, profile as V
 from tessera.operators import access as A, discovery, facts as O, models as M, monitoring as Q, profiles as P
 from tessera.plans.company_profile import discoveries_from_searches
@@ -447,3 +448,29 @@ def test_keyed_structs_of_every_kind(spark):
     assert got["d"].product_categories is None and [(k.title, k.outcome) for k in got["d"].case_studies] == [("V", "o")]
     kinds = entry.queries()["merge_keyed_structs"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
     assert {r.kind for r in kinds} == {"category", "service", "case"}
+
+
+def test_merge_writes_no_copy_of_the_partials(spark):
+    """What a merge leaves in the shared folder grows with what it keeps, not with what it reads."""
+    rng = random.Random(11)
+    words = [f"{rng.randrange(10**9):09d}" for _ in range(20_000)]
+    rows = [("c", i, profile_row(offerings={"products": rng.sample(words, len(words))})) for i in range(30)]
+    read, before = sum(len(r[2]) for r in rows), len(session._scratch)
+    (merged,) = P.merge_profiles(partials(spark, rows)).collect()
+    assert sorted(merged.profile.offerings.products) == sorted(set(words))
+    files = spark._jvm.org.apache.hadoop.fs
+    written = 0
+    for folder in session._scratch[before:]:
+        path = files.Path(folder)
+        written += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    assert written < read / 10
+
+
+def test_values_of_a_key_go_by_as_a_stream():
+    """Keys over many batches, keys without a value, and values that differ in white space only."""
+    kind = pa.schema([("c", pa.string()), ("n", pa.string()), ("value", pa.string())])
+    rows = [(None, "a", "x"), (None, "a", " x "), ("c", None, "y"), ("c", None, " "), ("c", "a", " z"), ("c", "a", "z"), ("c", "a", "w"), ("d", "a", " ")]
+    for size in (1, 2, 3, 8):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[i : i + size]], kind) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in P._united(["c", "n"])(iter(batches)) for r in b.to_pylist()]
+        assert got == [(None, "a", ["x"]), ("c", None, ["y"]), ("c", "a", ["z", "w"]), ("d", "a", [])]

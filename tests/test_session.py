@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import session as S
 
@@ -34,3 +35,16 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         S.ensure_checkpoint_dir(Session())
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """The files of a written table stand for its shuffles, and the session's setting is as before."""
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(S.SHUFFLE_CLEANUP, "false")
+    counts = spark.range(5000).repartition(8, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    out = S.staged(counts)
+    assert shuffles() <= before and spark.conf.get(S.SHUFFLE_CLEANUP, "false") == setting
+    assert out.count() == counts.count() == 7
