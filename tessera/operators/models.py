@@ -120,5 +120,8 @@ def degenerate_retry(rows: DataFrame, key: str, tokens: Column, limit: int, call
 
 
 def multi_chunk_profile(partials: DataFrame) -> DataFrame:
-    """Partial profiles of the chunks of a company to one; failed chunks hold null."""
+    """Partial profiles of the chunks of a company to one; failed chunks hold null.
+
+    ``partials`` are read once a part of the merge: stage a model's answers first.
+    """
     return merge_profiles(partials.where(F.col("profile").isNotNull()))

@@ -445,7 +445,7 @@ def test_keyed_structs_of_every_kind(spark):
     assert services["N"][2] == ["d", "e"] and services["M"][1] == "m"
     assert services["N"][0] in ("one two. three four", "three four. one two")
     assert {k.title: (k.client_name, k.challenge) for k in got["c"].case_studies} == {"T": ("k", "longer"), "U": (None, None)}
-    assert got["d"].product_categories is None and [(k.title, k.outcome) for k in got["d"].case_studies] == [("V", "o")]
+    assert got["d"].product_categories == [] and [(k.title, k.outcome) for k in got["d"].case_studies] == [("V", "o")]
     kinds = entry.queries()["merge_keyed_structs"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
     assert {r.kind for r in kinds} == {"category", "service", "case"}
 
@@ -474,3 +474,19 @@ def test_values_of_a_key_go_by_as_a_stream():
         batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows[i : i + size]], kind) for i in range(0, len(rows), size)]
         got = [tuple(r.values()) for b in P._united(["c", "n"])(iter(batches)) for r in b.to_pylist()]
         assert got == [(None, "a", ["x"]), ("c", None, ["y"]), ("c", "a", ["z", "w"]), ("d", "a", [])]
+
+
+def test_profiles_are_put_together_once(spark):
+    """A company's row, with all its lists, goes through no join or aggregate; its parts may come in any batches."""
+    rows = [("c", i, profile_row(offerings={"products": [f"p{i}"]}, sources=["s"])) for i in (1, 2)]
+    plan = P.merge_profiles(partials(spark, rows))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan
+    # The only join finds the companies with a single partial.
+    assert plan.count("Join") == 1
+    kind = pa.schema([("cnpj_basico", pa.string()), ("a", pa.list_(pa.string())), ("b", pa.string())])
+    parts = [("c", ["x", "y"], None), ("c", None, "t"), ("d", None, None), ("e", None, "u")]
+    for size in (1, 2, 3, 4):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in parts[i : i + size]], kind) for i in range(0, len(parts), size)]
+        put = P._put_together(["a", "b"], {"s": {"a": "a", "t": "b"}, "b": "b"})
+        got = [tuple(r.values()) for b in put(iter(batches)) for r in b.to_pylist()]
+        assert got == [("c", {"a": ["x", "y"], "t": "t"}, "t"), ("d", {"a": [], "t": None}, None), ("e", {"a": [], "t": "u"}, "u")]
